@@ -23,9 +23,30 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_warc": """
+            WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+                 d AS (SELECT *, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+                 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+            SELECT page_id, url, payload_bytes, payload_digest,
+                   CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+            FROM d LEFT JOIN f USING (payload_digest)""",
+    }
