@@ -25,62 +25,69 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir
+from .common import filesystem, shared_dir, slabs
 
 MAGIC, BLOCK, SEGMENT_IDS = b"S8BSEG1\0", 256, 1 << 20
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = 60 // COUNT
 ESCAPE = 15
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 _SPAN = np.zeros(16, np.int64)
 _SPAN[:14] = COUNT
 
 
+def _widest(width: np.ndarray) -> dict[int, np.ndarray]:
+    """For each count of COUNT the greatest width among so many neighbours along the rows, built from shorter runs."""
+    runs = {1: width}
+    for n, a, b in ((2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 3, 2), (6, 3, 3), (7, 4, 3), (8, 4, 4), (10, 5, 5), (12, 6, 6), (15, 8, 7), (20, 10, 10), (30, 15, 15), (60, 30, 30)):
+        runs[n] = np.maximum(runs[a][:, : width.shape[1] - n + 1], runs[b][:, a : a + width.shape[1] - n + 1])
+    return runs
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of unsigned 64-bit ids; all blocks advance together, one word a step."""
-    ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     blocks = -(-n // BLOCK)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    room = np.zeros(blocks * BLOCK + 64, np.uint64)
-    room[:n] = ids
-    best = np.full(blocks * BLOCK, ESCAPE, np.int8)
-    last = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    stop = np.repeat(last, BLOCK)
-    at = np.arange(blocks * BLOCK)
+    # ids behind a block's end are zero, so that a last word may reach over it
+    room = np.zeros((blocks, BLOCK + 60), np.uint64)
+    whole = np.zeros(blocks * BLOCK, np.uint64)
+    whole[:n] = ids
+    room[:, :BLOCK] = whole.reshape(blocks, BLOCK)
+    width = np.zeros(room.shape, np.uint8)
+    width[:, :BLOCK] = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), room[:, :BLOCK].ravel(), "right").reshape(blocks, BLOCK)
+    runs = _widest(width)
+    best = np.full((blocks, BLOCK), ESCAPE, np.int8)
     for s in range(13, -1, -1):
-        wide = np.zeros(len(room) + 1, np.int32)
-        np.cumsum(room >> np.uint64(BITS[s]) != 0, out=wide[1:])
-        best[wide[np.minimum(at + COUNT[s], stop)] == wide[at]] = s
-    pos, steps = np.arange(blocks) * BLOCK, []
-    alive = np.arange(blocks)
-    while len(alive):
-        here = pos[alive]
-        chosen = best[here].astype(np.int64)
-        steps.append((alive, here, chosen))
-        pos[alive] = here + np.where(chosen == ESCAPE, 1, _SPAN[chosen])
-        alive = alive[pos[alive] < last[alive]]
-    block, here, chosen = (np.concatenate(x) for x in zip(*steps))
-    order = np.argsort(here, kind="stable")
-    block, here, chosen = block[order], here[order], chosen[order]
+        best[runs[COUNT[s]][:, :BLOCK] <= BITS[s]] = s
+    last = np.minimum(np.arange(1, blocks + 1) * BLOCK, n) - np.arange(blocks) * BLOCK
+    span = np.maximum(_SPAN, 1)
+    pos, rows, steps, picks = np.zeros(blocks, np.int64), np.arange(blocks), [], []
+    while (pos < last).any():
+        chosen = best[rows, np.minimum(pos, BLOCK - 1)].astype(np.int64)
+        steps.append(pos)
+        picks.append(chosen)
+        pos = pos + span[chosen]
+    at, pick = np.stack(steps, 1), np.stack(picks, 1)
+    real = at < last[:, None]
+    block, here, chosen = np.nonzero(real)[0], at[real], pick[real]
     place = np.concatenate([[0], np.cumsum(1 + (chosen == ESCAPE))])
     words = np.zeros(place[-1], np.uint64)
-    place = place[:-1]
+    place, flat = place[:-1], block * (BLOCK + 60) + here
+    room = room.ravel()
     for s in range(14):
-        rows = np.flatnonzero(chosen == s)
-        if not len(rows):
+        some = np.flatnonzero(chosen == s)
+        if not len(some):
             continue
-        word = np.full(len(rows), np.uint64(s) << np.uint64(60))
-        left = last[block[rows]] - here[rows]
+        word, start = np.full(len(some), np.uint64(s) << np.uint64(60)), flat[some]
         for j in range(COUNT[s]):
-            word |= np.where(j < left, room[here[rows] + j], np.uint64(0)) << np.uint64(j * BITS[s])
-        words[place[rows]] = word
-    rows = np.flatnonzero(chosen == ESCAPE)
-    words[place[rows]] = np.uint64(ESCAPE) << np.uint64(60)
-    words[place[rows] + 1] = room[here[rows]]
-    first = place[np.searchsorted(here, np.arange(blocks) * BLOCK)]
-    return words, first.astype(np.uint64)
+            word |= room[start + j] << np.uint64(j * BITS[s])
+        words[place[some]] = word
+    some = np.flatnonzero(chosen == ESCAPE)
+    words[place[some]] = np.uint64(ESCAPE) << np.uint64(60)
+    words[place[some] + 1] = room[flat[some]]
+    return words, place[np.searchsorted(block, np.arange(blocks))].astype(np.uint64)
 
 
 def unpack(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
@@ -112,12 +119,12 @@ def unpack(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def segment(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
+def segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     words, first = pack(ids)
     null = np.array([x is None for x in doc_ids], np.uint8)
     return b"".join([
         MAGIC, struct.pack("<4Q", len(doc_ids), len(ids), len(first), len(words)),
-        np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), np.array(counts, "<u8").tobytes(),
+        np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), counts.astype("<u8").tobytes(),
         first.astype("<u8").tobytes(), words.astype("<u8").tobytes(),
     ])
 
@@ -142,7 +149,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = self._splits_at_space()
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and t.content[:1] == "<"), None)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is kept: a number for each word, and in `ids` the ids of word w from start[w] to start[w + 1]."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _splits_at_space(self) -> bool:
         """Whether white space separates words and leaves no trace: it is dropped, and added tokens hold none and take none from beside them."""
@@ -154,19 +167,46 @@ class Encoder:
         dropped = "\\\\s\\\\p{L}\\\\p{N}]+" in split and '"behavior": "Removed"' in split and '"invert": true' in split
         return dropped and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or not a["content"].strip() or a["content"].split() != [a["content"]] for a in added)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes new words, many to a call: an added token that no word contains stands between them and shows where each ends."""
+        mark = self.mark and self.mark[1]
+        odd = [w for w in new if not mark or b"<" in w]
+        plain = [w for w in new if mark and b"<" not in w]
+        parts, sizes = [], []
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        for words, said in zip(groups, self.tokenizer.encode_batch_fast([self.mark[0].join(w.decode() for w in g) for g in groups], add_special_tokens=False)):
+            got = np.array(said.ids, np.uint32)
+            ends = np.append(np.flatnonzero(got == mark), len(got))
+            if len(ends) != len(words):
+                raise ValueError("the tokenizer lost a mark between words")
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            parts.append(got[got != mark])
+        for x in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False):
+            sizes.append(np.array([len(x.ids)]))
+            parts.append(np.array(x.ids, np.uint32))
+        for w in chain(plain, odd):
+            self.known[w] = len(self.known)
+        self.ids = np.concatenate([self.ids, *parts])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, how many each text has)."""
         if not self.by_word:
-            return [np.array(x.ids, np.uint64) for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
         split = [(t or "").encode().split() for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = tuple(x.ids)
-        known = self.known
-        return [np.fromiter(chain.from_iterable(known[w] for w in words), np.uint64) for words in split]
+            self.forget()
+        if new := list(set(chain.from_iterable(split)).difference(self.known)):
+            self._learn(new)
+        n_words = np.array([len(x) for x in split], np.int64)
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, n_words.sum())
+        size = self.start[word + 1] - self.start[word]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[word] - (ends - size), size)
+        total = np.concatenate([[0], ends])
+        bounds = np.concatenate([[0], np.cumsum(n_words)])
+        return self.ids[at], total[bounds[1:]] - total[bounds[:-1]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -197,24 +237,23 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
         fs, root = filesystem(folder)
         name, temporary = f"{root}/shard-{part:07d}.s8b", f"{root}/_shard-{part:07d}-{task.taskAttemptId()}"
         tok, docs_n, ids_n, stream = encoder(tokenizer), 0, 0, None
-        held_ids, held_docs, held = [], [], 0
+        held_ids, held_counts, held_docs, held = [], [], [], 0
 
         def flush():
-            nonlocal held_ids, held_docs, held
-            stream.write(segment(held_docs, [len(x) for x in held_ids], np.concatenate(held_ids)))
-            held_ids, held_docs, held = [], [], 0
-
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = batch.slice(at, 256)
-                stream = stream or fs.open_output_stream(temporary)
-                for k, ids in zip(rows.column(0).to_pylist(), tok.encode(rows.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint64(end_id))
-                    held_ids.append(ids)
-                    held_docs.append(k)
-                    held, docs_n, ids_n = held + len(ids), docs_n + 1, ids_n + len(ids)
-                    if held >= SEGMENT_IDS:
-                        flush()
+            nonlocal held_ids, held_counts, held_docs, held
+            stream.write(segment(held_docs, np.concatenate(held_counts), np.concatenate(held_ids)))
+            held_ids, held_counts, held_docs, held = [], [], [], 0
+
+        for rows in slabs(batches, 2 << 20):
+            stream = stream or fs.open_output_stream(temporary)
+            ids, counts = tok.encode(rows.column(1).to_pylist())
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            held_ids.append(ids)
+            held_counts.append(counts + 1)
+            held_docs += rows.column(0).to_pylist()
+            held, docs_n, ids_n = held + len(ids), docs_n + len(rows), ids_n + len(ids)
+            if held >= SEGMENT_IDS:
+                flush()
         if stream:
             if held:
                 flush()
