@@ -23,6 +23,13 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
