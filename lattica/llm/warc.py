@@ -148,7 +148,10 @@ def read_records(selected: DataFrame, payload: bool = False) -> DataFrame:
         if spans:
             yield from fetch(archive, spans)
 
-    dealt = selected.select("archive", "offset", "length", F.floor(F.col("offset") / (8 * RANGE)).alias("part")).repartition("archive", "part").sortWithinPartitions("archive", "offset")
+    dealt = selected.select("archive", "offset", "length", F.floor(F.col("offset") / (8 * RANGE)).alias("part"))
+    # rows of an index are small and their records are not, so tasks are counted by the bytes they will read
+    tasks = 2 + (selected.agg(F.sum("length")).first()[0] or 0) // (4 * RANGE)
+    dealt = dealt.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, schema)
 
 
