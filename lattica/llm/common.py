@@ -61,6 +61,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03  # odd, so invertible modulo 2**64
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_BYTES = (_BYTE, mix64(_BYTE))
 
 
 class Powers:
@@ -87,11 +88,11 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word raw[start:end]; equal words give equal hashes wherever they stand."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word raw[start:end]; equal words give equal hashes wherever they stand. There are two such hashes."""
     up, down = _bytes.upto(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up, out=total[1:])
+    np.cumsum(_BYTES[which][raw] * up, out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir, slabs
+from .common import buffers, filesystem, shared_dir, slabs, word_bounds, word_hashes
 
 MAGIC, BLOCK, SEGMENT_IDS = b"S8BSEG1\0", 256, 1 << 20
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = 60 // COUNT
 ESCAPE = 15
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_200_000
 _SPAN = np.zeros(16, np.int64)
 _SPAN[:14] = COUNT
 
@@ -155,7 +155,17 @@ class Encoder:
     def forget(self) -> None:
         """Empties what is kept: a number for each word, and in `ids` the ids of word w from start[w] to start[w + 1]."""
         self.known: dict[bytes, int] = {}
-        self.ids, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.start, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def prune(self) -> None:
+        """Keeps the words that most batches had, half as many as may be kept at most."""
+        most, least = CACHED_WORDS // 2, 2
+        while (self.uses >= least).sum() > most:
+            least += 1
+        keep = self.uses >= least
+        size = np.diff(self.start)
+        self.known = {w: i for i, w in enumerate(w for w, k in zip(self.known, keep.tolist()) if k)}
+        self.ids, self.start, self.uses = self.ids[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), self.uses[keep]
 
     def _splits_at_space(self) -> bool:
         """Whether white space separates words and leaves no trace: it is dropped, and added tokens hold none and take none from beside them."""
@@ -184,29 +194,42 @@ class Encoder:
         for x in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False):
             sizes.append(np.array([len(x.ids)]))
             parts.append(np.array(x.ids, np.uint32))
-        for w in chain(plain, odd):
-            self.known[w] = len(self.known)
+        self.known.update(zip(chain(plain, odd), range(len(self.known), len(self.known) + len(new))))
         self.ids = np.concatenate([self.ids, *parts])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one behind the other, how many each text has)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, how many each text has); a null is an empty text."""
         if not self.by_word:
-            found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
-        split = [(t or "").encode().split() for t in texts]
+        raw, offsets = buffers(texts)
+        n = len(offsets) - 1
+        # a space behind each text keeps the words of neighbours apart
+        at = offsets + np.arange(n + 1)
+        joined = np.full(len(raw) + n, 32, np.uint8)
+        joined[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
+        starts, ends = word_bounds(joined)
+        hashes, checks = word_hashes(joined, starts, ends), word_hashes(joined, starts, ends, 1)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks[first][which] != checks).any() or ((ends - starts)[first][which] != ends - starts).any():
+            first, which = np.arange(len(starts)), np.arange(len(starts))  # two words share a hash: every word is looked up
+        data = joined.tobytes()
+        words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHED_WORDS:
-            self.forget()
-        if new := list(set(chain.from_iterable(split)).difference(self.known)):
+            self.prune()
+        if new := list(set(words).difference(self.known)):
             self._learn(new)
-        n_words = np.array([len(x) for x in split], np.int64)
-        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, n_words.sum())
-        size = self.start[word + 1] - self.start[word]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[word] - (ends - size), size)
-        total = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum(n_words)])
-        return self.ids[at], total[bounds[1:]] - total[bounds[:-1]]
+        word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[word] += 1
+        word = word[which]
+        begin = self.start[word]
+        size = self.start[word + 1] - begin
+        total = np.concatenate([[0], np.cumsum(size)])
+        there = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        bounds = np.searchsorted(starts, at)
+        return self.ids[there], np.diff(total[bounds])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -220,7 +243,7 @@ def encoder(path: str) -> Encoder:
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every whole text, adds end_id, and writes one shard for each range of keys, in ascending order of key (null first; equal
-    keys by text). A null text is empty: its document is the end id alone. Other columns are ignored. Returns a manifest: a row for
+    keys by a hash of the text). A null text is empty: its document is the end id alone. Other columns are ignored. Returns a manifest: a row for
     each shard with its path, documents, ids, and `start`, the ids of all shards before it. An empty table has no shards.
 
     A shard's bytes depend on its rows alone and it gets its name by a rename, so a task that runs twice changes nothing."""
@@ -246,7 +269,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
 
         for rows in slabs(batches, 2 << 20):
             stream = stream or fs.open_output_stream(temporary)
-            ids, counts = tok.encode(rows.column(1).to_pylist())
+            ids, counts = tok.encode(rows.column(1))
             ids = np.insert(ids, np.cumsum(counts), end_id)
             held_ids.append(ids)
             held_counts.append(counts + 1)
@@ -261,7 +284,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name.rsplit("/", 1)[1]], "documents": [docs_n], "ids": [ids_n]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k", "t").sortWithinPartitions("k", "t")
+    # the ranges are found from a sample of (id, hash) pairs; equal ids are dealt by hash, so they can be any number
+    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     shards = sorted(ordered.mapInArrow(write, "part int, name string, documents long, ids long").collect())  # a row for each task
     start, rows = 0, []
     for s in shards:
