@@ -30,6 +30,12 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import classes
 
