@@ -18,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs.select("doc_id", "text"), fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
