@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW, GRAM = 13, 8
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-#: Rows of the smaller side of a join up to which it is broadcast; a row has a few hundred bytes at most.
+#: Words by the characters that they have: a class of ranges to keep is matched several times as fast as its complement.
+WORD, ANY_CASE = r"([0-9a-z\x{80}-\x{10FFFF}]+)", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Rows of the benchmark's side of a join up to which it is broadcast; a row has a few hundred bytes at most.
 BROADCAST_ROWS = 100_000
+#: Fingerprints of a benchmark up to which each document looks for them in one array; beyond, they are joined.
+ARRAY_ROWS = 50_000
 #: A fingerprint is 33 bits of hash over 30 bits of place.
 _PLACE = 30
 
@@ -53,8 +56,8 @@ def _grams(df: DataFrame, gram: int, keep: list[str]) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, gram: int, window: int, keep: list[str]) -> DataFrame:
-    """keep, hash and place of each fingerprint of the array `words`: the least hash of each `window` runs, the first of equal ones. Runs
-    at the end that fill no window count as one."""
+    """keep and f, the fingerprints of the array `words`: the least hash of each `window` runs and its place, the first of equal ones.
+    Runs at the end that fill no window count as one."""
     packed = F.transform("h", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 64 - 33), _PLACE).bitwiseOR(i.cast("long")))
     df, have, pieces = _grams(df, gram, keep).select(*keep, packed.alias("m1")), 1, {1: "m1"}
     while have < window:
@@ -63,8 +66,20 @@ def fingerprints(df: DataFrame, gram: int, window: int, keep: list[str]) -> Data
         df = df.withColumn(name, F.zip_with(pieces[have], _next(pieces[step], have), lambda a, b: F.least(a, b)))
         have += step
         pieces[have] = name
-    df = df.select(*keep, F.explode(F.array_distinct(pieces[window])).alias("f"))
-    return df.select(*keep, F.shiftright("f", _PLACE).alias("hash"), F.col("f").bitwiseAND((1 << _PLACE) - 1).cast("int").alias("place"))
+    return df.select(*keep, F.array_distinct(pieces[window]).alias("f"))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, although a lambda uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _hash(f) -> Column:
+    return F.shiftright(f, _PLACE)
+
+
+def _at(f) -> Column:
+    return F.col(f).bitwiseAND((1 << _PLACE) - 1).cast("int") if isinstance(f, str) else f.bitwiseAND((1 << _PLACE) - 1).cast("int")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -91,31 +106,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     n_windows = windows.count()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = rows.select("doc_id", "text_hash", words_of("text").alias("words"))
     key = ["doc_id", "text_hash"]
     long = [n for n in lengths if n >= GRAM]
     passes = [(n, 1, [n]) for n in lengths if n < GRAM]  # windows below GRAM words are looked up at every place
     if long:
         passes.append((GRAM, min(long) - GRAM + 1, long))
-    hits = None
+    spans = None
     for gram, width, of in passes:
-        marks = written(fingerprints(kinds.where(F.size("words") == of[0]) if gram < GRAM else kinds.where(F.size("words") >= GRAM), gram, width, []).select("hash").distinct(), "marks")
-        found = fingerprints(texts, gram, width, key).join(_small(marks, marks.count()), "hash", "left_semi")
-        starts = F.array(*[F.struct((F.col("place") - j).alias("at"), F.lit(n).alias("length")) for n in of for j in range(n - gram + 1)])
-        found = found.select(*key, starts.alias("starts"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+        own = kinds.where(F.size("words") == of[0]) if gram < GRAM else kinds.where(F.size("words") >= GRAM)
+        marks = written(fingerprints(own, gram, width, []).select(F.explode("f").alias("f")).select(_hash("f").alias("hash")).distinct(), "marks")
+        n_marks = marks.count()
+        if n_marks <= ARRAY_ROWS:
+            # the benchmark alone decides this: its fingerprints are one array, and no document moves before a hit is known
+            texts = rows.select(*key, "text", words_of("text").alias("words"))
+            found = fingerprints(texts, gram, width, [*key, "text"])
+            known = F.array_intersect(F.transform("f", _hash), marks.agg(F.collect_set("hash")).scalar())
+            # the row number, which is no function of the row, keeps the filter from being copied below the steps that make `known`
+            found = found.select(*key, "text", "f", known.alias("known"), F.monotonically_increasing_id().alias("row")).where((F.size("known") > 0) & (F.col("row") >= 0))
+            places = _let(F.col("known"), lambda k: F.transform(F.filter("f", lambda f: F.array_contains(k, _hash(f))), _at))
+            there = found.select(*key, words_of("text").alias("words"), places.alias("places"))
+        else:
+            texts = rows.select(*key, words_of("text").alias("words"))
+            found = fingerprints(texts, gram, width, key).select(*key, F.explode("f").alias("f")).withColumn("hash", _hash("f")).join(_small(marks, n_marks), "hash", "left_semi")
+            found = written(found.groupBy(*key).agg(F.collect_set(_at("f")).alias("places")), "hits")  # the places of one document at most
+            t, h = rows.alias("t"), found.hint("merge").alias("h")
+            there = t.join(h, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_hash") == F.col("h.text_hash"))).select("t.doc_id", "t.text_hash", "text", "places").select(*key, words_of("text").alias("words"), "places")
+        around = lambda p: F.array(*[F.struct((p - j).alias("at"), F.lit(n).alias("length")) for n in of for j in range(n - gram + 1)])
+        starts = F.array_distinct(F.flatten(F.transform("places", around)))
+        text_at = lambda w, s: F.struct(s["at"].alias("at"), s["length"].alias("length"), F.array_join(F.slice(w, s["at"] + 1, s["length"]), " ").alias("words_text"))
+        inside = lambda w: F.filter(starts, lambda s: (s["at"] >= 0) & (s["at"] + s["length"] <= F.size(w)))
+        whole = _let(F.col("words"), lambda w: F.transform(inside(w), lambda s: text_at(w, s)))
+        there = there.select(*key, F.explode(whole).alias("s")).select(*key, "s.*").join(_small(distinct.select("words_text"), n_windows), "words_text").distinct()
+        spans = there if spans is None else spans.unionByName(there)
+    if spans is None:
         hit = rows.where("false").select(*key, F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
     else:
-        # the places of one document at most
-        hits = written(hits.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "hits")
-        size = hits.agg(F.sum(F.size("starts"))).first()[0] or 0
-        t, h = texts.alias("t"), _small(hits, size).alias("h")
-        there = t.join(h, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("t.text_hash").eqNullSafe(F.col("h.text_hash")))
-        inside = F.filter("starts", lambda s: (s["at"] >= 0) & (s["at"] + s["length"] <= F.size("words")))
-        whole = F.transform(inside, lambda s: F.struct(s["at"].alias("at"), s["length"].alias("length"), F.array_join(F.slice("words", s["at"] + 1, s["length"]), " ").alias("words_text")))
-        spans = there.select("t.doc_id", "t.text_hash", F.explode(whole).alias("s")).select(*key, "s.*")
-        spans = written(spans.join(_small(distinct.select("words_text"), n_windows), "words_text").distinct(), "spans")
+        spans = written(spans, "spans")
         add = lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["length"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["length"] - F.greatest(a["end"], s["at"]))).alias("n"))
         cover = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "length"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), add, lambda a: a["n"].cast("long"))
         hit = spans.groupBy(*key).agg(cover.alias("n_hit"))
@@ -124,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         listed = listed.select(*key, F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
         a, b = hit.alias("a"), listed.alias("b")
         hit = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash")), "left").select("a.*", "b.n_items", "b.items")
-    every = rows.select(*key, F.coalesce(F.regexp_count("text", F.lit(WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))), F.lit(0)).cast("long").alias("n_words")).alias("e")
+    every = rows.select(*key, F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words")).alias("e")
     hit = hit.alias("x")
     out = every.join(hit, F.col("e.doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("e.text_hash").eqNullSafe(F.col("x.text_hash")), "left")
     n_hit = F.coalesce("x.n_hit", F.lit(0)).cast("long")
