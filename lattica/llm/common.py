@@ -79,13 +79,16 @@ class Powers:
 _bytes, _words = Powers(_BASE), Powers(_STEP)
 
 
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-space bytes."""
-    word = np.empty(len(raw) + 2, np.int8)
-    word[0] = word[-1] = 0
-    np.logical_not(SPACE[raw], out=word[1:-1].view(bool))
-    edge = np.diff(word)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def word_bounds(raw: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of non-space bytes; with offsets, a run ends where a text begins."""
+    n = len(raw)
+    word = np.zeros(n + 2, bool)
+    np.logical_not(SPACE[raw], out=word[1:-1])
+    begin, end = word[1:] & ~word[:-1], word[:-1] & ~word[1:]  # at byte i, between i - 1 and i
+    if offsets is not None:
+        cut = offsets[word[offsets] & word[np.minimum(offsets + 1, n + 1)]]
+        begin[cut] = end[cut] = True
+    return np.flatnonzero(begin), np.flatnonzero(end)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:

@@ -34,19 +34,11 @@ WINDOW, GRAM = 35, 8
 BLOCK_RUNS = 2000
 
 
-def _join(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a space behind each, and where each begins."""
-    n = len(offsets) - 1
-    joined = np.full(len(raw) + n, 32, np.uint8)
-    joined[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
-    return joined, offsets + np.arange(n + 1)
-
-
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and the number of the first word of each text (one more for the end)."""
-    joined, at = _join(*buffers(column))
-    starts, ends = word_bounds(joined)
-    return word_hashes(joined, starts, ends), np.searchsorted(starts, at)
+    raw, offsets = buffers(column)
+    starts, ends = word_bounds(raw, offsets)
+    return word_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
 def runs(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:

@@ -205,30 +205,27 @@ class Encoder:
             found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
         raw, offsets = buffers(texts)
-        n = len(offsets) - 1
-        # a space behind each text keeps the words of neighbours apart
-        at = offsets + np.arange(n + 1)
-        joined = np.full(len(raw) + n, 32, np.uint8)
-        joined[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
-        starts, ends = word_bounds(joined)
-        hashes, checks = word_hashes(joined, starts, ends), word_hashes(joined, starts, ends, 1)
+        starts, ends = word_bounds(raw, offsets)
+        hashes, checks = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, 1)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if (checks[first][which] != checks).any() or ((ends - starts)[first][which] != ends - starts).any():
             first, which = np.arange(len(starts)), np.arange(len(starts))  # two words share a hash: every word is looked up
-        data = joined.tobytes()
+        data = raw.tobytes()
         words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHED_WORDS:
             self.prune()
-        if new := list(set(words).difference(self.known)):
-            self._learn(new)
-        word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        word = list(map(self.known.get, words))
+        if None in word:
+            self._learn(list(dict.fromkeys(w for w, i in zip(words, word) if i is None)))
+            word = list(map(self.known.__getitem__, words))
+        word = np.array(word, np.int64)
         self.uses[word] += 1
         word = word[which]
         begin = self.start[word]
         size = self.start[word + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
         there = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
-        bounds = np.searchsorted(starts, at)
+        bounds = np.searchsorted(starts, offsets)
         return self.ids[there], np.diff(total[bounds])
 
 
@@ -267,7 +264,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
             stream.write(segment(held_docs, np.concatenate(held_counts), np.concatenate(held_ids)))
             held_ids, held_counts, held_docs, held = [], [], [], 0
 
-        for rows in slabs(batches, 2 << 20):
+        for rows in slabs(batches, 4 << 20):
             stream = stream or fs.open_output_stream(temporary)
             ids, counts = tok.encode(rows.column(1))
             ids = np.insert(ids, np.cumsum(counts), end_id)
