@@ -208,7 +208,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = np.array([*net.languages, UNDETERMINED], object)
+    names, columns = np.array([*net.languages, UNDETERMINED], object), [*docs.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -224,6 +224,6 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 score = p[np.arange(len(rows)), best]
                 none = np.array([not net.languages or t is None or letter.search(t) is None for t in rows.column(at).to_pylist()], bool)
                 best[none], score[none] = len(net.languages), 0.0
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))], [*docs.columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))], columns)
 
     return docs.mapInArrow(run, schema)
