@@ -50,6 +50,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
@@ -81,7 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .licenses import duckdb_sql
+
     return {
+        "op6_licenses": duckdb_sql(),
         "op9_warc": """
             WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
                  d AS (SELECT *, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
