@@ -158,3 +158,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         "e.doc_id", "e.n_words", n_hit.alias("n_hit"), F.coalesce("x.n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.encode(F.coalesce("x.items", F.lit("")), "UTF-8"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "e.text_hash",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs."""
+    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id", "text_hash").distinct().hint("merge").alias("b")
+    rows = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
+    left = rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._hash") == F.col("b.text_hash")), "left_anti")
+    return left.select(*docs.columns)

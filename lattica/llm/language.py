@@ -227,3 +227,9 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))], columns)
 
     return docs.mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of docs whose language is determined with a probability of at least `least`, with the columns of docs. A bilingual text
+    has about half for each of its languages, so the default drops texts of no language only."""
+    return predict(docs, fit(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)

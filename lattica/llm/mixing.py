@@ -139,11 +139,11 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = 11, weights: tuple[int,
 
 
 def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each copy, dealt out by shard and in each shard in the order of a hash. Rows that
+    """The mix itself: the columns of docs, a row for each copy, in the order of the shards and in each shard in the order of a hash. Rows that
     agree in doc_id, source and text share their copies evenly, so repeated rows neither multiply nor vanish."""
     key = ["doc_id", "source", "text_hash"]
     chosen = plan(docs, seed=seed, **options).groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("shards"))).alias("shards"), F.count("*").alias("rows")).where(F.size("shards") > 0)
-    left, right = docs.withColumn("text_hash", F.xxhash64("text")).alias("d"), chosen.alias("c")
+    left, right = docs.withColumn("text_hash", F.xxhash64("text")).alias("d"), chosen.hint("merge").alias("c")
     same = F.lit(True)
     for k in key:
         same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
@@ -153,5 +153,6 @@ def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     joined = joined.withColumn("_turn", F.when(F.col("_rows") > 1, F.row_number().over(turn)).otherwise(F.lit(1)))
     mine = F.filter("_shards", lambda s, i: i % F.col("_rows") == F.col("_turn") - 1)
     copies = joined.select(*docs.columns, "_hash", F.posexplode(mine).alias("_copy", "_shard"))
-    order = F.xxhash64(F.lit(seed), "_hash", "doc_id", "_shard", "_copy")
-    return copies.repartition("_shard").sortWithinPartitions("_shard", order).select(*docs.columns)
+    copies = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_hash", "doc_id", "_shard", "_copy"))
+    # by ranges, so that a shard of any size is as many tasks' work as it needs
+    return copies.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*docs.columns)

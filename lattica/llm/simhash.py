@@ -261,3 +261,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     of_linked = linked.join(low, "root").select("fp", "component_id")
     of_all = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(of_all, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of docs without those that are not the first of their class, with the columns of docs. Rows with the same key are the same
+    document and stay or go together; a row without a key cannot be named and stays."""
+    gone = classes(docs, key, text, shingle).where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
