@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, filesystem, shared_dir, slabs, word_bounds, word_hashes
+from .common import buffers, filesystem, mix64, shared_dir, slabs, word_bounds
 
 MAGIC, BLOCK, SEGMENT_IDS = b"S8BSEG1\0", 256, 1 << 20
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -140,6 +140,21 @@ def segments(stream) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         yield [None if z else int(k) for k, z in zip(keys, null)], counts, unpack(packed, first, n)
 
 
+def word_keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first 8 bytes, last 8 bytes) of words. Up to 16 bytes a word is its length and its two ends, which the key hashes; Python's
+    hash of the bytes goes into the key of a longer one."""
+    eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
+    size = ends - starts
+    unused = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+    head = eights[starts] << unused
+    tail = eights[np.maximum(ends - 8, starts)] << unused
+    key = mix64(head ^ mix64(tail + size.astype(np.uint64)))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        key[long] ^= np.fromiter((hash(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.int64, len(long)).view(np.uint64)
+    return key, head, tail
+
+
 class Encoder:
     """Ids of whole texts. A tokenizer that splits at white space before its merges gives a text the ids of its words in turn, so each
     distinct word is encoded once and kept, CACHED_WORDS at most. Any other tokenizer gets the whole text."""
@@ -206,11 +221,12 @@ class Encoder:
             return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
         raw, offsets = buffers(texts)
         starts, ends = word_bounds(raw, offsets)
-        hashes, checks = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, 1)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if (checks[first][which] != checks).any() or ((ends - starts)[first][which] != ends - starts).any():
-            first, which = np.arange(len(starts)), np.arange(len(starts))  # two words share a hash: every word is looked up
         data = raw.tobytes()
+        key, head, tail = word_keys(data, starts, ends)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        size = ends - starts
+        if any((x[first][which] != x).any() for x in (head, tail, size)):
+            first, which = np.arange(len(starts)), np.arange(len(starts))  # two words share a key: every word is looked up
         words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHED_WORDS:
             self.prune()
@@ -224,7 +240,7 @@ class Encoder:
         begin = self.start[word]
         size = self.start[word + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
-        there = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        there = np.arange(total[-1], dtype=np.int32) + np.repeat((begin - total[:-1]).astype(np.int32), size)
         bounds = np.searchsorted(starts, offsets)
         return self.ids[there], np.diff(total[bounds])
 
