@@ -228,7 +228,7 @@ def current_flow(graph: DataFrame) -> DataFrame:
             flow = ((2 * np.arange(n) - n + 1) * row).sum()
             out[a] += flow
             out[b] += flow
-        out = (out / 2 - (n - 1)) * 2
+        out = out - (n - 1)  # twice what passes through: a pair that a node is an end of counts half
         return {"id": ids, "current_flow": out / ((n - 1) * (n - 2)) if n > 2 else np.zeros(n)}
 
     return per_component(graph, solve, "id long, current_flow double")

@@ -13,7 +13,7 @@ from ..operators.identity import parse
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, all cells as text, or JSON lines."""
-    return spark.read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.option("header", True).csv(path)
+    return spark.read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 def read_network(spark: SparkSession, path: str) -> DataFrame:
