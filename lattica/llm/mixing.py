@@ -72,8 +72,8 @@ def split(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """From one row (quotas: array) the leaves of the tree: 2**levels rows (shard, quotas). Shards' sums differ by one at most."""
     nodes = quotas.select(F.lit(0).cast("long").alias("node"), "quotas")
     # an integer of 53 bits between 0 and 1, ends excluded
-    u = f"(shiftrightunsigned(xxhash64({seed}, depth, node, i), 11) + 0.5D) / 9007199254740992D"
-    step = f"aggregate(sequence(1, size(quotas)), named_struct('pop', aggregate(quotas, 0L, (s, q) -> s + q), 'todo', aggregate(quotas, 0L, (s, q) -> s + q) div 2, 'out', CAST(array() AS ARRAY<BIGINT>)), (acc, i) -> {_let('hit', hypergeometric('acc.pop', 'quotas[i - 1]', 'acc.todo', u), 'named_struct(' + repr('pop') + ', acc.pop - quotas[i - 1], ' + repr('todo') + ', acc.todo - hit, ' + repr('out') + ', array_append(acc.out, hit))')}, acc -> acc.out)"
+    u = f"(shiftrightunsigned(xxhash64({seed}, depth, node, e.i), 11) + 0.5D) / 9007199254740992D"
+    step = f"aggregate(transform(quotas, (q, i) -> named_struct('q', q, 'i', i + 1)), named_struct('pop', aggregate(quotas, 0L, (s, q) -> s + q), 'todo', aggregate(quotas, 0L, (s, q) -> s + q) div 2, 'out', CAST(array() AS ARRAY<BIGINT>)), (acc, e) -> {_let('hit', hypergeometric('acc.pop', 'e.q', 'acc.todo', u), 'named_struct(' + repr('pop') + ', acc.pop - e.q, ' + repr('todo') + ', acc.todo - hit, ' + repr('out') + ', array_append(acc.out, hit))')}, acc -> acc.out)"
     for depth in range(levels):
         split_now = nodes.select("node", "quotas", F.lit(depth).alias("depth")).select("node", "quotas", F.expr(step).alias("left"))
         right = F.zip_with("quotas", "left", lambda q, x: q - x)
