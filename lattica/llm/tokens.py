@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole[:n] = ids
     room[:, :BLOCK] = whole.reshape(blocks, BLOCK)
     width = np.zeros(room.shape, np.uint8)
-    width[:, :BLOCK] = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), room[:, :BLOCK].ravel(), "right").reshape(blocks, BLOCK)
+    # bits of a number: a double's exponent, except where rounding could carry into it
+    exponent = (whole.astype(np.float64).view(np.int64) >> 52) - 1022
+    wide = np.flatnonzero(whole >> np.uint64(53))
+    exponent[wide] = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), whole[wide], "right")
+    width[:, :BLOCK] = np.maximum(exponent, 0).reshape(blocks, BLOCK)
     runs = _widest(width)
     best = np.full((blocks, BLOCK), ESCAPE, np.int8)
     for s in range(13, -1, -1):
@@ -223,7 +228,9 @@ class Encoder:
         starts, ends = word_bounds(raw, offsets)
         data = raw.tobytes()
         key, head, tail = word_keys(data, starts, ends)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        which, names = pd.factorize(key)
+        first = np.empty(len(names), np.int64)
+        first[which[::-1]] = np.arange(len(key) - 1, -1, -1)
         size = ends - starts
         if any((x[first][which] != x).any() for x in (head, tail, size)):
             first, which = np.arange(len(starts)), np.arange(len(starts))  # two words share a key: every word is looked up
