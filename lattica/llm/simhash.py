@@ -260,7 +260,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(low, "root").select("fp", "component_id")
     of_all = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_all, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return rows.join(written(of_all, "classes"), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
