@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..helpers import settle, until_stable
+from ..helpers import settle
 from .edges import neighbours
-from .graph import distances, simple, vertices
+from .graph import components, simple, vertices
 from .identity import by_size
 
 
@@ -121,4 +121,25 @@ def supercommunities(communities: DataFrame, groups: DataFrame, least: int = 0)
     return by_size(rows.where((F.col("size") >= least) & F.col("group").isNotNull()).select("id", F.col("group").cast("long").alias("com"))).unionByName(out)
 
 
-__all__ = ["label_propagation", "louvain", "modularity", "partition_statistics", "community_links", "communities_of_degree", "supercommunities", "distances", "until_stable", "Window"]
+
+
+def leiden(graph: DataFrame, weighted: bool = True, seed: int = 42, levels: int = 10, rounds: int = 12) -> DataFrame:
+    """(id, com): louvain() with every community parted into its connected pieces, so that none holds nodes that only meet outside it."""
+    found = settle(louvain(graph, weighted, seed, levels, rounds), "communities")
+    a, b = found.select(F.col("id").alias("src"), F.col("com").alias("ca")), found.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
+    inner = graph.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight")
+    pieces = components(inner).select("id", F.col("component").alias("com"))
+    return by_size(found.join(pieces.withColumnRenamed("com", "piece"), "id", "left").select("id", F.coalesce("piece", "id").alias("com")))
+
+
+def branch_repair(graph: DataFrame, free: DataFrame | None = None, most_free: float = 0.4) -> DataFrame:
+    """(id, to): labels that do not touch the largest label are joined with those they touch, by their smallest label; labels whose share of
+    free surface in `free` (id, share) is most_free or more keep their own."""
+    top = F.broadcast(graph.agg(F.max(F.greatest("src", "dst")).alias("top")))
+    links = simple(graph)
+    safe = links.crossJoin(top).where("a = top").select(F.col("b").alias("id")).union(top.select(F.col("top").alias("id"))).distinct()
+    rest = vertices(graph).join(safe, "id", "left_anti")
+    if free is not None:
+        rest = rest.join(free.where(F.col("share") >= most_free).select("id"), "id", "left_anti")
+    inner = graph.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return components(inner).select("id", F.col("component").alias("to"))

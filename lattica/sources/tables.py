@@ -136,3 +136,13 @@ def export_graph(graph: DataFrame, path: str, kind: str) -> None:
     fixed += {"gexf": [(1, 0, "<nodes>"), (3, 0, "</nodes>"), (3, 1, "<edges>"), (5, 0, "</edges>")], "pajek": [(1, 0, f"*Vertices {v.count()}"), (3, 0, "*Edges")], "graphml": []}[kind]
     lines = spark.createDataFrame([(p, i, t) for p, i, t in fixed], "part int, i long, value string").unionByName(nodes).unionByName(edges)
     lines.repartitionByRange("part", "i").sortWithinPartitions("part", "i").select("value").write.mode("overwrite").text(path)
+
+
+def read_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """(file, z, y, x, channel, value) of JPEG and PNG pictures, channels in the order red, green, blue; zeros have no row."""
+    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("int")))
+    rows = raw.select("origin", "width", "nChannels", at.alias("i", "value")).where("value <> 0")
+    pixel = F.floor(F.col("i") / F.col("nChannels")).cast("int")
+    channel = F.when(F.col("nChannels") >= 3, F.lit(2) - F.col("i") % F.col("nChannels")).otherwise(F.lit(0))
+    return rows.select(F.col("origin").alias("file"), F.lit(0).alias("z"), F.floor(pixel / F.col("width")).cast("int").alias("y"), (pixel % F.col("width")).alias("x"), channel.alias("channel"), F.col("value").cast("double").alias("value")).where("channel >= 0")
