@@ -30,15 +30,14 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
+def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """step applied until the table's rows no longer change; compared by count and a sum of hashes."""
     mark, state = None, settle(state)
-    for _ in range(most):
+    while True:
         now = state.agg(F.count("*"), F.sum(F.xxhash64(*state.columns).cast("decimal(38,0)"))).first()
         if now == mark:
             return state
         mark, state = now, settle(step(state))
-    return state
 
 
 def cells(df: DataFrame, size: float | int, axes: tuple[str, ...] = ("z", "y", "x")) -> list[Column]:

@@ -62,7 +62,7 @@ def s5(spark, sf):
     return tiff.read_voxels(spark, folder).select(layer.alias("z"), "y", "x", "label").where(F.lit(written) > 0)
 
 
-@query("S7_scale_file", "SELECT 0.5 AS xy, 2.0 AS z")
+@query("S7_scale_file", "SELECT 5e-1 AS xy, 2e0 AS z")
 def s7(spark, sf):
     path = shared_dir(spark, "scale")
     spark.createDataFrame([("xy_scale: 0.5",), ("z_scale: 2.0",)], "value string").coalesce(1).write.text(path)

@@ -73,7 +73,7 @@ def j11(spark, sf):
     return S.nearest_label(grid, I.centroids(spark, sf))
 
 
-@query("A12_radial", sql("AND d AS (SELECT sqrt(d2) AS d FROM pairs WHERE i < j AND d2 <= 2500), b AS (SELECT unnest(generate_series(0, CAST((SELECT floor(max(d) / 5) FROM d) AS BIGINT))) AS i) SELECT (i + 1) * 5.0 AS r, round(2 * count(d) / (SELECT max(id) FROM cent), 9) AS value FROM b LEFT JOIN d ON d >= i * 5 AND d <= (i + 1) * 5 GROUP BY i", "pairs"))
+@query("A12_radial", sql("AND d AS (SELECT sqrt(d2) AS d FROM pairs WHERE i < j AND d2 <= 2500), b AS (SELECT unnest(generate_series(0, CAST((SELECT floor(max(d) / 5) FROM d) AS BIGINT))) AS i) SELECT (i + 1) * 5e0 AS r, round(2 * count(d) / (SELECT max(id) FROM cent), 9) AS value FROM b LEFT JOIN d ON d >= i * 5 AND d <= (i + 1) * 5 GROUP BY i", "pairs"))
 def a12(spark, sf):
     return S.radial_distribution(I.centroids(spark, sf), E.collapse(I.near(spark, sf)), 5.0).withColumn("value", F.round("value", 9))
 

@@ -131,7 +131,7 @@ def f24(spark, sf):
     return V.crop(nodes(spark, sf), (2, 10, 0), (9, 40, 30))
 
 
-@query("A3_volumes", sql("SELECT label AS id, count(*) * 0.5 * 0.5 * 2.0 AS volume FROM vox GROUP BY 1", "vox"))
+@query("A3_volumes", sql("SELECT label AS id, count(*) * 5e-1 * 5e-1 * 2e0 AS volume FROM vox GROUP BY 1", "vox"))
 def a3(spark, sf):
     return V.volumes(nodes(spark, sf), Scale(0.5, 2.0))
 
@@ -146,7 +146,7 @@ def a27(spark, sf):
     return V.bounds(nodes(spark, sf))
 
 
-def _area(test: str, faces: str = _FACES, area: str = "CASE WHEN dz <> 0 THEN 1.0 ELSE 2.0 END") -> str:
+def _area(test: str, faces: str = _FACES, area: str = "CASE WHEN dz <> 0 THEN 1e0 ELSE 2e0 END") -> str:
     return f"SELECT v.label AS id, sum(CASE WHEN {test} THEN {area} ELSE 0 END) AS area FROM vox v CROSS JOIN {faces} LEFT JOIN vox w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx GROUP BY 1"
 
 
@@ -169,17 +169,17 @@ def a6s(spark, sf):
     return rounded(V.background_share(nodes(spark, sf), Scale(1.0, 2.0)), "share", digits=9)
 
 
-@query("A7_perimeter", sql(_area(_OPEN, _SIDES, "0.5"), "vox"))
+@query("A7_perimeter", sql(_area(_OPEN, _SIDES, "5e-1"), "vox"))
 def a7(spark, sf):
     return V.exposed(nodes(spark, sf), Scale(0.5, 1.0), flat=True)
 
 
-@query("A7_background_perimeter", sql(_area(_FREE, _SIDES, "0.5"), "vox"))
+@query("A7_background_perimeter", sql(_area(_FREE, _SIDES, "5e-1"), "vox"))
 def a7b(spark, sf):
     return V.exposed(nodes(spark, sf), Scale(0.5, 1.0), background_only=True, flat=True)
 
 
-@query("A8_sphericity", sql(f"AND a AS ({_area(_OPEN, area='1.0')}), v AS (SELECT label AS id, count(*) AS n FROM vox GROUP BY 1) SELECT id, round(pi() ** (1.0 / 3) * (6.0 * n) ** (2.0 / 3) / area, 6) AS sphericity FROM a JOIN v USING (id)", "vox"))
+@query("A8_sphericity", sql(f"AND a AS ({_area(_OPEN, area='1e0')}), v AS (SELECT label AS id, count(*) AS n FROM vox GROUP BY 1) SELECT id, round(pi() ** (1.0 / 3) * (6.0 * n) ** (2.0 / 3) / area, 6) AS sphericity FROM a JOIN v USING (id)", "vox"))
 def a8(spark, sf):
     return rounded(V.sphericity(nodes(spark, sf)), "sphericity")
 
@@ -402,7 +402,7 @@ def j15(spark, sf):
     return V.overlaid(labels_from(v, 1, 20), labels_from(v, 16, 40))
 
 
-@query("J16_edge_in_shell", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 12), ed AS (SELECT * FROM vox WHERE label > 30), g AS (SELECT DISTINCT nd.label AS id, nd.z + dz AS z, nd.y + dy AS y, nd.x + dx AS x FROM nd, {_BALL2} o), h AS (SELECT g.id, count(*) AS n FROM g JOIN ed USING (z, y, x) GROUP BY 1) SELECT DISTINCT label AS id, coalesce(n, 0) * 1.0 AS volume FROM nd LEFT JOIN h ON h.id = label", "vox"))
+@query("J16_edge_in_shell", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 12), ed AS (SELECT * FROM vox WHERE label > 30), g AS (SELECT DISTINCT nd.label AS id, nd.z + dz AS z, nd.y + dy AS y, nd.x + dx AS x FROM nd, {_BALL2} o), h AS (SELECT g.id, count(*) AS n FROM g JOIN ed USING (z, y, x) GROUP BY 1) SELECT DISTINCT label AS id, coalesce(n, 0) * 1e0 AS volume FROM nd LEFT JOIN h ON h.id = label", "vox"))
 def j16(spark, sf):
     v = nodes(spark, sf)
     return V.edge_in_shell(labels_from(v, 1, 12), v.where("label > 30"), 2.0, SHAPE)
