@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers
+from .common import buffers, tidy
 
 HIDDEN, STRETCH, UNDETERMINED = 8, 128, "und"
 #: The training sample: snippets of each language at most, and characters of a snippet.
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 best[none], score[none] = len(net.languages), 0.0
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))], columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, slabs, window_hashes, word_bounds, word_hashes, _bytes, _BYTE, SPACE, mix64
+from .common import buffers, _BYTE, _bytes, mix64, slabs, SPACE, tidy, window_hashes, word_bounds, word_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_upper", "n_stops", "n_distinct")
 _SYMBOL = np.zeros(256, bool)
@@ -102,7 +102,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(found[c], pa.int64()) for c in COUNTS)], [key, *COUNTS])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(tidy(run), f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def ratios() -> dict[str, Column]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             fp = np.array([fingerprint(t.as_py(), shingle) for t in rows.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp)], ["key", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, fp long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, fp long")
 
 
 def _syndromes() -> list[np.ndarray]:
@@ -233,8 +233,8 @@ def fingerprint_links(fps: DataFrame, column: str = "fp") -> DataFrame:
         if held is not None and len(held[0]):
             yield one(*held)
 
-    copies = fps.select(column).where(F.col(column).isNotNull()).distinct().mapInArrow(spread, "key long, fp long, home boolean")
-    first = written(copies.repartition("key").sortWithinPartitions("key").mapInArrow(compare, schema), "anchors")
+    copies = fps.select(column).where(F.col(column).isNotNull()).distinct().mapInArrow(tidy(spread), "key long, fp long, home boolean")
+    first = written(copies.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(compare), schema), "anchors")
     rest = first.where("part IS NOT NULL")
     links = first.where("part IS NULL").select("a", "b")
     if rest.isEmpty():
@@ -245,7 +245,7 @@ def fingerprint_links(fps: DataFrame, column: str = "fp") -> DataFrame:
     side = F.when(F.col("part") <= F.col("other"), 0).otherwise(1)
     cells = there.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "fp", "home", side.alias("side"))
     cells = cells.unionByName(cells.where("x = y").withColumn("side", F.lit(1)))
-    more = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(squares, schema)
+    more = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(squares), schema)
     return links.unionByName(more.select("a", "b"))
 
 

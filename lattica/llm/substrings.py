@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _words, buffers, mix64, slabs, sliding_min, window_hashes, word_bounds, word_hashes, written
+from .common import buffers, mix64, slabs, sliding_min, tidy, window_hashes, word_bounds, word_hashes, _words, written
 
 WINDOW, GRAM = 35, 8
 #: Different runs around one anchor up to which they are parsed in one task.
@@ -138,7 +138,7 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
         if held and (ready := done()):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ready), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["did", "th", "start", "n"])
 
-    all_runs = docs.mapInArrow(cut, "anchor long, run long, did long, th long, start int, n int")
+    all_runs = docs.mapInArrow(tidy(cut), "anchor long, run long, did long, th long, start int, n int")
     # minima and maxima tell without a second count whether the runs of an anchor are all the same
     anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("run").alias("a"), F.max("run").alias("b")).where("times > 1")
     # a table of its own, so that the join is between two plain shuffles and Spark can split an anchor that very many runs have
@@ -150,10 +150,10 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
     whole = shared.where("same").select("did", "th", "start", "n")
     whole = whole.unionByName(mixed.join(kinds.where("times > 1").select("anchor", "run"), ["anchor", "run"]).select("did", "th", "start", "n"))
     listed = kinds.select("one.did", "one.th", F.struct("anchor", "one.start", "one.n", (F.col("times") > 1).alias("twice")).alias("x")).groupBy("did", "th").agg(F.collect_list("x").alias("runs"))
-    block = docs.join(listed, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(phrases, "anchor long, did long, th long, start int, twice boolean, phrases array<long>")
+    block = docs.join(listed, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(tidy(phrases), "anchor long, did long, th long, start int, twice boolean, phrases array<long>")
     block = written(block, "phrases").join(sizes, "anchor")
     few = block.where(F.col("kinds") <= BLOCK_RUNS).select("anchor", "did", "th", "start", "twice", "phrases")
-    found = few.repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start").mapInArrow(parsed, "did long, th long, start int, n int")
+    found = few.repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start").mapInArrow(tidy(parsed), "did long, th long, start int, n int")
     many = block.where(F.col("kinds") > BLOCK_RUNS).select("did", "th", "start", "twice", F.posexplode("phrases").alias("i", "phrase")).dropDuplicates(["did", "th", "start", "i"])
     common = many.groupBy("phrase").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1").select("phrase")
     found = found.unionByName(many.where("NOT twice").join(common, "phrase").select("did", "th", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n")))
@@ -186,4 +186,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 out.append((k, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["key", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return rows.join(found, ["did", "th"], "left").select("key", "text", "spans").mapInArrow(keep, schema).withColumnRenamed("key", key)
+    return rows.join(found, ["did", "th"], "left").select("key", "text", "spans").mapInArrow(tidy(keep), schema).withColumnRenamed("key", key)

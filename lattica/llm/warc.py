@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir
+from .common import filesystem, shared_dir, tidy
 
 #: Payloads shorter than this are stored as they are, however often they occur.
 LEAST_SHARED = 100
@@ -99,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     spark = pages.sparkSession
     index = f"{folder}/index"
-    plan(pages).select("page_id", "url", "html", "digest", "first").mapInArrow(write, INDEX).write.parquet(index)
+    plan(pages).select("page_id", "url", "html", "digest", "first").mapInArrow(tidy(write), INDEX).write.parquet(index)
     return spark.read.schema(INDEX).parquet(index)
 
 
@@ -152,7 +152,7 @@ def read_records(selected: DataFrame, payload: bool = False) -> DataFrame:
     # rows of an index are small and their records are not, so tasks are counted by the bytes they will read
     tasks = 2 + (selected.agg(F.sum("length")).first()[0] or 0) // (4 * RANGE)
     dealt = dealt.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(read, schema)
+    return dealt.mapInArrow(tidy(read), schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
