@@ -32,7 +32,7 @@ MAGIC, BLOCK, SEGMENT_IDS = b"S8BSEG1\0", 256, 1 << 20
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = 60 // COUNT
 ESCAPE = 15
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 _SPAN = np.zeros(16, np.int64)
 _SPAN[:14] = COUNT
 
