@@ -327,9 +327,9 @@ def m18i(spark, sf):
     return V.inner_edges(v.where("label % 3 = 0"), v.where("label % 2 = 1").withColumn("label", F.lit(1).cast("long")))
 
 
-@query("M19_brightness", sql("AND p AS (SELECT z, median(value) AS m FROM chan WHERE value > 0 GROUP BY 1), f AS (SELECT median(m) AS mid, (SELECT max(value) FROM chan) AS top FROM p) SELECT z, y, x, round(least(top, value * coalesce(mid / m, 1.0)), 5) AS value FROM chan LEFT JOIN p USING (z), f", "chan"))
+@query("M19_brightness", sql("AND p AS (SELECT z, median(value) AS m FROM chan WHERE value > 0 GROUP BY 1), f AS (SELECT median(m) AS mid, (SELECT max(value) FROM chan) AS top FROM p) SELECT z, y, x, round(least(top, value * coalesce(mid / m, 1.0)), 8) AS value FROM chan LEFT JOIN p USING (z), f", "chan"))
 def m19(spark, sf):
-    return rounded(V.brightness(I.channel(spark, sf), 24), "value", digits=5)
+    return rounded(V.brightness(I.channel(spark, sf), 24), "value", digits=8)
 
 
 @query("M20_smoothed")
@@ -390,10 +390,10 @@ def j13(spark, sf):
     return V.channel_identities(nodes(spark, sf), {"hi": c.where("value > 400"), "top": c.where("value > 470")}, negatives=True).select("id", F.array_join("ids", ",").alias("ids"))
 
 
-@query("J14_intensities", sql("SELECT v.label AS id, round(coalesce(avg(value) FILTER (value > 0), 0), 5) AS c1, round(coalesce(avg(value) FILTER (value > 100), 0), 5) AS c2 FROM vox v LEFT JOIN chan USING (z, y, x) GROUP BY 1", "vox", "chan"))
+@query("J14_intensities", sql("SELECT v.label AS id, round(coalesce(avg(value) FILTER (value > 0), 0), 8) AS c1, round(coalesce(avg(value) FILTER (value > 100), 0), 8) AS c2 FROM vox v LEFT JOIN chan USING (z, y, x) GROUP BY 1", "vox", "chan"))
 def j14(spark, sf):
     c = I.channel(spark, sf)
-    return rounded(V.intensities(nodes(spark, sf), {"c1": c, "c2": c.where("value > 100")}), "c1", "c2", digits=5)
+    return rounded(V.intensities(nodes(spark, sf), {"c1": c, "c2": c.where("value > 100")}), "c1", "c2", digits=8)
 
 
 @query("J15_overlaid", sql("AND a AS (SELECT * FROM vox WHERE label <= 20), b AS (SELECT z, y, x, label FROM vox WHERE label > 15) SELECT z, y, x, coalesce(a.label, b.label + (SELECT max(label) FROM a)) AS label FROM a FULL JOIN b USING (z, y, x)", "vox"))
