@@ -104,7 +104,7 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), did, th, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "run", "did", "th", "start", "n"])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slabs(batches):
+        for rows in slabs(batches, 1 << 20):
             words, first = hashed(rows.column(2))
             all_phrases = window_hashes(words, window).view(np.int64)
             out = [[] for _ in range(6)]
@@ -141,9 +141,7 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
     all_runs = docs.mapInArrow(tidy(cut), "anchor long, run long, did long, th long, start int, n int")
     # minima and maxima tell without a second count whether the runs of an anchor are all the same
     anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("run").alias("a"), F.max("run").alias("b")).where("times > 1")
-    # a table of its own, so that the join is between two plain shuffles and Spark can split an anchor that very many runs have
-    anchors = written(anchors.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchors")
-    shared = written(all_runs.join(anchors, "anchor"), "runs")
+    shared = written(all_runs.join(anchors.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor"), "runs")
     mixed = shared.where("NOT same")
     kinds = written(mixed.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("one")), "kinds")
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
