@@ -1,15 +1,16 @@
-"""Near duplicates by similarity: long SimHash sketches of word shingles, for pairs that 64 bits at a distance of 3 are too short to find.
+"""Near duplicates by similarity: documents whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-A sketch has TABLES x KEY bits. Sets of shingles of Jaccard similarity j differ in acos(2j / (1 + j)) / pi of its bits. Texts that agree
-in all KEY bits of one of the tables meet there (the anchors are the words of KEY bits themselves, of radius 0); in each meeting the
-members are tied by a minimum spanning tree over a part of the sketch, so that a crowd gives no more rows than it has members; and each tie
-is judged by the whole sketch. Of pairs of similarity 0.8, 0.85 and 0.9 about 85, 97 and 99.9 of a hundred meet directly.
+Documents meet where all ROWS minima of one of BANDS bands agree (MinHash). A pair of similarity j misses all bands with probability
+(1 - j ** ROWS) ** BANDS, 2.4e-9 at 0.8 and less above, whatever the lengths. All pairs of a meeting are compared by short signatures, which
+only part those that are far apart (a pair of similarity 0.8 is parted with probability 3e-10); what stays together over any number of meetings is a group.
+In a group all pairs are judged by the exact similarity of their sets, large groups in squares; only a forest of the accepted links goes
+out, so that a crowd gives no more rows than it has members.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,30 +21,28 @@ from .common import buffers, mix64, slabs, tidy, window_hashes, word_bounds, wor
 from .components import components
 from .simhash import classes
 
-KEY, TABLES, SHINGLE, SIMILARITY = 24, 96, 5, 0.8
-WORDS = KEY * TABLES // 64
-#: Words of the sketch that ties are found with.
-PART = 4
+WORDS, SHINGLE, SIMILARITY = 36, 5, 0.8
+ROWS, BANDS = 5, 50
+#: A signature is a byte of each of SIGNATURE minima; pairs that agree in fewer than AGREE are far apart.
+SIGNATURE, AGREE = 32, 10
+#: Shingles of one side of a square.
+SQUARE = 2_000_000
+_SEEDS = mix64(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: A byte's bits, the high one first, as eight counters of eight bits.
 _LANES = np.array([int.from_bytes(bytes((b >> (7 - i)) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
 
 
-def most_bits(similarity: float) -> int:
-    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * 64)
-
-
-def sketches(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """(texts x WORDS) of 64 bits; a bit is 1 if it is set in over half the different shingles. Texts without words have the sketch zero,
-    those with fewer words than a shingle have one shingle."""
+def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the different shingles of each text, text after text and in order; how many each text has). Texts without words have
+    none, those with fewer words than a shingle have one shingle."""
     raw, offsets = buffers(column)
     raw = _LOWER[raw]
     starts, ends = word_bounds(raw, offsets)
     first = np.searchsorted(starts, offsets)
     words = word_hashes(raw, starts, ends)
     n = np.diff(first)
-    out = np.zeros((len(n), WORDS), np.uint64)
     row = np.repeat(np.arange(len(n)), n)
     long = window_hashes(words, shingle)
     inside = np.flatnonzero(row[: len(long)] == row[shingle - 1 :]) if len(long) else np.empty(0, np.int64)
@@ -58,13 +57,21 @@ def sketches(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
     key, row = key[new], row[new]
+    return key, np.bincount(row, minlength=len(n))
+
+
+def sketches(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """(texts x WORDS) of 64 bits, long SimHash sketches; a bit is 1 if it is set in over half the different shingles. Texts without words
+    have the sketch zero."""
+    key, count = shingle_sets(column, shingle)
+    out = np.zeros((len(count), WORDS), np.uint64)
     if not len(key):
         return out
-    count = np.bincount(row, minlength=len(n))
-    # eight counters share a word, so they are emptied after 255 shingles
+    row = np.repeat(np.arange(len(count)), count)
     begin = np.cumsum(count) - count
     place = np.arange(len(key)) - begin[row]
     piece = np.flatnonzero(place % 255 == 0)
+    # eight counters share a word, so they are emptied after 255 shingles
     owner = row[piece]
     cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     half = count[owner[cut]][:, None]
@@ -78,87 +85,162 @@ def sketches(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def tree(ids: np.ndarray, parts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning tree of rows by the differing bits of their parts, without ties above `most` (Prim)."""
-    n = len(ids)
-    best, at, left, a, b = np.full(n, 1 << 30), np.zeros(n, np.int64), np.ones(n, bool), [], []
-    now = 0
-    left[0] = False
-    for _ in range(n - 1):
-        d = np.bitwise_count(parts ^ parts[now]).sum(1, dtype=np.int64)
-        closer = left & (d < best)
-        best[closer], at[closer] = d[closer], now
-        now = int(np.where(left, best, 1 << 31).argmin())
-        left[now] = False
-        if best[now] <= most:
-            a.append(ids[at[now]])
-            b.append(ids[now])
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, crowd: int = 4096) -> DataFrame:
-    """(a, b) of nodes (id, sketch: binary) whose sketches differ in no more bits than the similarity allows. A meeting of more than `crowd`
-    members is cut into runs of so many in the order of their part of the sketch, each tied to the first of the next."""
-    slack = int(most_bits(similarity) / WORDS * PART + 6 * math.sqrt(PART * 64 * 0.15 * 0.85))
+def minima(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(texts x BANDS * ROWS) least hashes of each text's shingles; of texts without shingles all ones."""
+    out = np.full((len(count), BANDS * ROWS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    some = np.flatnonzero(count)
+    if len(some):
+        begin, h = (np.cumsum(count) - count)[some], np.empty_like(key)
+        for i in range(BANDS * ROWS):
+            np.bitwise_xor(key, _SEEDS[0, i], out=h)
+            np.multiply(h, _SEEDS[1, i] | np.uint64(1), out=h)
+            out[some, i] = np.minimum.reduceat(h, begin)
+    return out
+
+
+def bands(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x BANDS) keys of the bands, (texts x SIGNATURE) bytes."""
+    by_band = least.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), by_band.shape[:2])
+    for r in range(ROWS):
+        key = mix64((key ^ by_band[:, :, r]) * np.uint64(0xD1B54A32D192ED03))
+    # the bytes come from one minimum of each band, mixed, as a minimum's high bits are zeros
+    return key, (mix64(np.ascontiguousarray(by_band[:, :SIGNATURE, 0])) >> np.uint64(56)).astype(np.uint8)
+
+
+def tied(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph of n members in which i is linked to those of `left` where near(i, left). A member is compared with
+    all that are not reached yet, so that no link between two trees is missed."""
+    left, a, b = np.arange(n), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            hit = near(i, left)
+            if hit.any():
+                new, left = left[hit], left[~hit]
+                a.append(np.full(len(new), i))
+                b.append(new)
+                reached.extend(new.tolist())
+    return np.concatenate(a), np.concatenate(b)
+
+
+def similar(key: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of texts whose sets, as of shingle_sets(), are that similar; exact. A text without shingles is linked
+    to none."""
+    words, code = np.unique(key, return_inverse=True)
+    ends = np.cumsum(count)
+    mark = np.zeros(len(words), np.uint8)
+    held, begin, codes = None, None, None
+
+    def near(i: int, left: np.ndarray) -> np.ndarray:
+        nonlocal held, begin, codes
+        if held is None or 2 * len(left) < len(held):
+            held = left
+            inside = np.zeros(len(count), bool)
+            inside[left] = True
+            codes = code[np.repeat(inside, count)]
+            begin = np.cumsum(count[left]) - count[left]
+        own = code[ends[i] - count[i] : ends[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes], begin, dtype=np.int64)[np.searchsorted(held, left)]
+        mark[own] = 0
+        return common >= similarity * (count[left] + len(own) - common)
+
+    some = np.flatnonzero(count)
+    count, ends = count[some], ends[some]
+    a, b = tied(len(some), near)
+    return some[a], some[b]
+
+
+def groups(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes (id, bands: binary, signature: binary) that meet and are not far apart."""
+    parts = [f"p{i}" for i in range(SIGNATURE // 8)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 rows = batch.slice(at, 4096)
-                raw = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(rows), -1)
-                key = raw.reshape(len(rows), TABLES, KEY // 8).astype(np.int64)
-                key = (key[:, :, 0] << 16 | key[:, :, 1] << 8 | key[:, :, 2]) + (np.arange(TABLES, dtype=np.int64) << KEY)
-                # the part comes from the words after the table's own, so that it tells more than the key
-                words = raw.view(np.uint64)
-                own = np.arange(TABLES) * KEY // 64
-                part = np.stack([np.ascontiguousarray(words[:, (own + 2 + i) % WORDS]) for i in range(PART)], -1)
-                ids = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids), *(pa.array(part[:, :, i].ravel().view(np.int64)) for i in range(PART))], ["k", "id", *(f"p{i}" for i in range(PART))])
+                key = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.int64)
+                part = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.int64).reshape(len(rows), -1)
+                ids = rows.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, BANDS)), *(pa.array(np.repeat(part[:, i], BANDS)) for i in range(len(parts)))], ["k", "id", *parts])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def ties(key, ids, parts):
+        def ties(key, ids, part):
+            sign = np.ascontiguousarray(part).view(np.uint8).reshape(len(ids), SIGNATURE)
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(cut, len(key)))
             two = cut[size == 2]
-            near = np.bitwise_count(parts[two] ^ parts[two + 1]).sum(1) <= slack
+            near = (sign[two] == sign[two + 1]).sum(1) >= AGREE
             a, b = [ids[two[near]]], [ids[two[near] + 1]]
             for c, s in zip(cut[size > 2], size[size > 2]):
-                own = np.arange(c, c + s)
-                if s > crowd:
-                    own = own[np.lexsort(parts[own].T[::-1])]
-                for i in range(0, s, crowd):
-                    u, v = tree(ids[own[i : i + crowd + 1]], parts[own[i : i + crowd + 1]], slack)
-                    a.append(u)
-                    b.append(v)
+                own = sign[c : c + s]
+                u, v = tied(s, lambda i, left: (own[left] == own[i]).sum(1) >= AGREE)
+                a.append(ids[c + u])
+                b.append(ids[c + v])
             a, b = np.concatenate(a), np.concatenate(b)
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
+        held, n = [], 0
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            done = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if done >= 1 << 16:
-                yield ties(held[0][:done], held[1][:done], np.stack([c[:done] for c in held[2:]], 1).view(np.uint64))
-                held = [c[done:] for c in held]
-        if held is not None and len(held[0]):
-            yield ties(held[0], held[1], np.stack(held[2:], 1).view(np.uint64))
-
-    longs = ", ".join(f"p{i} long" for i in range(PART))
-    met = nodes.select("id", "sketch").mapInArrow(tidy(spread), f"k long, id long, {longs}").repartition("k").sortWithinPartitions("k", "id").mapInArrow(tidy(meet), "a long, b long").distinct()
-    x, y = nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-    pairs = met.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    most = most_bits(similarity)
+            if not len(new[0]):
+                continue
+            # a meeting that goes on over many batches is put together once
+            if n >= 1 << 16 and new[0][0] != held[-1][0][-1] or n >= 1 << 16 and new[0][0] != new[0][-1]:
+                whole = [np.concatenate(x) for x in zip(*held, new)]
+                done = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+                yield ties(whole[0][:done], whole[1][:done], np.stack([c[:done] for c in whole[2:]], 1))
+                held, n = [[c[done:].copy() for c in whole]], len(whole[0]) - done
+            else:
+                held.append(new)
+                n += len(new[0])
+        if n:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            yield ties(whole[0], whole[1], np.stack(whole[2:], 1))
+
+    longs = ", ".join(f"{p} long" for p in parts)
+    copies = nodes.select("id", "bands", "signature").mapInArrow(tidy(spread), f"k long, id long, {longs}")
+    return copies.repartition("k").sortWithinPartitions("k", "id").mapInArrow(tidy(meet), "a long, b long").distinct()
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, square: int = SQUARE) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes (id, n, bands, signature) that are that similar, n being the size of a
+    node's set; texts (id, text) has what they are. A group of more than `square` shingles is dealt into parts, and each two parts
+    meet in a task."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), WORDS) for c in ("x", "y"))
-            ok = pa.array(np.bitwise_count(u ^ v).sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        def links(ids, keys, counts):
+            ids = np.concatenate(ids)
+            a, b = similar(np.concatenate(keys), np.concatenate(counts), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+        now, held = None, ([], [], [])
+        for rows in slabs(batches):
+            cell = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], 1)
+            key, count = shingle_sets(rows.column(4))
+            ids, ends = rows.column(3).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(count)])
+            cut = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]))
+            for i, j in zip(cut, np.append(cut[1:], len(ids))):
+                if now is not None and now != tuple(cell[i]):
+                    yield links(*held)
+                    held = ([], [], [])
+                now = tuple(cell[i])
+                for x, y in zip(held, (ids[i:j], key[ends[i] : ends[j]], count[i:j])):
+                    x.append(y)
+        if now is not None:
+            yield links(*held)
 
-    return pairs.mapInArrow(tidy(judge), "a long, b long")
+    of = written(components(groups(nodes)).join(nodes.select(F.col("id").alias("node"), "n"), "node"), "groups")
+    last = of.groupBy("root").agg(F.floor((F.sum("n") - 1) / square).cast("int").alias("last"))
+    part = F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")
+    dealt = of.join(last, "root").select("root", F.col("node").alias("id"), part.alias("part"), F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    # parts meet in two; a part meets itself only where it is the only one
+    dealt = dealt.where("other <> part").unionByName(of.join(last.where("last = 0"), "root").select("root", F.col("node").alias("id"), F.lit(0).alias("part"), F.lit(0).alias("other")))
+    cells = dealt.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id").join(texts, "id").select("root", "x", "y", "id", "text")
+    return cells.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(tidy(judge), "a long, b long")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -168,13 +250,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slabs(batches, 2 << 20):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sketches(rows.column(1))], pa.binary())], ["key", "sketch"])
+            sets, count = shingle_sets(rows.column(1))
+            key, sign = bands(minima(sets, count))
+            ends = np.cumsum(count)
+            same = [hashlib.blake2b(sets[e - n : e], digest_size=16).digest() for e, n in zip(ends, count)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(same, pa.binary()), pa.array(count.astype(np.int64)), pa.array([x.tobytes() for x in key], pa.binary()), pa.array([x.tobytes() for x in sign], pa.binary())], ["key", "same", "n", "bands", "signature"])
 
     named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key IS NOT NULL")
-    rows = written(named.mapInArrow(tidy(run), "key long, sketch binary"), "sketches")
-    nodes = written(rows.groupBy("sketch").agg(F.min("key").alias("id")), "nodes")
-    same = rows.join(nodes, "sketch").where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
+    rows = written(named.mapInArrow(tidy(run), "key long, same binary, n long, bands binary, signature binary"), "sets")
+    nodes = written(rows.groupBy("same", "n", "bands", "signature").agg(F.min("key").alias("id")), "nodes")
+    same = rows.select("key", "same").join(nodes.select("same", "id"), "same").where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
+    texts = named.withColumnRenamed("key", "id")
     short = classes(docs, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("a"), F.col("component_id").alias("b"))
-    links = same.unionByName(similar_links(nodes, similarity)).unionByName(short)
+    links = same.unionByName(similar_links(nodes.where("n > 0"), texts, similarity)).unionByName(short)
     gone = components(links).where("node <> root").select(F.col("node").alias(key))
     return docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)

@@ -86,3 +86,16 @@ def test_stages_and_run(spark):
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in last)
     assert 0 < len({r.doc_id for r in whole}) <= n
+
+
+def test_pairs_at_the_required_similarity(spark):
+    """Texts with 80 common shingles and 19, 20 or 21 others: 0.81 and 0.8 are linked, 0.79 is not, for each of many pairs."""
+    rows, want = [], set()
+    for i in range(120):
+        others = 19 + i % 3
+        common = [f"p{i}w{k}" for k in range(84)]
+        for side, n in ((0, others // 2), (1, others - others // 2)):
+            rows.append((2 * i + side, " ".join(common + [f"p{i}s{side}t{k}" for k in range(n)])))
+        want |= {2 * i} if others <= 20 else {2 * i, 2 * i + 1}
+    kept = sketch.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == want
