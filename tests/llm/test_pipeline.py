@@ -99,3 +99,30 @@ def test_pairs_at_the_required_similarity(spark):
         want |= {2 * i} if others <= 20 else {2 * i, 2 * i + 1}
     kept = sketch.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_crowd_of_almost_similar_texts(spark):
+    """240 texts of one template at a similarity of 0.78 that all meet; each has one twin at 0.81, which is found in whatever part it is."""
+    template, rows = [f"t{k}" for k in range(304)], []
+    for i in range(120):
+        for side in (0, 1):
+            rows.append((i + 120 * side, " ".join(template + [f"p{i}k{k}" for k in range(6)] + [f"p{i}s{side}k{k}" for k in range(36)])))
+    sets = [shingles(t) for _, t in sorted(rows)]
+    assert all((len(sets[0] & x) >= 0.8 * len(sets[0] | x)) == (k in (0, 120)) for k, x in enumerate(sets))
+    key, count = sketch.shingle_sets(pa.array([t for _, t in sorted(rows)]))
+    ends, (band, sign) = np.cumsum(count), sketch.bands(sketch.minima(key, count))
+    nodes = spark.createDataFrame([(i, int(count[i]), bytearray(band[i].tobytes()), bytearray(sign[i].tobytes())) for i in range(240)], "id long, n long, bands binary, signature binary")
+    links = sketch.similar_links(nodes, spark.createDataFrame(rows, "id long, text string"), square=20_000)
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == {(i, i + 120) for i in range(120)}
+
+
+def test_forests_are_those_of_all_pairs():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 14, r.integers(0, 16))).astype(np.uint64) for _ in range(150)]
+    a, b = sketch.similar(np.concatenate(sets), np.array([len(s) for s in sets]), 0.8)
+    root, want = list(range(150)), list(range(150))
+    for label, pairs in ((root, zip(a, b)), (want, ((i, j) for i in range(150) for j in range(i) if len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))))):
+        for i, j in pairs:
+            x, y = label[i], label[j]
+            label[:] = [min(x, y) if z in (x, y) else z for z in label]
+    assert root == want and len(set(root)) < 150
