@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts without any of these have no license sentence (any case).
+#: What the SQL below looks for before it scans a text; scan() itself scans every text.
 HINTS = r"licen[cs]e|copyright|spdx|warranty|permission is hereby|redistribution|public domain|all rights reserved|creative commons|\bcc[ -]|free software"
 
 # Wordings of well-known licenses after normalisation, the more specific first.
@@ -113,8 +113,8 @@ def _name(s: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, sentence_ids (names of the recognised sentences in order), licenses (in the order of the rules, each once, comma-joined) and
     n_licenses for every row. Null and empty texts have none; other columns are dropped."""
-    hint = F.col(text).rlike("(?i)" + HINTS)
-    rows = docs.select(F.col(key), F.when(hint, F.filter(F.transform(sentences(F.col(text)), _name), lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>")).alias("names"))
+    named = F.filter(F.transform(sentences(F.col(text)), _name), lambda n: n.isNotNull())
+    rows = docs.select(F.col(key), F.coalesce(named, F.array().cast("array<string>")).alias("names"))
     ids = F.array_join("names", ",").alias("sentence_ids")
     rules = F.array(*[F.struct(F.lit(_key(names)).alias("names"), F.lit(name).alias("license")) for name, names in RULES])
     start = F.struct(F.array_join(F.transform("names", lambda n: F.concat(F.lit("<"), n, F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"))

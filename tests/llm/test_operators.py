@@ -353,3 +353,9 @@ def test_hypergeometric_draws(spark):
     assert len(leaves) == 8 and [sum(x) for x in zip(*(r.quotas for r in leaves))] == [100, 37, 0, 1]
     sums = [sum(r.quotas) for r in leaves]
     assert max(sums) - min(sums) <= 1
+
+
+def test_licenses_without_hint_words(spark):
+    want = {"Released under GPLv3": "GPL-3.0", "uses LGPL v2.1": "LGPL-2.1", "AGPL-3": "AGPL-3.0", "CC0": "CC0-1.0", "BSD 3-Clause": "BSD-3-Clause", "attribution-sharealike": "CC-BY-SA", "it is in the public\ndomain": "public-domain", "# all rights\n# reserved": "proprietary", "nothing": ""}
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.licenses for r in licenses.scan(rows).orderBy("doc_id").collect()] == list(want.values())
