@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: What the SQL below looks for before it scans a text; scan() itself scans every text.
 HINTS = r"licen[cs]e|copyright|spdx|warranty|permission is hereby|redistribution|public domain|all rights reserved|creative commons|\bcc[ -]|free software"
 
+#: Ends of sentences: . ! ? ; : before white space and blank lines, but a tag keeps its value, the GPL's header its version and the
+#: Apache header its address.
+CUT = r"([.!?]|;(?![\s\W]+either\s+version)|(?<!(?i:SPDX-License-Identifier|license at)[ \t]{0,4}):)\s+|(?<!(?i:license at)[ \t\r:]{0,4})\n[ \t\r]*\n"
+
 # Wordings of well-known licenses after normalisation, the more specific first.
 SENTENCES = [
     ("SpdxAgpl3", r"spdx-license-identifier agpl-3.0"),
@@ -96,9 +100,9 @@ def _key(names: list[str]) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """Array of normalised sentences: cut at . ! ? ; : before white space and at blank lines, then lower-case ASCII words; signs
+    """Array of normalised sentences: cut as CUT says, then lower-case ASCII words; signs
     of comments are no words."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])\s+|\n[ \t\r]*\n", "$1\u0001"), "\u0001")
+    cut = F.split(F.regexp_replace(text, CUT, "$1\u0001"), "\u0001")
     plain = lambda s: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9.+/-]+", " "), r" [./+-]+ ", " "), r"^[ ./+-]+|[ ./+-]+$", ""))
     return F.transform(cut, plain)
 

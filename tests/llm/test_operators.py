@@ -359,3 +359,14 @@ def test_licenses_without_hint_words(spark):
     want = {"Released under GPLv3": "GPL-3.0", "uses LGPL v2.1": "LGPL-2.1", "AGPL-3": "AGPL-3.0", "CC0": "CC0-1.0", "BSD 3-Clause": "BSD-3-Clause", "attribution-sharealike": "CC-BY-SA", "it is in the public\ndomain": "public-domain", "# all rights\n# reserved": "proprietary", "nothing": ""}
     rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     assert [r.licenses for r in licenses.scan(rows).orderBy("doc_id").collect()] == list(want.values())
+
+
+def test_licenses_in_their_usual_wording(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required, software distributed under the License is distributed on an "AS IS" BASIS.'
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "CC0-1.0": "CC0-1.0", "GPL-2.0-only": "GPL-2.0", "AGPL-3.0": "AGPL-3.0"}
+    want = {f"// SPDX-License-Identifier: {tag}\n": name for tag, name in tags.items()} | {gpl.format(2): "GPL-2.0", gpl.format(3): "GPL-3.0", apache: "Apache-2.0"}
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = licenses.scan(rows).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == list(want.values())
+    assert got[-1].sentence_ids == "Apache2Ref,ApacheUse,ApacheCopy,ApacheAsIs"
