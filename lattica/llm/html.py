@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|select|object|math|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|select|object|math|canvas)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)",
     re.S | re.I,
 )
@@ -27,9 +28,10 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"br", "button", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CONTAINER = frozenset("article aside body div footer form header html main nav section table ul ol dl td th blockquote button".split())
-DROPPED_TAGS = frozenset("nav footer aside form button dialog menu fieldset input label head".split())
+DROPPED_TAGS = frozenset("nav footer aside button dialog menu fieldset input label head".split())
 DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar form tooltip status".split())
-#: Words of class and id that name what is no part of an article. LAYOUT names are believed only of elements that hold less than half the text.
+#: Words of class and id that name what is no part of an article. They, LAYOUT names and forms are believed only of elements that hold less than
+#: half the text.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promoted cookie cookies consent gdpr notice notices notification alert popup newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager footer copyright skip hidden noprint feedback survey paywall".split()
 )
@@ -87,7 +89,7 @@ class Tree:
         if name in VOID or name in ("html", "body") and name in (self.tag[x] for x in stack):
             return
         here = stack[-1]
-        drop, layout, bonus = name in DROPPED_TAGS, False, 0.0
+        drop, layout, bonus = name in DROPPED_TAGS, name == "form", 0.0
         inside = any(self.tag[x] in ("article", "main") for x in stack)
         if name == "header" and not inside:
             drop = True
@@ -103,8 +105,7 @@ class Tree:
                     bonus += 25 * (v.lower() == "articlebody")
                 elif k in ("class", "id") and name not in ("html", "body"):
                     words = {w.lower() for w in PARTS.findall(v)}
-                    if words & DROPPED_WORDS:
-                        drop = True
+                    layout |= bool(words & DROPPED_WORDS)
                     layout |= bool(words & LAYOUT) and not (inside and words & {"header"})
                     bonus += 25 * bool(words & CONTENT_WORDS) * (not words & LAYOUT)
         self.tag.append(name)

@@ -370,3 +370,12 @@ def test_licenses_in_their_usual_wording(spark):
     got = licenses.scan(rows).orderBy("doc_id").collect()
     assert [r.licenses for r in got] == list(want.values())
     assert got[-1].sentence_ids == "Apache2Ref,ApacheUse,ApacheCopy,ApacheAsIs"
+
+
+def test_main_text_of_wrapped_pages():
+    body = " ".join(f"<p>Paragraph {i} of the article, with commas, and enough words to count as text.</p>" for i in range(6))
+    want = " ".join(f"Paragraph {i} of the article, with commas, and enough words to count as text." for i in range(6))
+    for page in ("<svg-icon></svg-icon>{}", "<title-bar></title-bar>{}", "<svg viewBox='0 0 1 1'/>{}", "<form action=x><div>{}</div></form>", "<article class='post has-comments'>{}</article>", "<div id=content class=share-enabled>{}</div>"):
+        assert html.main_text("<html><body>" + page.format(body) + "</body></html>") == want, page
+    page = f"<html><body><div>{body}</div><div class=comments><p>A reader says something, with commas, and some words.</p></div><form><p>Search, subscribe, and other words of a form here.</p></form></body></html>"
+    assert html.main_text(page) == want
