@@ -12,15 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, tidy
+from .common import buffers, free_name, tidy
 
 HIDDEN, STRETCH, UNDETERMINED = 8, 128, "und"
 #: The training sample: snippets of each language at most, and characters of a snippet.
 SNIPPETS, SNIPPET_CHARS = 800, 160
+#: Rows of a language that are looked at for each snippet.
+MARGIN = 1.25
 
 
 @dataclass
@@ -191,24 +193,38 @@ def held_out(key: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", snippets: int = SNIPPETS) -> Network:
     """Trains on at most `snippets` snippets of each language: of rows that are not held out and have an id, a text and a language, those
-    with the smallest hashes, each cut out at a place its hash names. Without such rows the network has no languages."""
+    with the smallest hashes, each cut out at a place its hash names. Without such rows the network has no languages. Languages are the
+    classes of the network, so there are few.
+
+    Rows are counted by language first; only those whose hash is among the lowest MARGIN x snippets to be expected, the same rows
+    however the table is partitioned, are looked at closer, so no task or language gathers more than that."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull())
-    rows = rows.where(~held_out("k")).withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit(17)))
+    rows = rows.where(~held_out("k"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return train([], [])
+    # hashes are even over 64 bits, the sign included
+    bound = {name: min((1 << 63) - 1, int(MARGIN * snippets / n * 2.0**64) - (1 << 63)) for name, n in counts.items()}
+    below = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
+    rows = rows.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit(17))).where(F.col("h") <= below[F.col("l")])
     at = F.pmod(F.shiftright("h", 20), F.greatest(F.length("t") - SNIPPET_CHARS, F.lit(0)) + 1) + 1
-    rows = rows.select("l", "h", F.substring("t", at.cast("int"), F.lit(SNIPPET_CHARS)).alias("s"))
-    first = Window.partitionBy("l").orderBy("h", "s")
-    found = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= snippets).orderBy("l", "n").collect()
-    return train([r.s.encode() for r in found], [r.l for r in found])
-
-
-def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred and score, the probability of lang_pred. lang_pred is `und` with score 0 where the text is null
-    or has no letter, and everywhere if the network has no languages; with one language that is the prediction. Columns of these
-    names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+    cut = F.substring("t", at.cast("int"), F.lit(SNIPPET_CHARS))
+    found = rows.select("l", "h", cut.alias("s")).groupBy("l", "h").agg(F.min("s").alias("s")).orderBy("l", "h").collect()
+    taken: dict[str, list] = {}
+    for r in found:
+        if len(taken.setdefault(r.l, [])) < snippets:
+            taken[r.l].append(r.s.encode())
+    return train([s for x in taken.values() for s in x], [name for name, x in taken.items() for _ in x])
+
+
+def predict(docs: DataFrame, net: Network, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs with lang_pred and score (or `names`), the probability of lang_pred. lang_pred is `und` with score 0 where the text
+    is null or has no letter, and everywhere if the network has no languages; with one language that is the prediction. Columns of
+    these names are replaced; repeated rows are judged alike; an empty table stays empty."""
+    docs = docs.drop(*names)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names, columns = np.array([*net.languages, UNDETERMINED], object), [*docs.columns, "lang_pred", "score"]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    languages, columns = np.array([*net.languages, UNDETERMINED], object), [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -224,12 +240,16 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 score = p[np.arange(len(rows)), best]
                 none = np.array([not net.languages or t is None or letter.search(t) is None for t in rows.column(at).to_pylist()], bool)
                 best[none], score[none] = len(net.languages), 0.0
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))], columns)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(languages[best].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))], columns)
 
     return docs.mapInArrow(tidy(run), schema)
 
 
 def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs whose language is determined with a probability of at least `least`, with the columns of docs. A bilingual text
-    has about half for each of its languages, so the default drops texts of no language only."""
-    return predict(docs, fit(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    """The rows of docs whose language is determined with a probability of at least `least`, with the columns of docs, whatever their names.
+    A bilingual text has about half for each of its languages, so the default drops texts of no language only. Null and empty texts and
+    those without a letter are of no language and go; repeated rows go or stay together; without languages to learn from, or
+    without rows, nothing is left."""
+    names = tuple(free_name(docs, n) for n in ("lang_pred", "score"))
+    rows = predict(docs, fit(docs), names=names)
+    return rows.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).select(*docs.columns)
