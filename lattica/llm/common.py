@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,14 +17,17 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder named by spark.checkpoint.dir; a local one is set only where the session names none (tests)."""
+    """A new path below the folder named by spark.checkpoint.dir, with the scheme of the file system that it is in. Where the session names no
+    folder, a local session gets one of its own (tests); a cluster must name one that all its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that no column of df has it in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI; works on executors and on the driver."""
     from pyarrow import fs
@@ -110,6 +122,106 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64((total[k:] - total[:n]) * down[:n])
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Spans longer than this are hashed one by one.
+_LONG_SPAN = 512
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint64(r) | x >> np.uint64(64 - r)
+
+
+def xxh64(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each span raw[start:end], all spans side by side."""
+    import xxhash
+
+    data = raw.tobytes()
+    eights = np.ndarray((len(raw) + 1,), "<u8", data + bytes(8), 0, (1,))
+    mixed = lambda acc, lane: _rotl(acc + lane * _P2, 31) * _P1
+    size, at, zero = ends - starts, starts.copy(), np.uint64(0)
+    h = np.uint64(seed) + _P5 + size.astype(np.uint64)
+    wide = np.flatnonzero((size >= 32) & (size <= _LONG_SPAN))
+    if len(wide):
+        stripes = size[wide] // 32
+        order = np.argsort(-stripes, kind="stable")
+        wide, stripes = wide[order], stripes[order]
+        lanes = [np.full(len(wide), v & 0xFFFFFFFFFFFFFFFF, np.uint64) for v in (seed + int(_P1) + int(_P2), seed + int(_P2), seed, seed - int(_P1))]
+        for k in range(int(stripes[0])):
+            n = int(np.searchsorted(-stripes, -k, "left"))
+            for i, lane in enumerate(lanes):
+                lane[:n] = mixed(lane[:n], eights[starts[wide[:n]] + 32 * k + 8 * i])
+        acc = _rotl(lanes[0], 1) + _rotl(lanes[1], 7) + _rotl(lanes[2], 12) + _rotl(lanes[3], 18)
+        for lane in lanes:
+            acc = (acc ^ mixed(zero, lane)) * _P1 + _P4
+        h[wide] = acc + size[wide].astype(np.uint64)
+        at[wide] += 32 * stripes
+    left = np.where(size > _LONG_SPAN, 0, ends - at)
+    for _ in range(3):
+        some = np.flatnonzero(left >= 8)
+        h[some] = _rotl(h[some] ^ mixed(zero, eights[at[some]]), 27) * _P1 + _P4
+        at[some] += 8
+        left[some] -= 8
+    some = np.flatnonzero(left >= 4)
+    h[some] = _rotl(h[some] ^ (eights[at[some]] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+    at[some] += 4
+    left[some] -= 4
+    for _ in range(3):
+        some = np.flatnonzero(left > 0)
+        h[some] = _rotl(h[some] ^ (eights[at[some]] & np.uint64(0xFF)) * _P5, 11) * _P1
+        at[some] += 1
+        left[some] -= 1
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size > _LONG_SPAN):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], seed)
+    return h
+
+
+#: A byte's bits, the high one first, as eight counters of eight bits.
+_LANES = np.array([int.from_bytes(bytes((b >> (7 - i)) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
+
+
+def majorities(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A word of 64 bits for each text, whose hashes stand one behind the other: a bit is 1 if it is set in over half of them."""
+    out = np.zeros(len(count), np.uint64)
+    if not len(h):
+        return out
+    row = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(h)) - (np.cumsum(count) - count)[row]
+    # eight counters share a word, so they are emptied after 255 hashes
+    piece = np.flatnonzero(place % 255 == 0)
+    owner = row[piece]
+    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    half, byte_of = count[owner[cut]][:, None], h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    bits = np.empty((len(cut), 64), bool)
+    for byte in range(8):
+        part = np.add.reduceat(_LANES[byte_of[:, byte]], piece).view(np.uint8).reshape(-1, 8)
+        bits[:, 8 * byte : 8 * byte + 8] = 2 * np.add.reduceat(part.astype(np.int64), cut) > half
+    out[owner[cut]] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it is linked to over any number of the links) without the smallest nodes themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        more = label[i] != label[j]
+        i, j = i[more], j[more]
+    while (label != label[label]).any():
+        label = label[label]
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by doubling."""
     done = 1

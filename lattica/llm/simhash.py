@@ -16,42 +16,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import buffers, forest, majorities, slabs, SPACE, tidy, word_bounds, written, xxh64
 from .components import components
 
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED, THRESHOLD = 42, 3
 #: An anchor with more fingerprints than this is compared in squares of SQUARE x SQUARE, each its own task's work.
 FULL, SQUARE = 32768, 8192
-_CHUNK = 1 << 16
-
-
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits, each 1 if it is set in over half the XXH64 hashes of the shingles; 0 without words. Fewer words make one shingle."""
-    import xxhash
-
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    hash64, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist())
-    for at in range(0, n, _CHUNK):
-        h = np.fromiter((hash64(joined[a:b], SEED) for a, b in (next(spans) for _ in range(min(_CHUNK, n - at)))), np.uint64)
-        total += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def fingerprint(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    """64 bits of each text, each 1 if it is set in over half the XXH64 hashes of the shingles; 0 without words. Fewer words make one shingle."""
+    raw, offsets = buffers(column)
+    raw = _LOWER[raw]
+    starts, ends = word_bounds(raw, offsets)
+    first, size = np.searchsorted(starts, offsets), ends - starts
+    n = np.diff(first)
+    # the words one behind the other, with one space between them
+    to = np.cumsum(size + 1) - (size + 1)
+    joined = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    letters = raw[~SPACE[raw]]
+    joined[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+    count = np.where(n > 0, np.maximum(1, n - shingle + 1), 0)
+    row = np.repeat(np.arange(len(n)), count)
+    word = first[:-1][row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    last = np.minimum(word + shingle, first[1:][row]) - 1
+    return majorities(xxh64(joined, to[word], to[last] + size[last], SEED), count)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(key, fp): fp is the fingerprint of the whole text as a signed long; a null text has fingerprint zero. Other columns are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in rows.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp)], ["key", "fp"])
+        for rows in slabs(batches, 2 << 20):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprint(rows.column(1), shingle).view(np.int64))], ["key", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, fp long")
 
@@ -113,26 +112,6 @@ def close_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(z) for z in zip(*found))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node it is linked to over any number of the links) without the smallest nodes themselves."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        more = label[i] != label[j]
-        i, j = i[more], j[more]
-    while (label != label[label]).any():
-        label = label[label]
-    own = label != np.arange(len(nodes))
-    return nodes[own], nodes[label[own]]
-
-
 def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among whole groups of equal keys, reduced to a forest."""
     order = np.lexsort((~home, key))  # those at home come first

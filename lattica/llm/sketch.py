@@ -21,7 +21,7 @@ from .common import buffers, mix64, slabs, tidy, window_hashes, word_bounds, wor
 from .components import components
 from .simhash import classes
 
-WORDS, SHINGLE, SIMILARITY = 36, 5, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 50
 #: A signature is a byte of each of SIGNATURE minima; pairs that agree in fewer than AGREE are far apart.
 SIGNATURE, AGREE = 32, 10
@@ -30,8 +30,6 @@ SQUARE = 2_000_000
 _SEEDS = mix64(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: A byte's bits, the high one first, as eight counters of eight bits.
-_LANES = np.array([int.from_bytes(bytes((b >> (7 - i)) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,31 +58,6 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     return key, np.bincount(row, minlength=len(n))
 
 
-def sketches(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """(texts x WORDS) of 64 bits, long SimHash sketches; a bit is 1 if it is set in over half the different shingles. Texts without words
-    have the sketch zero."""
-    key, count = shingle_sets(column, shingle)
-    out = np.zeros((len(count), WORDS), np.uint64)
-    if not len(key):
-        return out
-    row = np.repeat(np.arange(len(count)), count)
-    begin = np.cumsum(count) - count
-    place = np.arange(len(key)) - begin[row]
-    piece = np.flatnonzero(place % 255 == 0)
-    # eight counters share a word, so they are emptied after 255 shingles
-    owner = row[piece]
-    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    half = count[owner[cut]][:, None]
-    for w in range(WORDS):
-        h = mix64(key + np.uint64((2 * w + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).astype(">u8").view(np.uint8).reshape(-1, 8)
-        bits = np.empty((len(cut), 64), bool)
-        for byte in range(8):
-            part = np.add.reduceat(_LANES[h[:, byte]], piece).view(np.uint8).reshape(-1, 8)
-            bits[:, 8 * byte : 8 * byte + 8] = 2 * np.add.reduceat(part.astype(np.int64), cut) > half
-        out[owner[cut], w] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
-
-
 def minima(key: np.ndarray, count: np.ndarray) -> np.ndarray:
     """(texts x BANDS * ROWS) least hashes of each text's shingles; of texts without shingles all ones."""
     out = np.full((len(count), BANDS * ROWS), np.uint64(0xFFFFFFFFFFFFFFFF))

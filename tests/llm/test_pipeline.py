@@ -5,11 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pytest
+import xxhash
 
 import corpus_pipeline
-from lattica.llm import sketch
-from lattica.llm.common import window_hashes, word_bounds, word_hashes, mix64, buffers
+from lattica.llm import common, sketch
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,19 +18,21 @@ def shingles(t):
     return set(zip(*[w[i:] for i in range(5)])) or {tuple(w)}
 
 
-def test_sketch_bits_are_majorities():
-    text = " ".join(f"w{i % 37} Q{i % 11}" for i in range(700))
-    raw, _ = buffers(pa.array([text.lower()]))
-    words = word_hashes(raw, *word_bounds(raw))
-    h = np.unique(window_hashes(words, 5))
-    got = sketch.sketches(pa.array(["", text, None, "few words", text + " more"]))
-    for w in (0, 7, sketch.WORDS - 1):
-        x = mix64(h + np.uint64((2 * w + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        assert int(got[1][w]) == sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
-    assert not got[0].any() and not got[2].any() and got[3].any()
+def test_majorities_and_hashes_of_spans():
+    r = np.random.default_rng(1)
+    count = np.array([0, 1, 700, 2, 0, 255, 256])
+    h = r.integers(0, 2**63, count.sum(), dtype=np.uint64) * np.uint64(2)
+    got, at = common.majorities(h, count), 0
+    for n, word in zip(count, got):
+        own = h[at : at + n]
+        assert int(word) == sum(1 << b for b in range(64) if 2 * int((own >> np.uint64(b) & np.uint64(1)).sum()) > n)
+        at += n
+    raw = r.integers(0, 256, 20_000).astype(np.uint8)
+    begin = r.integers(0, 19_000, 2000)
+    end = begin + np.where(r.random(2000) < 0.8, r.integers(0, 70, 2000), r.integers(0, 900, 2000))
+    assert [int(x) for x in common.xxh64(raw, begin, end)] == [xxhash.xxh64_intdigest(raw[i:j].tobytes(), 42) for i, j in zip(begin, end)]
 
 
-@pytest.mark.parametrize("crowd", [4096, 8])
 def test_near_duplicates(spark, crowd):
     r = random.Random(4)
     fresh = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
