@@ -6,7 +6,7 @@ no such span. At a common fingerprint the document's words are extended to the w
 item's windows word for word.
 
 Only DataFrame and SQL functions are used; long work is in array functions on one row, and what is joined are fingerprints. The benchmark's
-side of a join is broadcast if its measured size allows it and joined by a shuffle beyond that.
+side of a join is broadcast if its measured bytes allow it and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from .common import written
 WINDOW, GRAM = 13, 8
 #: Words by the characters that they have: a class of ranges to keep is matched several times as fast as its complement.
 WORD, ANY_CASE = r"([0-9a-z\x{80}-\x{10FFFF}]+)", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Rows of the benchmark's side of a join up to which it is broadcast; a row has a few hundred bytes at most.
-BROADCAST_ROWS = 100_000
-#: Fingerprints of a benchmark up to which each document looks for them in one array; beyond, they are joined.
-ARRAY_ROWS = 50_000
+#: Bytes of the benchmark's side of a join up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Fingerprints of a benchmark up to which documents look for them in a table of BITS_EACH bits for each (2 MB at most); beyond, they are joined.
+ARRAY_ROWS, BITS_EACH = 262_144, 64
 #: A fingerprint is 33 bits of hash over 30 bits of place.
 _PLACE = 30
 
@@ -82,8 +82,22 @@ def _at(f) -> Column:
     return F.col(f).bitwiseAND((1 << _PLACE) - 1).cast("int") if isinstance(f, str) else f.bitwiseAND((1 << _PLACE) - 1).cast("int")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame) -> DataFrame:
+    """df, a written table, marked for a broadcast if its strings and numbers have BROADCAST_BYTES at most, counted here."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(0)) + 24 for c, t in df.dtypes)
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def _bit_table(marks: DataFrame, n: int) -> tuple[Column, int]:
+    """(a constant array of words, number of bits): bit hash % number is set for each of the n marks. There are n * BITS_EACH bits, so a value that is
+    no mark is taken for one with a probability below 1 / BITS_EACH. The array is a string here, split and folded by Spark's optimizer."""
+    size = max(64, n * BITS_EACH)
+    at = F.pmod(F.col("hash"), F.lit(size).cast("long"))
+    words = marks.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+    words = words.groupBy("i").agg(F.bit_or("bit").alias("bits"))
+    every = marks.sparkSession.range(-(-size // 64)).withColumnRenamed("id", "i").join(words, "i", "left")
+    line = every.agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0)).cast("string").alias("bits")))).alias("line"))
+    return F.split(F.lit(line.select(F.array_join(F.transform("line", lambda x: x["bits"]), ",")).first()[0]), ",").cast("array<bigint>"), size
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -92,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     An item's windows are its runs of `window` words; an item with fewer words is one window, one with none has none. A word of a document
     is hit if a window occurs over it. Null texts have no words; items with a null id are found but not listed. Empty tables give empty
-    results; without items nothing is hit."""
+    results; without items nothing is hit. Texts and items may have any length; repeated rows get equal results."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("words")).where(F.size("words") > 0)
     # items of the same words are one class: their windows are listed once
     items = items.withColumn("class", F.xxhash64("words"))
@@ -100,10 +114,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     kinds = items.groupBy("class").agg(F.first("words").alias("words"))
     length = F.least(F.lit(window), F.size("words"))
     cut = F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.array_join(F.slice("words", i, length), " "))
-    windows = written(kinds.select("class", length.alias("length"), F.explode(F.array_distinct(cut)).alias("words_text"), "words"), "windows")
-    distinct = windows.select("words_text", "length").distinct()
-    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most `window` numbers
-    n_windows = windows.count()
+    windows = written(kinds.select("class", length.alias("length"), F.explode(F.array_distinct(cut)).alias("words_text")).distinct(), "windows")
+    distinct = written(windows.select("words_text", "length").distinct(), "texts")
+    lengths = sorted(r.length for r in distinct.select("length").distinct().collect())  # at most `window` numbers
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     key = ["doc_id", "text_hash"]
@@ -111,23 +124,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     passes = [(n, 1, [n]) for n in lengths if n < GRAM]  # windows below GRAM words are looked up at every place
     if long:
         passes.append((GRAM, min(long) - GRAM + 1, long))
-    spans = None
+    spans, small = None, _small(distinct)
     for gram, width, of in passes:
         own = kinds.where(F.size("words") == of[0]) if gram < GRAM else kinds.where(F.size("words") >= GRAM)
         marks = written(fingerprints(own, gram, width, []).select(F.explode("f").alias("f")).select(_hash("f").alias("hash")).distinct(), "marks")
         n_marks = marks.count()
         if n_marks <= ARRAY_ROWS:
-            # the benchmark alone decides this: its fingerprints are one array, and no document moves before a hit is known
+            # the benchmark alone decides this: its fingerprints are one table of bits, and no document moves before a hit is known
             texts = rows.select(*key, "text", words_of("text").alias("words"))
             found = fingerprints(texts, gram, width, [*key, "text"])
-            known = F.array_intersect(F.transform("f", _hash), marks.agg(F.collect_set("hash")).scalar())
-            # the row number, which is no function of the row, keeps the filter from being copied below the steps that make `known`
-            found = found.select(*key, "text", "f", known.alias("known"), F.monotonically_increasing_id().alias("row")).where((F.size("known") > 0) & (F.col("row") >= 0))
-            places = _let(F.col("known"), lambda k: F.transform(F.filter("f", lambda f: F.array_contains(k, _hash(f))), _at))
-            there = found.select(*key, words_of("text").alias("words"), places.alias("places"))
+            bits, size = _bit_table(marks, n_marks)
+
+            def known(f: Column) -> Column:
+                at = F.pmod(_hash(f), F.lit(size).cast("long"))
+                return F.call_function("shiftright", bits[F.shiftright(at, 6).cast("int")], at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+            # the row number, which is no function of the row, keeps the filter from being copied below the steps that make `places`
+            found = found.select(*key, "text", F.transform(F.filter("f", known), _at).alias("places"), F.monotonically_increasing_id().alias("row")).where((F.size("places") > 0) & (F.col("row") >= 0))
+            there = found.select(*key, words_of("text").alias("words"), "places")
         else:
             texts = rows.select(*key, words_of("text").alias("words"))
-            found = fingerprints(texts, gram, width, key).select(*key, F.explode("f").alias("f")).withColumn("hash", _hash("f")).join(_small(marks, n_marks), "hash", "left_semi")
+            found = fingerprints(texts, gram, width, key).select(*key, F.explode("f").alias("f")).withColumn("hash", _hash("f")).join(_small(marks), "hash", "left_semi")
             found = written(found.groupBy(*key).agg(F.collect_set(_at("f")).alias("places")), "hits")  # the places of one document at most
             t, h = rows.alias("t"), found.hint("merge").alias("h")
             there = t.join(h, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_hash") == F.col("h.text_hash"))).select("t.doc_id", "t.text_hash", "text", "places").select(*key, words_of("text").alias("words"), "places")
@@ -136,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         text_at = lambda w, s: F.struct(s["at"].alias("at"), s["length"].alias("length"), F.array_join(F.slice(w, s["at"] + 1, s["length"]), " ").alias("words_text"))
         inside = lambda w: F.filter(starts, lambda s: (s["at"] >= 0) & (s["at"] + s["length"] <= F.size(w)))
         whole = _let(F.col("words"), lambda w: F.transform(inside(w), lambda s: text_at(w, s)))
-        there = there.select(*key, F.explode(whole).alias("s")).select(*key, "s.*").join(_small(distinct.select("words_text"), n_windows), "words_text").distinct()
+        there = there.select(*key, F.explode(whole).alias("s")).select(*key, "s.*").join(small.select("words_text"), "words_text").distinct()
         spans = there if spans is None else spans.unionByName(there)
     if spans is None:
         hit = rows.where("false").select(*key, F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
@@ -145,8 +162,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         add = lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["length"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["length"] - F.greatest(a["end"], s["at"]))).alias("n"))
         cover = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "length"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), add, lambda a: a["n"].cast("long"))
         hit = spans.groupBy(*key).agg(cover.alias("n_hit"))
-        of_class = spans.select(*key, "words_text").distinct().join(_small(windows.select("words_text", "class").distinct(), n_windows), "words_text").select(*key, "class").distinct()
-        listed = of_class.join(_small(members, members.count()), "class").groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+        of_class = spans.select(*key, "words_text").distinct().join(_small(windows.select("words_text", "class")), "words_text").select(*key, "class").distinct()
+        listed = of_class.join(_small(members), "class").groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
         listed = listed.select(*key, F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
         a, b = hit.alias("a"), listed.alias("b")
         hit = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash")), "left").select("a.*", "b.n_items", "b.items")
@@ -161,8 +178,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id", "text_hash").distinct().hint("merge").alias("b")
-    rows = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
-    left = rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._hash") == F.col("b.text_hash")), "left_anti")
-    return left.select(*docs.columns)
+    """The rows of docs that are not contaminated, with the columns of docs, whatever their names. Null and empty texts have no words and stay;
+    repeated rows stay or go together; an empty benchmark takes nothing away, and an empty table stays empty."""
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), "text_hash").distinct().hint("merge")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")
