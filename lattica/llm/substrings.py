@@ -2,19 +2,20 @@
 
 A phrase is a window of `window` words. Its anchor is the least hash among its runs of GRAM words, so equal phrases have equal anchors, and
 neighbouring phrases with the same anchor are one run. The reference is cut into blocks by anchor: a block holds, once each, the different
-runs around one anchor, and every phrase that could match a run is in the run's own block. So a document parsed against every block is
-parsed run by run against one block each, whatever the size of the corpus.
-
-1. Anchors are counted. A run whose anchor occurs once matches nothing.
-2. Runs that are the same from end to end are counted together: both are duplicates as a whole, without a look at their phrases.
-3. The other runs, and one of each kind of the same ones, are factored greedily: the longest stretch of phrases that stands elsewhere in the
-   block is a factor of at least `window` words. Parsing goes on at the first phrase that the factor does not hold, not behind its
-   last word, so phrases across the boundary of two factors are checked too.
+runs around one anchor, and how often they stand in the corpus. Every phrase that could match a run is in the run's own block, so a
+document that is parsed run by run against one block each is parsed against the whole corpus, whatever its size.
+
+1. Anchors are counted. A run whose anchor occurs once has an empty block and matches nothing.
+2. A block's phrases are indexed by a suffix array. A run is factored greedily: the longest stretch of phrases from the current one on that
+   stands elsewhere in the block, or in another copy of the run, is a factor of at least `window` words. Parsing goes on at the first
+   phrase that the factor does not hold, not behind its last word, so phrases across the boundary of two factors are checked too.
+3. Factors go to all documents that have the run. One that reaches its run's end goes on in the next run, which is parsed by its own block,
+   so spans in a document are the unions of its factors.
 4. Words under a factor are removed.
 
-Where very many different runs share an anchor (a common passage in different surroundings), their phrases are counted by hash
-instead, which spreads them over all tasks. Words are compared by 64-bit hashes: two phrases must agree in the hash of their anchor and in
-their own.
+Where very many different runs share an anchor (a common passage in different surroundings), one task does not hold the block: its phrases
+are counted by hash instead, which spreads them over all tasks. Words are compared by 64-bit hashes: two phrases must agree in the hash of
+their anchor and in their own.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import buffers, mix64, slabs, sliding_min, tidy, window_hashes, word_bounds, word_hashes, _words, written
 
 WINDOW, GRAM = 35, 8
-#: Different runs around one anchor up to which they are parsed in one task.
-BLOCK_RUNS = 2000
+#: Different runs around one anchor up to which they are one block, and phrases of whole blocks that are indexed at a time.
+BLOCK_RUNS, INDEXED = 4000, 1 << 17
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,32 +67,53 @@ def runs(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     return row[start], start - first[row[start]], length, grams[place[start]], whole_hash
 
 
-def factors(run: list[int], me: int, index: dict[int, tuple], reference: list[list[int]]) -> Iterator[tuple[int, int]]:
-    """Greedy factors (first phrase, phrases) of a run against its block. index: the first and the last (run, phrase) of each phrase."""
-    i = 0
-    while i < len(run):
-        best = 0
-        for source, at in index[run[i]]:
-            if (source, at) == (me, i):
-                continue
-            other, k = reference[source], 1
-            while i + k < len(run) and at + k < len(other) and run[i + k] == other[at + k]:
-                k += 1
-            best = max(best, k)
-        if best:
-            yield i, best
-        i += max(1, best)
-
-
-def parse(block: list[tuple[list[int], bool]]) -> list[list[tuple[int, int]]]:
-    """Factors of each run of a block; a run that stands twice in the corpus is there for the others and has no factors of its own."""
-    index: dict[int, tuple] = {}
-    for r, (run, _) in enumerate(block):
-        for i, phrase in enumerate(run):
-            seen = index.get(phrase)
-            index[phrase] = (seen[0], (r, i)) if seen else ((r, i),)
-    reference = [run for run, _ in block]
-    return [[] if twice else list(factors(run, r, index, reference)) for r, (run, twice) in enumerate(block)]
+def longest(phrase: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each phrase of runs that stand one behind the other the longest stretch from it on, within its run, that also starts elsewhere.
+
+    Ranks of stretches of 1, 2, 4, ... phrases give the suffix array and the length that two suffixes share; the longest match of a
+    suffix is with one of its neighbours there. A stretch beyond a run's end is equal to none."""
+    n = len(phrase)
+    if not n:
+        return np.empty(0, np.int64)
+    at = np.arange(n)
+    left = np.repeat(np.cumsum(length), length) - at
+    rank = np.unique(phrase, return_inverse=True)[1].astype(np.int64)
+    levels, step = [rank], 1
+    while step < int(length.max()):
+        second = np.where(left > step, rank[np.minimum(at + step, n - 1)], at - n)
+        rank = np.unique(rank * (2 * n + 1) + second + n, return_inverse=True)[1].astype(np.int64)
+        # beyond the end a stretch has a rank of its own already
+        levels.append(rank)
+        step *= 2
+    order = np.lexsort((at, rank))
+    a, b = order[:-1], order[1:]
+    common, room = np.zeros(n - 1, np.int64), np.minimum(left[a], left[b])
+    for k in range(len(levels) - 1, -1, -1):
+        here = np.flatnonzero(common + (1 << k) <= room)
+        same = levels[k][a[here] + common[here]] == levels[k][b[here] + common[here]]
+        common[here[same]] += 1 << k
+    out = np.zeros(n, np.int64)
+    out[b] = common
+    out[a] = np.maximum(out[a], common)
+    return out
+
+
+def parse(anchor: np.ndarray, twice: np.ndarray, length: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors (run, first phrase, phrases) of the runs of whole blocks. A run that stands twice or more in the corpus has its other copy
+    in the block, so its factor is the whole run."""
+    most = longest(mix64(phrase ^ mix64(np.repeat(anchor, length))), length)
+    begin = np.cumsum(length) - length
+    left = np.repeat(begin + length, length) - np.arange(len(phrase))
+    most = np.where(np.repeat(twice, length), left, most)
+    run, at, out = np.arange(len(length)), np.zeros(len(length), np.int64), [(np.empty(0, np.int64),) * 3]
+    while len(run):
+        found = most[begin[run] + at]
+        hit = found > 0
+        out.append((run[hit], at[hit], found[hit]))
+        at = at + np.maximum(found, 1)
+        more = at < length[run]
+        run, at = run[more], at[more]
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def spans(docs: DataFrame, window: int) -> DataFrame:
@@ -104,58 +126,75 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), did, th, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "run", "did", "th", "start", "n"])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The phrases of the listed runs, eight bytes each."""
         for rows in slabs(batches, 1 << 20):
-            words, first = hashed(rows.column(2))
-            all_phrases = window_hashes(words, window).view(np.int64)
-            out = [[] for _ in range(6)]
-            for did, th, begin, listed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), first.tolist(), rows.column(3)):
-                for x in listed.as_py():
-                    row = (x["anchor"], did, th, x["start"], x["twice"], all_phrases[begin + x["start"] : begin + x["start"] + x["n"]])
-                    for c, v in zip(out, row):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())))], ["anchor", "did", "th", "start", "twice", "phrases"])
+            words, first = hashed(rows.column(0))
+            listed = rows.column(1)
+            own = listed.flatten()
+            anchor, run, start, n, twice, crowd = (own.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            begin = np.repeat(first[:-1], np.diff(listed.offsets.to_numpy())) + start
+            n = n.astype(np.int64)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+            data = window_hashes(words, window)[at]
+            ends = np.concatenate([[0], 8 * np.cumsum(n)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(run), pa.array(twice), pa.array(crowd), packed], ["anchor", "run", "twice", "crowd", "phrases"])
+
+    def unpacked(rows: pa.RecordBatch) -> list[np.ndarray]:
+        """anchor, run, twice, length, phrases of (anchor, run, twice, phrases)"""
+        raw, offsets = buffers(rows.column(3))
+        return [*(rows.column(i).to_numpy(zero_copy_only=False) for i in range(3)), np.diff(offsets) // 8, raw.view(np.uint64)]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-
-        def done():
-            out = [(did, th, start + i, k) for (did, th, start), found in zip((h[0] for h in held), parse([h[1] for h in held])) for i, k in found]
-            return out
-
-        ready = []
-        for rows in batches:
-            for anchor, did, th, start, twice, run in zip(*(c.to_pylist() for c in rows.columns)):
-                if anchor != last and held:
-                    ready += done()
-                    held = []
-                last = anchor
-                # rows of a document that stands twice in the table: its runs are counted already, and one of each is parsed
-                if not held or held[-1][0] != (did, th, start):
-                    held.append(((did, th, start), (run, twice)))
-            if ready:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ready), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["did", "th", "start", "n"])
-                ready = []
-        if held and (ready := done()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ready), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["did", "th", "start", "n"])
+        held, n = [], 0
+
+        def out(anchor, run, twice, length, phrase):
+            # rows of a document that stands twice in the table list a run twice
+            new = np.ones(len(run), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])
+            phrase, anchor, run, twice, length = phrase[np.repeat(new, length)], anchor[new], run[new], twice[new], length[new]
+            which, at, k = parse(anchor.view(np.uint64), twice, length, phrase)
+            return pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(run[which]), pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32))], ["anchor", "run", "at", "k"])
+
+        for batch in batches:
+            for i in range(0, len(batch), 2048):
+                held.append(unpacked(batch.slice(i, 2048)))
+                n += len(held[-1][4])
+                if n < INDEXED or held[0][0][0] == held[-1][0][-1]:
+                    continue
+                whole = [np.concatenate(x) for x in zip(*held)]
+                done = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+                cut_at = int(whole[3][:done].sum())
+                yield out(*(c[:done] for c in whole[:4]), whole[4][:cut_at])
+                held = [[*(c[done:] for c in whole[:4]), whole[4][cut_at:]]]
+                n = len(held[0][4])
+        if n:
+            yield out(*(np.concatenate(x) for x in zip(*held)))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 2048):
+                anchor, run, twice, length, phrase = unpacked(batch.slice(i, 2048))
+                at = np.arange(len(phrase)) - np.repeat(np.cumsum(length) - length, length)
+                phrase = mix64(phrase ^ mix64(np.repeat(anchor.view(np.uint64), length))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(phrase), *(pa.array(np.repeat(c, length)) for c in (anchor, run, twice)), pa.array(at.astype(np.int32))], ["phrase", "anchor", "run", "twice", "at"])
 
     all_runs = docs.mapInArrow(tidy(cut), "anchor long, run long, did long, th long, start int, n int")
-    # minima and maxima tell without a second count whether the runs of an anchor are all the same
-    anchors = all_runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("run").alias("a"), F.max("run").alias("b")).where("times > 1")
-    shared = written(all_runs.join(anchors.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor"), "runs")
-    mixed = shared.where("NOT same")
-    kinds = written(mixed.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("one")), "kinds")
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    whole = shared.where("same").select("did", "th", "start", "n")
-    whole = whole.unionByName(mixed.join(kinds.where("times > 1").select("anchor", "run"), ["anchor", "run"]).select("did", "th", "start", "n"))
-    listed = kinds.select("one.did", "one.th", F.struct("anchor", "one.start", "one.n", (F.col("times") > 1).alias("twice")).alias("x")).groupBy("did", "th").agg(F.collect_list("x").alias("runs"))
-    block = docs.join(listed, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(tidy(phrases), "anchor long, did long, th long, start int, twice boolean, phrases array<long>")
-    block = written(block, "phrases").join(sizes, "anchor")
-    few = block.where(F.col("kinds") <= BLOCK_RUNS).select("anchor", "did", "th", "start", "twice", "phrases")
-    found = few.repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start").mapInArrow(tidy(parsed), "did long, th long, start int, n int")
-    many = block.where(F.col("kinds") > BLOCK_RUNS).select("did", "th", "start", "twice", F.posexplode("phrases").alias("i", "phrase")).dropDuplicates(["did", "th", "start", "i"])
-    common = many.groupBy("phrase").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1").select("phrase")
-    found = found.unionByName(many.where("NOT twice").join(common, "phrase").select("did", "th", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n")))
-    return whole.unionByName(found)
+    # a table of its own, so that Spark can split an anchor that is in very many documents
+    anchors = written(all_runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
+    shared = written(all_runs.join(anchors, "anchor"), "runs")
+    kinds = written(shared.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("one")), "kinds")
+    crowds = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > BLOCK_RUNS).select("anchor", F.lit(True).alias("crowd")), "crowds")
+    one = F.struct("anchor", "run", "one.start", "one.n", (F.col("times") > 1).alias("twice"), F.coalesce("crowd", F.lit(False)).alias("crowd"))
+    listed = kinds.join(crowds, "anchor", "left").select("one.did", "one.th", one.alias("x")).groupBy("did", "th").agg(F.collect_list("x").alias("runs"))
+    block = docs.join(listed, ["did", "th"]).select("text", "runs").mapInArrow(tidy(phrases), "anchor long, run long, twice boolean, crowd boolean, phrases binary")
+    block = written(block, "phrases")
+    few = block.where("NOT crowd").select("anchor", "run", "twice", "phrases")
+    factors = few.repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(tidy(parsed), "anchor long, run long, at int, k int")
+    many = block.where("crowd").select("anchor", "run", "twice", "phrases").mapInArrow(tidy(single), "phrase long, anchor long, run long, twice boolean, at int").distinct()
+    common = written(many.groupBy("phrase").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1").select("phrase"), "common")
+    factors = written(factors.unionByName(many.join(common, "phrase").select("anchor", "run", "at", F.lit(1).alias("k"))), "factors")
+    return shared.join(factors, ["anchor", "run"]).select("did", "th", (F.col("start") + F.col("at")).alias("start"), F.col("k").alias("n"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,7 +202,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     A word is removed if it is in a window of `window` words whose words also start at another place of any document, its own included;
     windows are judged on the input. Null and empty texts, and those below `window` words, lose nothing; of two equal rows both lose
-    everything from `window` words on. The key may be null or repeated."""
+    everything from `window` words on. The key may be null or repeated, texts may have any length; an empty table gives an empty table, and
+    other columns are dropped."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("did"), F.xxhash64(F.col(key).isNull(), F.col(text)).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = written(spans(rows.select("did", "th", "text"), window), "spans").groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     schema = "key long, n_words long, n_removed long, kept_sha256 string, kept string"
