@@ -1,17 +1,19 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents fall by hash into blocks of about BLOCK documents, in random order. The targets say how many of its blocks, in how
-many passes, the mix draws. The tree starts from the vector of these quotas and splits it in halves: what the left half of the shards
-gets is one draw of the multivariate hypergeometric distribution, so each leaf holds the quotas that a random deal of all drawn blocks
-would have given it, and no deal of all blocks takes place. Each shard then takes the next blocks of each source, which no other shard
-has, and shuffles its documents by itself. Everything is a function of the seed and the rows, so runs agree.
-
-Only DataFrame and SQL functions are used. What is kept in one place are tables with a row for each source, or for each source and shard.
+A source's documents fall by hash into blocks of about BLOCK documents, in random order. The targets say how many draws of its blocks the
+mix makes. The tree starts from the vector of these quotas and splits it in halves: what the left half of the shards gets is one draw of
+the multivariate hypergeometric distribution, so each leaf holds the quotas that a random deal of all drawn blocks would have given it,
+and no deal of all blocks takes place. Each leaf then draws the next blocks of each source, which no other leaf has, and shuffles its
+documents by itself. What is taken of a document is what the leaves have drawn. Everything is a function of the seed and the rows, so
+runs agree.
+
+Only DataFrame and SQL functions are used. What is kept in one place are tables with a row for each source (targets are ordered
+in one task, and a node of the tree is a row with a number for each source), which suits up to some hundred thousand sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -82,11 +84,14 @@ def split(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, shards: int = 16, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """For every row: doc_id, source, size, text_hash, source_size, target, copies (0 to `most`, rounded up) and shards, one for each copy.
-
-    The whole passes over a source are floor(target / source_size); of the next pass the first blocks are drawn as far as they fit, and
-    of the block after them, from the longest on, the documents that still fit. Sources without words have the
-    target 0 and no copies. `shards` is a power of two."""
+    """For every row: doc_id, source, size, text_hash, source_size, target, copies (0 to `most`, rounded up), shards, one for each copy, and
+    places, which order the documents of a shard: each shard permutes its own.
+
+    The draws of a source go over its blocks pass by pass; the whole passes are floor(target / source_size), and the next one ends at
+    the block that no longer fits, of which, from the longest on, the documents are taken that still do. The tree deals the numbers of draws
+    to the shards, a shard's draws of a source follow those of the shards before it, and a document is in the mix for each draw of its
+    block. Sources without words have the target 0 and no copies. `shards` is a power of two. Null sources are a source, null texts
+    have size 0, repeated rows are rows of their own; an empty table gives an empty table."""
     levels = shards.bit_length() - 1
     if 1 << levels != shards:
         raise ValueError("shards must be a power of two")
@@ -105,23 +110,23 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = 11, weights: tuple[int,
     inside = Window.partitionBy("number", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.join(supers, ["number", "super"]).select("number", "block", "words", (F.col("base") + F.coalesce(F.sum("words").over(inside), F.lit(0))).alias("base"))
     blocks = written(blocks.join(per.select("number", "source_size", "target", "passes", "rest", F.col("blocks").alias("in_source")), "number"), "blocks")
-    drawn = F.col("passes") * F.col("in_source")
     begun = blocks.where(F.col("base") < F.col("rest")).groupBy("number").agg(F.max("block").alias("last"))
     quotas = per.join(begun, "number", "left").select("number", (F.col("passes") * F.col("blocks") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("long").alias("quota"))
+    # one row: a number for each source
     one = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "quota"))), lambda x: x["quota"]).alias("quotas"))
-    leaves = split(one, levels, seed).select("shard", F.posexplode("quotas").alias("at", "quota"))
-    bounds = leaves.groupBy((F.col("at") + 1).alias("number")).agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("deal"))
-    bounds = bounds.select("number", F.expr("aggregate(deal, named_struct('t', 0L, 'out', CAST(array() AS ARRAY<BIGINT>)), (a, d) -> named_struct('t', a.t + d.quota, 'out', array_append(a.out, a.t + d.quota)), a -> a.out)").alias("ends"))
-    bounds = written(bounds, "shards")
-    # the shard of draw d is the number of shards that end at or before it
-    shard = lambda d: F.size(F.filter("ends", lambda e: e <= d))
-    draws = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("passes") - 1).cast("long")), lambda p: shard(p * F.col("in_source") + F.col("block")))).otherwise(F.array().cast("array<int>"))
-    blocks = blocks.join(bounds, "number").select("number", "block", "source_size", "target", "passes", "rest", "base", "words", draws.alias("whole"), shard(drawn + F.col("block")).alias("next"))
-    all_rows = known.join(blocks, ["number", "block"])
+    leaves = split(one, levels, seed).select("shard", F.posexplode("quotas").alias("at", "quota")).select((F.col("at") + 1).alias("number"), "shard", "quota")
+    # a row for each shard and source: its quota of draws begins where those of the shards before it end
+    dealt = leaves.withColumn("end", F.sum("quota").over(Window.partitionBy("number").orderBy("shard"))).where("quota > 0")
+    draws = dealt.join(per.select("number", F.col("blocks").alias("in_source")), "number").select("number", "shard", "in_source", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("draw"))
+    # a block is drawn once in each pass at most
+    drawn = draws.select("number", "shard", F.expr("draw % in_source").alias("block"), F.expr("draw div in_source").alias("pass")).groupBy("number", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("deal"))
+    blocks = blocks.join(drawn, ["number", "block"], "left").select("number", "block", "source_size", "target", "passes", "rest", "base", "words", F.coalesce("deal", F.array().cast("array<struct<pass:bigint,shard:bigint>>")).alias("deal"))
+    all_rows = known.join(written(blocks, "drawn"), ["number", "block"])
     cut = (F.col("base") < F.col("rest")) & (F.col("base") + F.col("words") > F.col("rest"))
+    place = lambda shards: F.transform(shards, lambda s, i: F.xxhash64(F.lit(seed), F.col("text_hash"), F.col("doc_id"), s, i))
+    whole, sure_draws = F.transform("deal", lambda d: d["shard"]), F.transform(F.filter("deal", lambda d: d["pass"] < F.col("passes")), lambda d: d["shard"])
     out = ["doc_id", "source", "size", "text_hash", "source_size", "target", "shards"]
-    with_next = F.array_append("whole", F.col("next"))
-    sure = all_rows.where(~cut).withColumn("shards", F.when(F.col("base") < F.col("rest"), with_next).otherwise(F.col("whole"))).select(out)
+    sure = all_rows.where(~cut).withColumn("shards", whole).select(out)
     # one block of a source is cut: its documents, repeated rows counted once, are taken from the longest on if they still fit
     group = ["number", "h", "doc_id", "text_hash", "size"]
     edge = all_rows.where(cut)
@@ -134,25 +139,28 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = 11, weights: tuple[int,
         same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"t.{c}"))
     turn = F.row_number().over(Window.partitionBy(*(F.col(f"e.{c}") for c in group)).orderBy("base"))
     edge = e.join(t, same, "left").withColumn("turn", turn).select(*(F.col(f"e.{c}") for c in edge.columns), F.coalesce(F.col("turn") <= F.col("fit"), F.lit(False)).alias("again"))
-    edge = edge.withColumn("shards", F.when(F.col("again"), with_next).otherwise(F.col("whole"))).select(out)
-    return sure.unionByName(edge).withColumn("copies", F.size("shards"))
+    edge = edge.withColumn("shards", F.when(F.col("again"), whole).otherwise(sure_draws)).select(out)
+    return sure.unionByName(edge).withColumn("copies", F.size("shards")).withColumn("places", place(F.col("shards")))
 
 
 def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each copy, in the order of the shards and in each shard in the order of a hash. Rows that
-    agree in doc_id, source and text share their copies evenly, so repeated rows neither multiply nor vanish."""
+    """The mix itself: the columns of docs, whatever their names, a row for each copy, in the order of the shards and in each shard in the
+    order of its places. Rows that agree in doc_id, source and text share their copies evenly, so repeated rows neither multiply nor
+    vanish. Null and empty texts have no words and are drawn with their block; an empty table gives an empty one."""
     key = ["doc_id", "source", "text_hash"]
-    chosen = plan(docs, seed=seed, **options).groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("shards"))).alias("shards"), F.count("*").alias("rows")).where(F.size("shards") > 0)
-    left, right = docs.withColumn("text_hash", F.xxhash64("text")).alias("d"), chosen.hint("merge").alias("c")
+    copies = plan(docs, seed=seed, **options).select(*key, F.arrays_zip("shards", "places").alias("copies"))
+    chosen = copies.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("copies"))).alias("copies"), F.count("*").alias("rows")).where(F.size("copies") > 0)
+    chosen = chosen.select(*(F.col(k).alias(f"c_{k}") for k in key), "copies", "rows")
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash"))
     same = F.lit(True)
     for k in key:
-        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = left.join(right, same).select(*names, F.col("d.text_hash").alias("_hash"), F.col("c.shards").alias("_shards"), F.col("c.rows").alias("_rows"))
-    turn = Window.partitionBy("doc_id", "source", "_hash").orderBy("_rows")
-    joined = joined.withColumn("_turn", F.when(F.col("_rows") > 1, F.row_number().over(turn)).otherwise(F.lit(1)))
-    mine = F.filter("_shards", lambda s, i: i % F.col("_rows") == F.col("_turn") - 1)
-    copies = joined.select(*docs.columns, "_hash", F.posexplode(mine).alias("_copy", "_shard"))
-    copies = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_hash", "doc_id", "_shard", "_copy"))
+        same = same & F.col(k).eqNullSafe(F.col(f"c_{k}"))
+    def of(some: DataFrame, turn: Column) -> DataFrame:
+        joined = left.join(some.hint("merge"), same).withColumn("turn", turn)
+        mine = F.filter("copies", lambda s, i: i % F.col("rows") == F.col("turn") - 1)
+        return joined.select("row", F.posexplode(mine).alias("copy", "to")).select("row", "to.shards", "to.places", "copy")
+
+    # only rows that stand more than once need a turn; both joins read the same shuffle of the texts
+    found = of(chosen.where("rows = 1"), F.lit(1)).unionByName(of(chosen.where("rows > 1"), F.row_number().over(Window.partitionBy(*key).orderBy("rows"))))
     # by ranges, so that a shard of any size is as many tasks' work as it needs
-    return copies.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    return found.repartitionByRange("shards", "places", "copy").sortWithinPartitions("shards", "places", "copy").select("row.*")

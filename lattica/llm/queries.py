@@ -60,7 +60,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
     rows = plan(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "shards")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "shards", "places")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
