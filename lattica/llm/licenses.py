@@ -1,24 +1,66 @@
-"""License scans by sentences and rules: sentences are normalised and named, and the sequence of names is matched against ordered rules.
-
-A text is cut into sentences, a sentence becomes lower-case ASCII words, and the first pattern of SENTENCES that is found in it gives its
-name. Rules are tried in order; each that finds its names side by side records its license and takes them out of the sequence, so that
-a long form is not reported again by the short form inside it. Everything is one expression on one row.
+"""License scans by sentences and rules: normalised sentences are mapped to the names of known license sentences, and the sequence of names is
+matched against ordered rules.
+
+A text is cut into sentences, and a sentence becomes lower-case ASCII words. A sentence that is, as a whole, one of KNOWN has its name.
+Another one has the name of the first of MENTIONS that is found in it: short mentions, license sentences in other wordings, and those
+that share their sentence with other text. Rules are tried in order; each that finds its names side by side records its license and
+takes them out of the sequence, so that a long form is not reported again by the short form inside it. Every text is scanned whole, and
+everything is one expression on one row.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the SQL below looks for before it scans a text; scan() itself scans every text.
-HINTS = r"licen[cs]e|copyright|spdx|warranty|permission is hereby|redistribution|public domain|all rights reserved|creative commons|\bcc[ -]|free software"
-
-#: Ends of sentences: . ! ? ; : before white space and blank lines, but a tag keeps its value, the GPL's header its version and the
-#: Apache header its address.
-CUT = r"([.!?]|;(?![\s\W]+either\s+version)|(?<!(?i:SPDX-License-Identifier|license at)[ \t]{0,4}):)\s+|(?<!(?i:license at)[ \t\r:]{0,4})\n[ \t\r]*\n"
-
-# Wordings of well-known licenses after normalisation, the more specific first.
-SENTENCES = [
+#: What belongs together although a sign or a blank line stands between: a tag and its value, a header and its version, a text and its address.
+JOINED = [(r"(?i)(SPDX-License-Identifier)[ \t]*:[\t-\r ]*", 1), (r"(?i)(license[ \t]+at)[ \t\r]*:?[\t-\r ]+", 1), (r"(?i);([^A-Za-z0-9_]+either[\t-\r ]+version)", 1)]
+#: Ends of sentences: . ! ? ; : before white space, and blank lines.
+CUT = r"([.!?;:])[\t-\r ]+|\n[ \t\r]*\n"
+#: What becomes of a sentence's characters, in this order: other than words and their signs, signs alone, signs at the ends.
+PLAIN = [(r"[^A-Za-z0-9.+/-]+", " "), (r" [./+-]+ ", " "), (r"^[ ./+-]+|[ ./+-]+$", "")]
+
+
+def normal(sentence: str) -> str:
+    for pattern, by in PLAIN:
+        sentence = re.sub(pattern, by, sentence)
+    return sentence.lower()
+
+
+# Sentences of well-known licenses and their headers, in their usual wording.
+KNOWN = {
+    normal(text): name
+    for name, text in [
+        ("MitGrant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+        ("MitNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+        ("MitAsIs", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement'),
+        ("MitLiability", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+        ("IscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+        ("IscAsIs", 'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness'),
+        ("BsdGrant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+        ("BsdSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+        ("BsdBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+        ("BsdEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+        ("BsdAsIs", 'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed'),
+        ("GplRedistribute3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+        ("GplRedistribute2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+        ("GplNoWarranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+        ("Gpl3Ref", "This work is licensed under the GNU General Public License, version 3"),
+        ("Apache2Ref", 'Licensed under the Apache License, Version 2.0 (the "License")'), ("Apache2Ref", "Licensed under the Apache License, Version 2.0"),
+        ("ApacheUse", "you may not use this file except in compliance with the License"),
+        ("ApacheCopy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+        ("ApacheAsIs", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
+        ("MitRef", "Released under the MIT License"), ("MitRef", "Licensed under the MIT License"), ("MitRef", "The MIT License (MIT)"), ("MitRef", "MIT License"),
+        ("UnlicenseText", "This is free and unencumbered software released into the public domain"),
+        ("CcByNcRef", "Licensed under CC BY-NC 4.0"), ("CcByRef", "Licensed under CC BY 4.0"), ("CcBySaRef", "Licensed under CC BY-SA 4.0"),
+        ("AllRights", "All rights reserved"),
+    ]
+}
+
+# Mentions of licenses, and of their sentences in other wordings, after normalisation; the more specific first.
+MENTIONS = [
     ("SpdxAgpl3", r"spdx-license-identifier agpl-3.0"),
     ("SpdxLgpl3", r"spdx-license-identifier lgpl-3.0"),
     ("SpdxLgpl21", r"spdx-license-identifier lgpl-2.1"),
@@ -100,23 +142,31 @@ def _key(names: list[str]) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """Array of normalised sentences: cut as CUT says, then lower-case ASCII words; signs
-    of comments are no words."""
+    """Array of normalised sentences: cut as JOINED and CUT say, then lower-case ASCII words; signs of comments are no words."""
+    for pattern, group in JOINED:
+        text = F.regexp_replace(text, pattern, f"${group} ")
     cut = F.split(F.regexp_replace(text, CUT, "$1\u0001"), "\u0001")
-    plain = lambda s: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9.+/-]+", " "), r" [./+-]+ ", " "), r"^[ ./+-]+|[ ./+-]+$", ""))
+
+    def plain(s: Column) -> Column:
+        for pattern, by in PLAIN:
+            s = F.regexp_replace(s, pattern, by)
+        return F.lower(s)
+
     return F.transform(cut, plain)
 
 
 def _name(s: Column) -> Column:
-    out = None
-    for name, pattern in SENTENCES:
-        out = F.when(s.rlike(pattern), name) if out is None else out.when(s.rlike(pattern), name)
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    out = F.when(F.map_contains_key(known, s), known[s])
+    for name, pattern in MENTIONS:
+        out = out.when(s.rlike(pattern), name)
     return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, sentence_ids (names of the recognised sentences in order), licenses (in the order of the rules, each once, comma-joined) and
-    n_licenses for every row. Null and empty texts have none; other columns are dropped."""
+    n_licenses for every row. Null and empty texts have none, texts may have any length, repeated rows are rows of their own, and an empty table gives
+    an empty table; other columns are dropped. Of sentences that fit several mentions the first counts."""
     named = F.filter(F.transform(sentences(F.col(text)), _name), lambda n: n.isNotNull())
     rows = docs.select(F.col(key), F.coalesce(named, F.array().cast("array<string>")).alias("names"))
     ids = F.array_join("names", ",").alias("sentence_ids")
@@ -131,10 +181,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def duckdb_sql() -> str:
     """The same scan over `documents` in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    plain = "lower(regexp_replace(regexp_replace(regexp_replace(s, '[^A-Za-z0-9.+/-]+', ' ', 'g'), ' [./+-]+ ', ' ', 'g'), '^[ ./+-]+|[ ./+-]+$', '', 'g'))"
-    name = "CASE " + " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES) + " END"
+    text, plain = "coalesce(text, '')", "s"
+    for pattern, group in JOINED:
+        text = f"regexp_replace({text}, {quote(pattern)}, '\\{group} ', 'g')"
+    for pattern, by in PLAIN:
+        plain = f"regexp_replace({plain}, {quote(pattern)}, {quote(by)}, 'g')"
+    name = "CASE " + " ".join(f"WHEN s = {quote(k)} THEN {quote(n)}" for k, n in KNOWN.items()) + " " + " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in MENTIONS) + " END"
     chain, left = [], "s0"
-    for i, (license_name, names) in enumerate(RULES):
+    for i, (_, names) in enumerate(RULES):
         chain.append(f"contains({left}, {quote(_key(names))}) AS f{i}, replace({left}, {quote(_key(names))}, '#') AS s{i + 1}")
         left = f"s{i + 1}"
     found = "list_filter([" + ", ".join(f"CASE WHEN f{i} THEN {quote(n)} END" for i, (n, _) in enumerate(RULES)) + "], lambda x: x IS NOT NULL)"
@@ -143,8 +197,7 @@ def duckdb_sql() -> str:
         steps += f", a{i + 1} AS (SELECT *, {c} FROM a{i})"
     once = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
     return f"""
-        WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(text, {quote('(?i)' + HINTS)}) THEN text ELSE '' END AS text FROM documents),
-             cut AS (SELECT doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+|\\n[ \\t\\r]*\\n', '\\1' || chr(1), 'g'), chr(1)), lambda s: {plain}) AS parts FROM t),
+        WITH cut AS (SELECT doc_id, list_transform(string_split(regexp_replace({text}, {quote(CUT)}, '\\1' || chr(1), 'g'), chr(1)), lambda s: lower({plain})) AS parts FROM documents),
              named AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: {name}), lambda n: n IS NOT NULL) AS names FROM cut),
              {steps}
         SELECT doc_id, array_to_string(names, ',') AS sentence_ids, array_to_string({once}, ',') AS licenses, len({once}) AS n_licenses FROM a{len(chain)}"""
