@@ -43,11 +43,15 @@ LEAST_POINTS_TEXT = 25
 
 
 class Tree:
-    """Elements in page order: tag, parent, what their attributes say, and a list of (element, text) and (element, None) for block ends."""
+    """Elements in page order: tag, parent, what their attributes say, and a list of (element, text) and (element, None) for block ends.
+
+    The open elements are a stack; `places` has for each name the places where it is on the stack, and `walls` those of containers, so that no
+    tag, however deep or badly nested, needs a walk over the stack."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.drop, self.layout, self.bonus, self.pieces = ["#"], [-1], [False], [False], [0.0], []
-        stack, pieces, at = [0], self.pieces, 0
+        self.stack, self.places, self.walls = [0], {}, [0]
+        pieces, stack, at = self.pieces, self.stack, 0
         for m in TOKEN.finditer(page):
             if m.start() > at:
                 pieces.append((stack[-1], page[at : m.start()]))
@@ -57,40 +61,43 @@ class Tree:
                 continue
             name = name.lower()
             if m["end"]:
-                self._close(stack, name)
+                self._close(name)
             else:
-                self._open(stack, name, m["attrs"])
+                self._open(name, m["attrs"])
         if at < len(page):
             pieces.append((stack[-1], page[at:]))
 
-    def _close(self, stack: list[int], name: str) -> None:
+    def _last(self, name: str) -> int:
+        """The place of the innermost open element of a name, 0 if there is none."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def _cut(self, k: int) -> None:
+        """Ends the open elements from place k on."""
+        while len(self.stack) > k:
+            self.places[self.tag[self.stack.pop()]].pop()
+        while self.walls[-1] >= k:
+            self.walls.pop()
+
+    def _close(self, name: str) -> None:
         if name in BLOCK:
-            self.pieces.append((stack[-1], None))
-        for k in range(len(stack) - 1, 0, -1):
-            open_name = self.tag[stack[k]]
-            if open_name == name:
-                del stack[k:]
-                return
-            if open_name in CONTAINER and (name not in CONTAINER or open_name == "body"):
-                return
-
-    def _open(self, stack: list[int], name: str, attrs: str) -> None:
+            self.pieces.append((self.stack[-1], None))
+        k = self._last(name)
+        # a container's end reaches over other containers but not out of the body, another end not out of its container
+        if k and k >= (self._last("body") if name in CONTAINER else self.walls[-1]):
+            self._cut(k)
+
+    def _open(self, name: str, attrs: str) -> None:
         if name in BLOCK:
-            self.pieces.append((stack[-1], None))
-        ends = {"p"} if name in CLOSES_P else set()
-        ends |= ENDS.get(name, set())
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in ends:
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in CONTAINER:
-                    break
-        if name in VOID or name in ("html", "body") and name in (self.tag[x] for x in stack):
+            self.pieces.append((self.stack[-1], None))
+        k = max([self._last("p") if name in CLOSES_P else 0, *map(self._last, ENDS.get(name, ()))])
+        if k and k >= self.walls[-1]:
+            self._cut(k)
+        if name in VOID or name in ("html", "body") and self._last(name):
             return
-        here = stack[-1]
+        here = self.stack[-1]
         drop, layout, bonus = name in DROPPED_TAGS, name == "form", 0.0
-        inside = any(self.tag[x] in ("article", "main") for x in stack)
+        inside = self._last("article") or self._last("main")
         if name == "header" and not inside:
             drop = True
         if len(attrs) > 2:
@@ -108,12 +115,17 @@ class Tree:
                     layout |= bool(words & DROPPED_WORDS)
                     layout |= bool(words & LAYOUT) and not (inside and words & {"header"})
                     bonus += 25 * bool(words & CONTENT_WORDS) * (not words & LAYOUT)
+        # an article's own names say what it has or is about; in another one it can be a comment or a teaser
+        layout &= not (name == "main" or name == "article" and not inside or bonus >= 25 and "articlebody" in attrs.lower())
         self.tag.append(name)
         self.parent.append(here)
         self.drop.append(drop or self.drop[here])
         self.layout.append(layout)
         self.bonus.append(bonus)
-        stack.append(len(self.tag) - 1)
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in CONTAINER:
+            self.walls.append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
 
 
 def main_text(page: str | None) -> str:
@@ -125,7 +137,7 @@ def main_text(page: str | None) -> str:
     n = len(t.tag)
     pieces = [(e, None if s is None else unescape(s) if "&" in s else s) for e, s in t.pieces]
     size, links, commas, own = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+    in_link, stop = [False] * n, [False] * n
     for e in range(1, n):
         in_link[e] = t.tag[e] == "a" or in_link[t.parent[e]]
     for e, s in pieces:
@@ -134,6 +146,7 @@ def main_text(page: str | None) -> str:
             links[e] += k * in_link[e]
             commas[e] += sum(map(s.count, ",،、，;"))
             own[e] += k
+            stop[e] |= "." in s
     inline = [t.tag[e] not in BLOCK for e in range(n)]
     total = size[:]
     total_links = links[:]
@@ -181,7 +194,7 @@ def main_text(page: str | None) -> str:
         for e in range(1, n):
             if t.parent[e] == t.parent[best] and e != best and not t.drop[e] and total[e]:
                 density = total_links[e] / total[e]
-                if scored[e] and final[e] >= least or t.tag[e] in ("p", "h1", "h2", "h3", "blockquote", "pre") and (density < 0.25 and total[e] > 80 or not density and t.tag[e][0] == "h" or not density and "." in "".join(s for x, s in pieces if x == e and s)):
+                if scored[e] and final[e] >= least or t.tag[e] in ("p", "h1", "h2", "h3", "blockquote", "pre") and (density < 0.25 and total[e] > 80 or not density and t.tag[e][0] == "h" or not density and stop[e]):
                     kept.add(e)
     inside = [False] * n
     if best == 0:
@@ -192,7 +205,9 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """Every row with the main text of its html and n_chars, its code points; a column that has one of these names is replaced."""
+    """Every row with the main text of its html and n_chars, its code points; a column that has one of these names is replaced. Null and empty
+    html, and pages of navigation alone, have an empty text; pages may have any length and nesting; repeated rows are rows of their own, and an
+    empty table stays empty."""
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
