@@ -94,7 +94,8 @@ def count(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the counts of COUNTS for every whole text; a null text counts nothing. Other columns are dropped."""
+    """key and the counts of COUNTS for every whole text, however long; null and empty texts count nothing, repeated rows count alike, an
+    empty table gives an empty table. Other columns are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slabs(batches):
@@ -210,14 +211,16 @@ def learn(x: np.ndarray, good: np.ndarray, names: list[str], seed: int = 7, prec
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> DecisionList:
     """Learns from at most `most` labelled documents, those with the smallest hashes of their ids; labels that are null or contradict one
-    another are left out, as are base failures."""
+    another are left out, as are base failures. Of rows with the same id one is learned from, that with the smallest counts. Empty
+    tables give no rules."""
     names = list(ratios())
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     sample = sample.where("quality = other").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` pairs of numbers: bounded by the parameter, so they may be sent to every task
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = statistics(chosen).join(F.broadcast(sample), "doc_id").where(~base_failed()).select(*[c.alias(k) for k, c in ratios().items()], "quality", "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", *names])
+    rows = statistics(chosen).join(F.broadcast(sample), "doc_id").where(~base_failed()).select("doc_id", "quality", F.struct(*[c.alias(k) for k, c in ratios().items()]).alias("x"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).select("doc_id", "quality", "x.*").toPandas()
+    rows = rows.sort_values("doc_id")
     return learn(rows[names].to_numpy(float), rows["quality"].to_numpy() > 0, names)
 
 

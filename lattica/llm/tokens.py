@@ -266,7 +266,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
     keys by a hash of the text). A null text is empty: its document is the end id alone. Other columns are ignored. Returns a manifest: a row for
     each shard with its path, documents, ids, and `start`, the ids of all shards before it. An empty table has no shards.
 
-    A shard's bytes depend on its rows alone and it gets its name by a rename, so a task that runs twice changes nothing."""
+    A shard has its task's attempt in its name and is renamed after its last byte. The manifest has the shards of the attempts that counted,
+    so a task that runs again, wherever its first run ended, changes nothing."""
     spark = docs.sparkSession
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -278,7 +279,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
         task = TaskContext.get()
         part = task.partitionId()
         fs, root = filesystem(folder)
-        name, temporary = f"{root}/shard-{part:07d}.s8b", f"{root}/_shard-{part:07d}-{task.taskAttemptId()}"
+        name, temporary = f"{root}/shard-{part:07d}-{task.taskAttemptId()}.s8b", f"{root}/_shard-{part:07d}-{task.taskAttemptId()}"
         tok, docs_n, ids_n, stream = encoder(tokenizer), 0, 0, None
         held_ids, held_counts, held_docs, held = [], [], [], 0
 
@@ -304,8 +305,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name.rsplit("/", 1)[1]], "documents": [docs_n], "ids": [ids_n]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
-    # the ranges are found from a sample of (id, hash) pairs; equal ids are dealt by hash, so they can be any number
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
+    # the ranges are found from a sample of ids, hashes and, for rows that are the same in both, row numbers, so equal rows can be any number
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("r", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange("k", "h", "r").sortWithinPartitions("k", "h", "t").select("k", "t")
     shards = sorted(ordered.mapInArrow(tidy(write), "part int, name string, documents long, ids long").collect())  # a row for each task
     start, rows = 0, []
     for s in shards:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir, tidy
+from .common import filesystem, shared_dir, tidy, written
 
 #: Payloads shorter than this are stored as they are, however often they occur.
 LEAST_SHARED = 100
@@ -62,11 +62,12 @@ def _number(urn: str | None) -> int | None:
 
 def plan(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and first: the smallest page_id with the same payload, null where the payload is stored by itself.
-    Payloads are counted by digest before anything moves; only digests that occur twice or more join back. A null html is empty;
-    a null page_id is never a first, and of rows with the smallest id and the same payload each is a response."""
+    Payloads are counted by digest before anything moves. Digests that occur twice or more are a table of their own, so that Spark knows its
+    size, sends it to the tasks if its threshold for that allows it, and can otherwise split a page that is very common. A null html is
+    empty; a null page_id is never a first, and of rows with the smallest id and the same payload each is a response."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     shared = rows.where(F.octet_length("html") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(shared, "digest", "left")
+    return rows.join(written(shared, "shared"), "digest", "left")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
