@@ -208,16 +208,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i, j = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
     while len(i):
+        # roots are hung under smaller roots; other nodes follow their root, or they would lose it
         low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
+        np.minimum.at(label, np.concatenate([label[i], label[j]]), np.concatenate([low, low]))
+        while (label != label[label]).any():
+            label = label[label]
         more = label[i] != label[j]
         i, j = i[more], j[more]
-    while (label != label[label]).any():
-        label = label[label]
     own = label != np.arange(len(nodes))
     return nodes[own], nodes[label[own]]
 

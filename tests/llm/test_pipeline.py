@@ -117,6 +117,19 @@ def test_crowd_of_almost_similar_texts(spark):
     assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == {(i, i + 120) for i in range(120)}
 
 
+def test_forest_of_random_links():
+    r = np.random.default_rng(5)
+    for n in (2, 5, 40, 300):
+        for _ in range(40):
+            a, b = r.integers(0, n, n), r.integers(0, n, n)
+            low = list(range(n))
+            for i, j in zip(a, b):
+                x, y = low[i], low[j]
+                low = [min(x, y) if z in (x, y) else z for z in low]
+            got = dict(zip(*(x.tolist() for x in common.forest(a, b))))
+            assert got == {i: low[i] for i in {*a.tolist(), *b.tolist()} if low[i] != i}
+
+
 def test_forests_are_those_of_all_pairs():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 14, r.integers(0, 16))).astype(np.uint64) for _ in range(150)]
