@@ -32,7 +32,7 @@ from .common import buffers, mix64, slabs, sliding_min, tidy, window_hashes, wor
 
 WINDOW, GRAM = 35, 8
 #: Different runs around one anchor up to which they are one block, and phrases of whole blocks that are indexed at a time.
-BLOCK_RUNS, INDEXED = 4000, 1 << 17
+BLOCK_RUNS, INDEXED = 2000, 1 << 17
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
