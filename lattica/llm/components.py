@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import forest, tidy, written
 
-#: Links that a task contracts at a time.
-CONTRACTED = 1 << 20
+#: Links that a task contracts at a time, and links up to which one task finishes what is left.
+CONTRACTED, LAST = 1 << 20, 1 << 18
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -41,14 +41,17 @@ def contracted(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every end of a link, root being the smallest node of its component. Null ends and links of a node to itself
     say nothing. Each round hangs larger neighbours of a node under its smallest one, then a node's parents under the smallest of them;
-    after a logarithmic number of rounds all is stars. Minima are combined before the shuffle and written, so that both sides of each
-    join come from tables and Spark splits a node that has very many links."""
+    after a logarithmic number of rounds all is stars, or few enough links (LAST) are left for one task to finish. Minima are combined
+    before the shuffle and written, so that both sides of each join come from tables and Spark splits a node that has very many links."""
     ends = contracted(links.select(F.greatest(a, b).cast("long").alias("n"), F.least(a, b).cast("long").alias("p")).where("p < n"))
     tree, last = written(ends.distinct(), "links"), None
     while True:
         now = tree.agg(F.count("*"), F.sum(F.xxhash64("n", "p").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
+        if now[0] <= LAST:
+            tree = written(contracted(tree.coalesce(1)), "stars")
+            break
         last = now
         both = tree.unionByName(tree.select(F.col("p").alias("n"), F.col("n").alias("p")))
         low = written(both.groupBy("n").agg(F.min("p").alias("m")).select("n", F.least("n", "m").alias("m")), "low")
