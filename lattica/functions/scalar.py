@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,8 +26,10 @@ def blue_white_red(value: Column, low: Column, high: Column, centre: Column) ->
 
 def distinct_colours(keys: DataFrame, key: str) -> DataFrame:
     """(key, r, g, b): colours evenly around the wheel, in the order of the keys, full in saturation and brightness."""
-    rows = keys.select(key).distinct()
-    rows = rows.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    from ..operators.ranks import numbered
+
+    rows = numbered(keys.select(key).distinct(), key, name="i")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     h = 6.0 * F.col("i") / F.col("n")
     channel = lambda shift: F.rint(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs(F.pmod(h + shift, F.lit(6.0)) - 3) - 1))).cast("int")
     return rows.select(key, channel(0.0).alias("r"), channel(4.0).alias("g"), channel(2.0).alias("b"))

@@ -25,11 +25,11 @@ def edges(spark, sf):
 
 
 def identities(spark, sf):
-    """Suppliers with their region, and `credit` for a balance over 5000; every tenth has none."""
+    """Suppliers with their region, and `credit` for a balance over 5000; those in debt have none."""
     s, n, r = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "region")
     rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     ids = F.when(F.col("s_acctbal") > 5000, F.array("r_name", F.lit("credit"))).otherwise(F.array("r_name"))
-    return rows.where("s_suppkey % 10 <> 3").select((F.col("s_suppkey") + 1).alias("id"), ids.alias("ids"))
+    return rows.where("s_acctbal >= 0").select((F.col("s_suppkey") + 1).alias("id"), ids.alias("ids"))
 
 
 def communities(spark, sf):
@@ -80,7 +80,7 @@ PARTS = {
     "occ": "SELECT DISTINCT l_orderkey + 1 AS edge, l_suppkey + 1 AS node FROM lineitem",
     "edges": "SELECT a.node AS node_a, b.node AS node_b, a.edge AS edge_c FROM occ a JOIN occ b ON a.edge = b.edge AND a.node < b.node",
     "graph": "SELECT least(node_a, node_b) AS src, greatest(node_a, node_b) AS dst, count(*) AS weight FROM edges GROUP BY 1, 2",
-    "idents": "SELECT s_suppkey + 1 AS id, CASE WHEN s_acctbal > 5000 THEN [r_name, 'credit'] ELSE [r_name] END AS ids FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 <> 3",
+    "idents": "SELECT s_suppkey + 1 AS id, CASE WHEN s_acctbal > 5000 THEN [r_name, 'credit'] ELSE [r_name] END AS ids FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal >= 0",
     "coms": "SELECT s_suppkey + 1 AS id, CAST(s_nationkey AS BIGINT) AS com FROM supplier",
     "cent": f"SELECT CAST(vec_id AS BIGINT) AS id, {_AT.format(1)} AS z, {_AT.format(2)} AS y, {_AT.format(3)} AS x FROM embeddings",
     "pids": "SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 5 = 0 THEN ['L' || (label % 3), 'even'] ELSE ['L' || (label % 3)] END AS ids FROM embeddings",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..helpers import components, grid_join, knn_join, settle
+from .ranks import numbered
 
 
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
@@ -65,8 +66,8 @@ def dbscan(points: DataFrame, eps: float, least: int, axes=("z", "y", "x")) -> D
     cores = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
     both = near.join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
     parts = components(both, "a", "b")
-    names = parts.select("component").distinct().select("component", F.row_number().over(Window.orderBy("component")).cast("long").alias("cluster"))
-    of_core = settle(parts.join(F.broadcast(names), "component").select("id", "cluster"), "cores")
+    names = numbered(parts.select("component").distinct(), "component", start=1, name="cluster").select("component", F.col("cluster").cast("long").alias("cluster"))
+    of_core = settle(parts.join(names, "component").select("id", "cluster"), "cores")
     edge = near.join(of_core.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d2", "b")).alias("cluster"))
     return points.select("id").join(edge, "id", "left").select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"))
 

@@ -44,39 +44,80 @@ def louvain(graph: DataFrame, weighted: bool = True, seed: int = 42, levels: int
     """(id, com) by local moves and aggregation. A round lets half the nodes (by hash) move to the neighbouring community of the greatest gain
     in modularity, if there is one; rounds and levels end when modularity no longer rises. Moves of a round are judged on its beginning,
     so a round that lowers modularity is undone."""
+    return _optimised(graph, weighted, seed, levels, rounds, False)
+
+
+def leiden(graph: DataFrame, weighted: bool = True, seed: int = 42, levels: int = 10, rounds: int = 12) -> DataFrame:
+    """(id, com) as louvain() finds them, with a refinement before each aggregation: every community is built up anew from single nodes, which
+    join a piece of their own community that they are linked to where that raises modularity. Pieces are what is aggregated, and they begin
+    the next level in the communities they come from; so a community can be parted again, and pieces are connected."""
+    return _optimised(graph, weighted, seed, levels, rounds, True)
+
+
+def _moved(now: DataFrame, links: DataFrame, state: DataFrame, total: float, seed: int, rounds: int) -> tuple[DataFrame, bool]:
+    """state (id, k, com) after local moves, and whether there were any."""
+    best, moved = modularity(now, state.select("id", "com")), False
+    for turn in range(rounds):
+        coms = state.groupBy("com").agg(F.sum("k").alias("total"))
+        to = links.join(state.select(F.col("id").alias("dst"), "com"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.sum("w").alias("kin"))
+        own = state.select("id", "k", F.col("com").alias("old"))
+        stay = own.select("id", F.col("old").alias("com"), F.lit(0.0).alias("kin"))
+        options = to.unionByName(stay).groupBy("id", "com").agg(F.sum("kin").alias("kin")).join(own, "id").join(coms, "com")
+        rest = F.col("total") - F.when(F.col("com") == F.col("old"), F.col("k")).otherwise(0.0)
+        score = F.round(F.col("kin") - F.col("k") * rest / total, 9)
+        pick = options.withColumn("score", score).groupBy("id").agg(F.min_by("com", F.struct((-F.col("score")).alias("s"), F.when(F.col("com") == F.col("old"), 0).otherwise(1).alias("o"), "com")).alias("new"))
+        moves = F.pmod(F.xxhash64("id", F.lit(seed + turn)), F.lit(2)) == 0
+        next_state = settle(state.join(pick, "id").select("id", "k", F.when(moves, F.col("new")).otherwise(F.col("com")).alias("com")), "state")
+        q = modularity(now, next_state.select("id", "com"))
+        if q > best + 1e-9:
+            state, best, moved = next_state, q, True
+        elif turn > 2:
+            break
+    return state, moved
+
+
+def _refined(links: DataFrame, state: DataFrame, total: float, seed: int, rounds: int) -> DataFrame:
+    """(id, com, within): the communities `within` of state taken apart. In a round half the nodes that are still alone, by hash, join the piece of
+    their community of the greatest gain among those that do not move in this round, so that a piece never loses what holds it together."""
+    inner = settle(links.join(state.select(F.col("id").alias("src"), F.col("com").alias("a")), "src").join(state.select(F.col("id").alias("dst"), F.col("com").alias("b")), "dst").where("a = b").select("src", "dst", "w"), "inner")
+    now = settle(state.select("id", "k", F.col("com").alias("within"), F.col("id").alias("com")), "pieces")
+    quiet = 0
+    for turn in range(rounds):
+        pieces = now.groupBy("com").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+        known = settle(now.join(pieces, "com").withColumn("free", (F.col("n") == 1) & (F.pmod(F.xxhash64("id", F.lit(seed + turn)), F.lit(2)) == 0)), "known")
+        to = inner.join(known.where("NOT free").select(F.col("id").alias("dst"), "com", "total"), "dst").join(known.where("free").select(F.col("id").alias("src"), "k"), "src")
+        options = to.groupBy(F.col("src").alias("id"), "com").agg(F.round(F.sum("w") - F.first("k") * F.first("total") / total, 9).alias("gain")).where("gain > 0")
+        pick = settle(options.groupBy("id").agg(F.min_by("com", F.struct((-F.col("gain")).alias("g"), "com")).alias("new")), "picks")
+        quiet = quiet + 1 if pick.isEmpty() else 0
+        if quiet == 2:
+            break
+        now = settle(known.select("id", "k", "within", "com").join(pick, "id", "left").select("id", "k", "within", F.coalesce("new", "com").alias("com")), "pieces")
+    return now.select("id", "com", "within")
+
+
+def _optimised(graph: DataFrame, weighted: bool, seed: int, levels: int, rounds: int, refine: bool) -> DataFrame:
     now = settle(graph.select("src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("weight")), "level")
     total = 2 * (now.agg(F.sum("weight")).first()[0] or 0.0)
-    names = settle(vertices(graph).select("id", F.col("id").alias("com")), "names")
+    names, begin = settle(vertices(graph).select("id", F.col("id").alias("node")), "names"), None
+    out = names.select("id", F.col("node").alias("com"))
     if not total:
-        return by_size(names)
+        return by_size(out)
     for level in range(levels):
         both = settle(neighbours(now).withColumn("w", F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight"))).select("src", "dst", "w"), "both")
         strength = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
-        state = settle(strength.select("id", "k", F.col("id").alias("com")), "state")
-        links, best, moved = both.where("src <> dst"), modularity(now, state.select("id", "com")), False
-        for turn in range(rounds):
-            coms = state.groupBy("com").agg(F.sum("k").alias("total"))
-            to = links.join(state.select(F.col("id").alias("dst"), "com"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.sum("w").alias("kin"))
-            own = state.select("id", "k", F.col("com").alias("old"))
-            stay = own.select("id", F.col("old").alias("com"), F.lit(0.0).alias("kin"))
-            options = to.unionByName(stay).groupBy("id", "com").agg(F.sum("kin").alias("kin")).join(own, "id").join(coms, "com")
-            rest = F.col("total") - F.when(F.col("com") == F.col("old"), F.col("k")).otherwise(0.0)
-            score = F.round(F.col("kin") - F.col("k") * rest / total, 9)
-            pick = options.withColumn("score", score).groupBy("id").agg(F.min_by("com", F.struct((-F.col("score")).alias("s"), F.when(F.col("com") == F.col("old"), 0).otherwise(1).alias("o"), "com")).alias("new"))
-            moves = F.pmod(F.xxhash64("id", F.lit(seed + 97 * level + turn)), F.lit(2)) == 0
-            next_state = settle(state.join(pick, "id").select("id", "k", F.when(moves, F.col("new")).otherwise(F.col("com")).alias("com")), "state")
-            q = modularity(now, next_state.select("id", "com"))
-            if q > best + 1e-9:
-                state, best, moved = next_state, q, True
-            elif turn > 2:
-                break
+        state = settle(strength.join(begin, "id") if begin is not None else strength.select("id", "k", F.col("id").alias("com")), "state")
+        links = both.where("src <> dst")
+        state, moved = _moved(now, links, state, total, seed + 97 * level, rounds)
+        out = settle(names.join(state.select(F.col("id").alias("node"), "com"), "node").select("id", "com"), "communities")
         if not moved:
             break
-        names = settle(names.join(state.select(F.col("id").alias("com"), F.col("com").alias("new")), "com").select("id", F.col("new").alias("com")), "names")
-        a, b = state.select(F.col("id").alias("src"), F.col("com").alias("ca")), state.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
+        pieces = settle(_refined(links, state, total, seed + 97 * level, rounds) if refine else state.select("id", "com", F.col("com").alias("within")), "groups")
+        begin = settle(pieces.select(F.col("com").alias("id"), F.col("within").alias("com")).distinct(), "begin") if refine else None
+        names = settle(names.join(pieces.select(F.col("id").alias("node"), "com"), "node").select("id", F.col("com").alias("node")), "names")
+        a, b = pieces.select(F.col("id").alias("src"), F.col("com").alias("ca")), pieces.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
         merged = now.join(a, "src").join(b, "dst").groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight"))
         now = settle(merged, "level")
-    return by_size(names)
+    return by_size(out)
 
 
 def partition_statistics(graph: DataFrame, communities: DataFrame) -> DataFrame:
@@ -121,17 +162,6 @@ def supercommunities(communities: DataFrame, groups: DataFrame, least: int = 0)
     return by_size(rows.where((F.col("size") >= least) & F.col("group").isNotNull()).select("id", F.col("group").cast("long").alias("com"))).unionByName(out)
 
 
-
-
-def leiden(graph: DataFrame, weighted: bool = True, seed: int = 42, levels: int = 10, rounds: int = 12) -> DataFrame:
-    """(id, com): louvain() with every community parted into its connected pieces, so that none holds nodes that only meet outside it."""
-    found = settle(louvain(graph, weighted, seed, levels, rounds), "communities")
-    a, b = found.select(F.col("id").alias("src"), F.col("com").alias("ca")), found.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
-    inner = graph.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight")
-    pieces = components(inner).select("id", F.col("component").alias("com"))
-    return by_size(found.join(pieces.withColumnRenamed("com", "piece"), "id", "left").select("id", F.coalesce("piece", "id").alias("com")))
-
-
 def branch_repair(graph: DataFrame, free: DataFrame | None = None, most_free: float = 0.4) -> DataFrame:
     """(id, to): labels that do not touch the largest label are joined with those they touch, by their smallest label; labels whose share of
     free surface in `free` (id, share) is most_free or more keep their own."""

@@ -19,6 +19,10 @@ from ..helpers import settle, until_stable
 from .edges import degrees, neighbours
 
 
+#: Pairs of a component up to which a metric that needs all of it at once is computed.
+MOST_PAIRS = 5_000_000
+
+
 def simple(graph: DataFrame) -> DataFrame:
     """Both directions of every pair, without self-loops: (a, b)."""
     return neighbours(graph).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
@@ -144,14 +148,15 @@ def clustering(graph: DataFrame) -> DataFrame:
 
 
 def core_numbers(graph: DataFrame) -> DataFrame:
-    """(id, core): from the degrees down, each node takes the greatest h such that h of its neighbours have at least h, until none changes."""
+    """(id, core): from the degrees down, each node takes the greatest h such that h of its neighbours have at least h, until none changes.
+    Neighbours are counted by value first, and a node has few different values around it, however many neighbours."""
     links = settle(simple(graph), "links")
     start = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("core"))
-    order = Window.partitionBy("a").orderBy(F.desc("v"))
+    upward = F.sum("k").over(Window.partitionBy("a").orderBy(F.desc("v")))
 
     def step(state: DataFrame) -> DataFrame:
-        rows = links.join(state.select(F.col("id").alias("b"), F.col("core").alias("v")), "b").withColumn("i", F.row_number().over(order))
-        return rows.groupBy(F.col("a").alias("id")).agg(F.max(F.least("i", "v")).cast("long").alias("core"))
+        counts = links.join(state.select(F.col("id").alias("b"), F.col("core").alias("v")), "b").groupBy("a", "v").agg(F.count("*").alias("k"))
+        return counts.withColumn("i", upward).groupBy(F.col("a").alias("id")).agg(F.max(F.least("i", "v")).cast("long").alias("core"))
 
     found = until_stable(start, step)
     return vertices(graph).join(found, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
@@ -183,6 +188,8 @@ def per_component(graph: DataFrame, solve, schema: str) -> DataFrame:
     rows = graph.where("src <> dst").join(c.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_PAIRS:
+            raise ValueError(f"a component has {len(pdf)} pairs, more than this metric takes in one task ({MOST_PAIRS})")
         ids = np.unique(pdf[["src", "dst"]].to_numpy())
         i, j = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
         return pd.DataFrame(solve(ids, i, j, pdf["weight"].to_numpy(float)))

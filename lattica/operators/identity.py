@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .edges import neighbours
+from .ranks import numbered
 
 
 def parse(column: str | Column) -> Column:
@@ -91,7 +92,7 @@ def density_heat(communities: DataFrame) -> DataFrame:
 def by_size(communities: DataFrame) -> DataFrame:
     """Communities renumbered from 1 by size, the largest first, ties by their old number."""
     sizes = communities.groupBy("com").agg(F.count("*").alias("size"))
-    rank = sizes.select("com", F.row_number().over(Window.orderBy(F.desc("size"), "com")).cast("long").alias("rank"))
+    rank = numbered(sizes, F.desc("size"), "com", start=1, name="rank").select("com", F.col("rank").cast("long").alias("rank"))
     return communities.join(rank, "com").select("id", F.col("rank").alias("com"))
 
 

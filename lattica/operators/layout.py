@@ -23,7 +23,7 @@ def ring(nodes: DataFrame) -> DataFrame:
 def shells(communities: DataFrame) -> DataFrame:
     """(id, px, py): a circle for each community, larger ones farther out."""
     size = communities.groupBy("com").agg(F.count("*").alias("n"))
-    order = size.withColumn("radius", F.row_number().over(Window.orderBy("n", "com")))
+    order = numbered(size, "n", "com", start=1, name="radius")
     rows = communities.join(order, "com").withColumn("i", F.row_number().over(Window.partitionBy("com").orderBy("id")) - 1)
     turn = 2 * math.pi * F.col("i") / F.col("n")
     return rows.select("id", (F.col("radius") * F.cos(turn)).alias("px"), (F.col("radius") * F.sin(turn)).alias("py"))

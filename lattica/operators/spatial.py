@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..helpers import grid_join, knn_join
+from ..helpers import grid_join, knn_join, settle
 from ..model import Scale
 from .edges import without_duplicates
 
 AXES = ("z", "y", "x")
+#: Points of a chunk of Ripley's K.
+CHUNK = 256
 
 
 def truncated(centroids: DataFrame, scale: Scale = Scale()) -> DataFrame:
@@ -49,15 +54,15 @@ def nearest_distances(roots: DataFrame, targets: DataFrame, k: int = 1, scale: S
 
 
 def identity_distances(centroids: DataFrame, identities: DataFrame, k: int = 1, scale: Scale = Scale()) -> DataFrame:
-    """(root, target, dist): the mean over nodes of one identity of their distance to the nearest of another. Identities are few; a join runs
-    for each target."""
-    each = centroids.join(identities.select("id", F.explode("ids").alias("identity")), "id")
-    names, out = [r[0] for r in identities.select(F.explode("ids").alias("i")).distinct().orderBy("i").collect()], None
-    for name in names:
-        near = nearest_distances(centroids, each.where(F.col("identity") == name).drop("identity"), k, scale)
-        part = near.join(identities.select("id", F.explode("ids").alias("root")), "id").groupBy("root").agg(F.avg("dist").alias("dist")).select("root", F.lit(name).alias("target"), "dist")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(root, target, dist): the mean over nodes of one identity of their distance to the nearest of another. Identities are a further axis of
+    the join: a node seeks its neighbours once in the points of each identity, so one join serves all of them."""
+    each = settle(centroids.join(identities.select("id", F.explode("ids").alias("identity")).distinct(), "id"), "identities")
+    # one row with the identities there are; the result has a distance for each node and identity anyhow
+    names = F.broadcast(each.agg(F.collect_set("identity").alias("names")))
+    queries = centroids.crossJoin(names).select(*centroids.columns, F.explode("names").alias("identity"))
+    near = knn_join(queries, each, k, scale=scale, by="identity")
+    dist = near.groupBy(F.col("q").alias("id"), F.col("identity").alias("target")).agg(F.avg(F.sqrt("d2")).alias("dist"))
+    return dist.join(identities.select("id", F.explode("ids").alias("root")), "id").groupBy("root", "target").agg(F.avg("dist").alias("dist"))
 
 
 def expected_nearest(count: int, shape: tuple[int, int, int], scale: Scale = Scale()) -> float:
@@ -118,17 +123,44 @@ def mirrored(points: DataFrame, shape: tuple[float, ...], margin: float, axes: t
     return points.select(*rest, F.explode(F.array_compact(F.array(own, *out))).alias("p")).select(*rest, "p.*")
 
 
+def _chunks(points: DataFrame, side: float, axes: tuple[str, ...], which: str) -> DataFrame:
+    """(c<axis>_<which>, chunk_<which>, <axis>_<which>: array): the points of each cell of a grid in chunks of about CHUNK, so that a crowded cell is many rows."""
+    cell = [F.floor(F.col(a) / side).cast("long").alias(f"c{a}_{which}") for a in axes]
+    keys = [f"c{a}_{which}" for a in axes]
+    rows = settle(points.select(*[F.col(a).cast("double").alias(f"{a}_{which}") for a in axes], *cell, F.monotonically_increasing_id().alias("row")), "points")
+    counts = settle(rows.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "cells")
+    dealt = rows.join(counts, keys).withColumn(f"chunk_{which}", F.pmod(F.xxhash64("row"), F.col("chunks")))
+    return settle(dealt.groupBy(*keys, f"chunk_{which}").agg(*[F.collect_list(f"{a}_{which}").alias(f"{a}_{which}") for a in axes]), "chunks")
+
+
 def ripley_k(roots: DataFrame, targets: DataFrame, rs: list[float], volume: float, same: bool = True, axes: tuple[str, ...] = AXES, targets_counted: int | None = None) -> DataFrame:
     """(r, k): pairs of a root and a target within r, the roots' own places taken out if they are targets too, over targets times the
-    density of roots. Pairs are made once, up to the greatest radius, and counted by the first radius that holds them."""
+    density of roots.
+
+    Points are put together in chunks by the cells of a grid of the greatest radius; chunks of neighbouring cells meet, and each two give
+    the number of their pairs between one radius and the next, so that no pair of points is ever a row."""
     if not rs:
         return roots.sparkSession.createDataFrame([], "r double, k double")
-    pairs = grid_join(roots, targets, max(rs), axes=axes).select(F.sqrt("d2").alias("d"))
-    grid = F.array(*[F.lit(float(r)) for r in rs])
-    first = F.size(F.filter(grid, lambda r: r < F.col("d")))
-    per = pairs.select(first.alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    side, grid, spark = max(rs), [float(r) for r in rs], roots.sparkSession
+    a, b = _chunks(roots, side, axes, "a"), _chunks(targets, side, axes, "b")
+    near = F.array(*[F.struct(*[F.lit(d).alias(x) for x, d in zip(axes, o)]) for o in product((-1, 0, 1), repeat=len(axes))])
+    ka, kb = [f"c{x}_a" for x in axes] + ["chunk_a"], [f"c{x}_b" for x in axes] + ["chunk_b"]
+    moved = a.select(*ka, F.explode(near).alias("o")).select(*ka, *[(F.col(f"c{x}_a") + F.col(f"o.{x}")).alias(f"c{x}_b") for x in axes])
+    met = moved.join(b.select(*kb), kb[:-1]).join(a, ka).join(b, kb)
+    columns = [f"{x}_{w}" for w in "ab" for x in axes]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(grid) + 1, np.int64), len(axes)
+        for batch in batches:
+            for row in zip(*batch.columns):
+                at = [v.values.to_numpy(zero_copy_only=False) for v in row]
+                d = np.sqrt(sum((p[:, None] - q[None]) ** 2 for p, q in zip(at[:n], at[n:])))
+                total += np.bincount(np.searchsorted(grid, d.ravel(), "left"), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(total[:-1])], ["i", "n"])
+
+    per = met.select(*columns).mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     n = F.broadcast(roots.agg(F.count("*").alias("n_roots")).crossJoin(targets.agg(F.count("*").alias("n_targets"))))
-    every = roots.sparkSession.createDataFrame([(i, float(r)) for i, r in enumerate(rs)], "i int, r double")
+    every = spark.createDataFrame(list(enumerate(grid)), "i int, r double")
     upto = Window.orderBy("i")
     rows = every.join(per, "i", "left").crossJoin(n).withColumn("pairs", F.sum(F.coalesce("n", F.lit(0))).over(upto) - (F.col("n_roots") if same else F.lit(0)))
     counted = F.lit(targets_counted) if targets_counted is not None else F.col("n_targets")
@@ -171,13 +203,19 @@ def grid_cells(centroids: DataFrame, size: int) -> DataFrame:
 
 def hexagon_cells(centroids: DataFrame, side: float) -> DataFrame:
     """(id, q, r): axial coordinates of the hexagon of a side length that holds a point in the plane; columns are 1.5 sides apart and every
-    other one is shifted by half a hexagon. The nearest centre is found by rounding cube coordinates, with no table of centres."""
-    q, r = 2.0 / 3.0 * F.col("x") / side, (-1.0 / 3.0 * F.col("x") + math.sqrt(3) / 3.0 * F.col("y")) / side
-    rows = centroids.select("id", q.alias("fq"), r.alias("fr")).withColumn("fs", -F.col("fq") - F.col("fr"))
-    rows = rows.select("*", *[F.rint(f"f{c}").alias(c) for c in "qrs"], *[F.abs(F.rint(f"f{c}") - F.col(f"f{c}")).alias(f"d{c}") for c in "qrs"])
-    fix_q = (F.col("dq") > F.col("dr")) & (F.col("dq") > F.col("ds"))
-    fix_r = ~fix_q & (F.col("dr") > F.col("ds"))
-    return rows.select("id", F.when(fix_q, -F.col("r") - F.col("s")).otherwise(F.col("q")).cast("long").alias("q"), F.when(fix_r, -F.col("q") - F.col("s")).otherwise(F.col("r")).cast("long").alias("r"))
+    other one is shifted by half a hexagon. Rounding the coordinates gives a hexagon that holds the point or touches the one that does, and
+    the nearest centre among it and the six around is taken, with no table of centres. Of centres whose squared distances agree to a
+    millionth (the point is on a border) the one with the smaller (q, r) is taken."""
+    fq, fr = 2.0 / 3.0 * F.col("x") / side, (-1.0 / 3.0 * F.col("x") + math.sqrt(3) / 3.0 * F.col("y")) / side
+    rows = centroids.select("id", "x", "y", F.rint(fq).cast("long").alias("q0"), F.rint(fr).cast("long").alias("r0"))
+
+    def centre(dq: int, dr: int):
+        q, r = F.col("q0") + dq, F.col("r0") + dr
+        dx, dy = F.col("x") - 1.5 * side * q, F.col("y") - side * (math.sqrt(3) / 2 * q + math.sqrt(3) * r)
+        return F.struct(F.round(dx * dx + dy * dy, 6).alias("d"), q.alias("q"), r.alias("r"))
+
+    best = F.array_min(F.array(*[centre(dq, dr) for dq, dr in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0), (1, -1), (-1, 1))]))
+    return rows.select("id", best.alias("c")).select("id", "c.q", "c.r")
 
 
 def prism_cells(centroids: DataFrame, side: float, height: float) -> DataFrame:
@@ -186,19 +224,19 @@ def prism_cells(centroids: DataFrame, side: float, height: float) -> DataFrame:
 
 
 def dodecahedron_cells(centroids: DataFrame, side: float) -> DataFrame:
-    """(id, a, b, c): the cell of the face-centred cubic lattice, of spacing sqrt(2) times side, that holds a point: all three coordinates
-    are rounded, and where their sum is odd the one that was rounded farthest goes the other way."""
+    """(id, a, b, c): the cell of the face-centred cubic lattice, of spacing sqrt(2) times side, that holds a point: the nearest of the triples
+    of an even sum, among those that rounding gives or that differ from them by one. Of cells whose squared distances agree to a billionth
+    of a side the one with the smaller (a, b, c) is taken."""
     unit = float(side)
-    f = [(F.col(a) / unit).alias(f"f{a}") for a in AXES]
-    rows = centroids.select("id", *f).select("*", *[F.rint(f"f{a}").cast("long").alias(a) for a in AXES])
-    rows = rows.select("*", *[(F.col(f"f{a}") - F.col(a)).alias(f"e{a}") for a in AXES])
-    worst = F.greatest(*[F.abs(f"e{a}") for a in AXES])
-    odd = F.pmod(F.col("z") + F.col("y") + F.col("x"), F.lit(2)) == 1
-    way = lambda a: F.when(F.col(f"e{a}") >= 0, 1).otherwise(-1)
-    turn = {"z": odd & (F.abs("ez") == worst)}
-    turn["y"] = odd & ~turn["z"] & (F.abs("ey") == worst)
-    turn["x"] = odd & ~turn["z"] & ~turn["y"]
-    return rows.select("id", *[(F.col(a) + F.when(turn[a], way(a)).otherwise(0)).alias(n) for a, n in zip(AXES, "abc")])
+    rows = centroids.select("id", *[(F.col(a) / unit).alias(f"f{a}") for a in AXES]).select("*", *[F.rint(f"f{a}").cast("long").alias(f"r{a}") for a in AXES])
+
+    def cell(o: tuple[int, ...]):
+        at = [F.col(f"r{a}") + d for a, d in zip(AXES, o)]
+        d2 = sum((F.col(f"f{a}") - p) * (F.col(f"f{a}") - p) for a, p in zip(AXES, at))
+        return F.when(F.pmod(at[0] + at[1] + at[2], F.lit(2)) == 0, F.struct(F.round(d2, 9).alias("d"), *[p.alias(n) for p, n in zip(at, "abc")]))
+
+    best = F.array_min(F.array(*[cell(o) for o in product((-1, 0, 1), repeat=3)]))
+    return rows.select("id", best.alias("p")).select("id", "p.a", "p.b", "p.c")
 
 
 def centroid_image(centroids: DataFrame, clip: bool = False) -> DataFrame:

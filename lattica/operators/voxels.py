@@ -6,7 +6,9 @@ times the offsets; distance dilation lists the offsets of a ball, which suits se
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -15,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..helpers import components as _components
-from ..helpers import grid_join, settle
+from ..helpers import grid_join, least_linked, settle
 from ..model import Scale
 
 AT = ["z", "y", "x"]
+#: Places of the box around an object that one task holds at most.
+MOST_BOX = 1 << 28
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 SIDES = [f for f in FACES if f[0] == 0]
 AROUND = [o for o in product((-1, 0, 1), repeat=3) if any(o)]
@@ -103,16 +107,43 @@ def crop(voxels: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int
 # Connected components
 
 
-def connected(voxels: DataFrame, full: bool = True) -> DataFrame:
+def connected(voxels: DataFrame, full: bool = True, side: int = 64) -> DataFrame:
     """Voxels with label replaced by a number for each connected component of rows, whatever their labels: 26 neighbours, or 6. Components
-    are numbered from 1 in the order of their first voxel."""
-    points = voxels.select(*AT).distinct()
-    key = lambda z, y, x: (F.col(z).cast("long") * (1 << 42) + F.col(y).cast("long") * (1 << 21) + F.col(x).cast("long"))
-    keyed = points.withColumn("k", key("z", "y", "x"))
-    moved = shifted(keyed, HALF if full else [(0, 0, 1), (0, 1, 0), (1, 0, 0)]).select(*AT, F.col("k").alias("other"))
-    links = keyed.join(moved, AT).select(F.col("k").alias("a"), F.col("other").alias("b"))
+    are numbered from 1 in the order of their first voxel.
+
+    Each cube of `side` is labelled by itself in a task; only voxels on the faces of cubes are then joined with their neighbours in other
+    cubes, and components are those of the cubes' pieces."""
+    offsets = HALF if full else [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
+    key = F.col("z").cast("long") * (1 << 42) + F.col("y").cast("long") * (1 << 21) + F.col("x").cast("long")
+    cube = [F.floor(F.col(a) / side).cast("long").alias(f"c{a}") for a in AT]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = np.sort(pdf["k"].to_numpy(np.int64))
+        i, j = [], []
+        for z, y, x in offsets:
+            to = k + ((z << 42) + (y << 21) + x)
+            at = np.minimum(np.searchsorted(k, to), len(k) - 1)
+            hit = np.flatnonzero(k[at] == to)
+            i.append(k[hit])
+            j.append(k[at[hit]])
+        node, least = least_linked(np.concatenate(i), np.concatenate(j))
+        piece = k.copy()
+        piece[np.searchsorted(k, node)] = least
+        return pd.DataFrame({"k": k, "piece": piece})
+
+    places = voxels.select(*AT).distinct().select(*AT, key.alias("k"), *cube)
+    pieces = places.groupBy("cz", "cy", "cx").applyInPandas(one, "k long, piece long")
+    low = (1 << 21) - 1
+    back = [F.shiftright("k", 42).cast("int").alias("z"), F.shiftright("k", 21).bitwiseAND(low).cast("int").alias("y"), F.col("k").bitwiseAND(low).cast("int").alias("x")]
+    pieces = settle(pieces.select(*back, "piece"), "pieces")
+    at_face = F.lit(False)
+    for a in AT:
+        at_face = at_face | (F.pmod(F.col(a), F.lit(side)) == 0) | (F.pmod(F.col(a), F.lit(side)) == side - 1)
+    rim = settle(pieces.where(at_face), "rim")
+    moved = shifted(rim, offsets).select(*AT, F.col("piece").alias("other"))
+    links = rim.join(moved, AT).where("piece <> other").select(F.col("piece").alias("a"), F.col("other").alias("b")).distinct()
     parts = _components(links, "a", "b")
-    rows = keyed.join(parts.withColumnRenamed("id", "k"), "k", "left").select(*AT, F.coalesce("component", "k").alias("component"))
+    rows = settle(pieces.join(parts.withColumnRenamed("id", "piece"), "piece", "left").select(*AT, F.coalesce("component", "piece").alias("component")), "components")
     from .ranks import numbered
 
     names = numbered(rows.select("component").distinct(), "component", start=1, name="label")
@@ -175,30 +206,59 @@ def sphericity(voxels: DataFrame, scale: Scale = Scale()) -> DataFrame:
     return v.join(a, "id").select("id", (math.pi ** (1 / 3) * F.pow(6 * F.col("volume"), F.lit(2 / 3)) / F.col("area")).alias("sphericity"))
 
 
-def radii(voxels: DataFrame, scale: Scale = Scale()) -> DataFrame:
-    """(id, radius): the greatest distance of an object's voxel to a place outside it, found from its boundary: a voxel is nearest to an
-    outside neighbour of the object's own shell. One object's voxels are one task's work."""
+def in_pieces(rows: DataFrame, by: str, one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """one() of the rows of each value of `by`, which are one task's work. Small pieces share a group of about a million rows, since a group costs
+    more than its rows do."""
+    groups = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() >> 20)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, kind="stable")
+        cut = np.flatnonzero(np.diff(pdf[by].to_numpy())) + 1
+        return pd.concat([one(pdf.iloc[i:j]) for i, j in zip([0, *cut], [*cut, len(pdf)])])
+
+    return rows.groupBy(F.pmod(F.xxhash64(by), F.lit(groups)).alias("group")).applyInPandas(run, schema)
+
+
+def _boxed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, corner, grid): the rows as True in a box that is one voxel wider on each side."""
+    at = pdf[AT].to_numpy(np.int64)
+    lo = at.min(0) - 1
+    size = at.max(0) - lo + 2
+    if size.prod() > MOST_BOX:
+        raise ValueError(f"a component's box has {size.prod()} voxels, which is more than one task may hold ({MOST_BOX}): part the image first")
+    grid = np.zeros(size, bool)
+    grid[tuple((at - lo).T)] = True
+    return at, lo, grid
+
+
+def squared_depth(grid: np.ndarray, spacing: tuple[float, float, float], axes: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
+    """Squared distance of each True place to the nearest False one, exact: axis by axis, the least over all shifts that can still lower a place."""
+    out = np.where(grid, np.inf, 0.0)
+    for axis in axes:
+        line = np.moveaxis(out, axis, 0)
+        base, k, step = line.copy(), 1, spacing[axis]
+        while k < len(line) and (k * step) ** 2 < line.max():
+            np.minimum(line[k:], base[:-k] + (k * step) ** 2, out=line[k:])
+            np.minimum(line[:-k], base[k:] + (k * step) ** 2, out=line[:-k])
+            k += 1
+    return out
+
+
+def depths(voxels: DataFrame, scale: Scale = Scale(), flat: bool = False, by: str = "label") -> DataFrame:
+    """Voxels with `depth`, their distance to the nearest place that does not belong to the same label (or other column `by`); in the plane with
+    flat. The voxels of a label are one task's work, up to a box of MOST_BOX places."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[AT].to_numpy()
-        lo = at.min(0) - 1
-        grid = np.zeros(at.max(0) - lo + 2, bool)
-        grid[tuple((at - lo).T)] = True
-        out = np.ones_like(grid)
-        out[grid] = False
-        near = np.zeros_like(grid)
-        for axis in range(3):
-            for step in (1, -1):
-                near |= np.roll(grid, step, axis)
-        shell = np.argwhere(near & out) * [scale.z, scale.xy, scale.xy]
-        mine = (at - lo) * [scale.z, scale.xy, scale.xy]
-        best = 0.0
-        for i in range(0, len(mine), 512):
-            d = ((mine[i : i + 512, None, :] - shell[None]) ** 2).sum(2).min(1)
-            best = max(best, float(np.sqrt(d.max())))
-        return pd.DataFrame({"id": [int(pdf["label"].iloc[0])], "radius": [best]})
-
-    return voxels.groupBy("label").applyInPandas(one, "id long, radius double")
+        at, lo, grid = _boxed(pdf)
+        d = np.sqrt(squared_depth(grid, (scale.z, scale.xy, scale.xy), (1, 2) if flat else (0, 1, 2)))
+        return pd.DataFrame({"z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "label": pdf[by].to_numpy(), "depth": d[tuple((at - lo).T)]})
+
+    return in_pieces(voxels.select(*AT, by), by, one, "z int, y int, x int, label long, depth double")
+
+
+def radii(voxels: DataFrame, scale: Scale = Scale()) -> DataFrame:
+    """(id, radius): the greatest distance of an object's voxel to a place outside it."""
+    return depths(voxels, scale).groupBy(F.col("label").alias("id")).agg(F.max("depth").alias("radius"))
 
 
 def projection(image: DataFrame, method: str, depth: int, column: str = "value") -> DataFrame:
@@ -337,145 +397,136 @@ def fill_holes(voxels: DataFrame) -> DataFrame:
     return voxels.select(*AT).unionByName(of("z")).unionByName(of("y")).unionByName(of("x")).distinct()
 
 
-def flood(voxels: DataFrame, share: float = 0.5, scale: Scale = Scale()) -> DataFrame:
-    """Binary watershed of each component: places deeper than a share of its greatest depth are seeds, parted into 6-connected pieces, and the
-    rest is flooded from them layer by layer. One component is one task's work; labels are component * 10000 + piece."""
+def spilled(rows: DataFrame, by: str) -> DataFrame:
+    """(z, y, x, label) of rows (z, y, x, height, seed, by) by a flood from the seeds, the lowest place first and of equal ones the one reached
+    first, over shared faces; places that no seed reaches are left out. The rows of one value of `by` are one task's work."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[AT].to_numpy()
-        lo = at.min(0) - 1
-        grid = np.zeros(at.max(0) - lo + 2, bool)
-        grid[tuple((at - lo).T)] = True
-        depth, left, level = np.zeros(grid.shape, int), grid.copy(), 0
-        while left.any():
-            level += 1
-            depth[left] = level
-            shrunk = left.copy()
-            for axis in range(3):
-                if grid.shape[axis] > 3:
-                    shrunk &= np.roll(left, 1, axis) & np.roll(left, -1, axis)
-            if (shrunk == left).all():
-                break
-            left = shrunk
-        seeds = grid & (depth > share * depth.max())
-        label, n = np.zeros(grid.shape, int), 0
-        for p in np.argwhere(seeds):
-            if label[tuple(p)]:
-                continue
-            n += 1
-            todo = [tuple(p)]
-            label[tuple(p)] = n
-            while todo:
-                q = todo.pop()
-                for f in FACES:
-                    r = tuple(np.add(q, f))
-                    if all(0 <= v < s for v, s in zip(r, grid.shape)) and seeds[r] and not label[r]:
-                        label[r] = n
-                        todo.append(r)
-        while (grid & (label == 0)).any():
-            grown = label.copy()
-            for f in AROUND:
-                moved = np.roll(label, f, (0, 1, 2))
-                take = grid & (grown == 0) & (moved > 0)
-                grown[take] = moved[take]
-            if (grown == label).all():
-                break
-            label = grown
-        return pd.DataFrame({"z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "label": int(pdf["label"].iloc[0]) * 10000 + label[tuple((at - lo).T)]})
-
-    return connected(voxels).groupBy("label").applyInPandas(one, "z int, y int, x int, label long")
+        pdf = pdf.sort_values(AT)
+        at = list(zip(*(pdf[a].tolist() for a in AT)))
+        place, height, label = {p: i for i, p in enumerate(at)}, pdf["height"].tolist(), pdf["seed"].tolist()
+        heap = [(height[i], i, i) for i, v in enumerate(label) if v]
+        heapq.heapify(heap)
+        age = len(at)
+        while heap:
+            _, _, i = heapq.heappop(heap)
+            z, y, x = at[i]
+            for dz, dy, dx in FACES:
+                j = place.get((z + dz, y + dy, x + dx))
+                if j is not None and not label[j]:
+                    label[j] = label[i]
+                    heapq.heappush(heap, (height[j], age, j))
+                    age += 1
+        return pdf[AT].assign(label=label).query("label > 0")
+
+    return in_pieces(rows, by, one, "z int, y int, x int, label long")
+
+
+def flood(voxels: DataFrame, share: float = 0.1, scale: Scale = Scale(), smallest: float | None = None, flat: bool = False) -> DataFrame:
+    """Binary watershed: of the image's different depths the one at `share` of their order (or `smallest`, a radius) parts the deep places, whose
+    connected pieces are seeds, and the rest is flooded from them, deep places first. Components without a deep place are left out. Labels
+    are the numbers of the seeds."""
+    deep = settle(depths(connected(voxels), scale, flat), "depths")
+    top = deep.where(F.col("depth") > smallest) if smallest is not None else above_share(deep, share, "depth")
+    seeds = settle(connected(top).withColumnRenamed("label", "seed"), "seeds")
+    rows = deep.join(seeds, AT, "left").select(*AT, "label", (-F.col("depth")).alias("height"), F.coalesce("seed", F.lit(0)).alias("seed"))
+    return spilled(rows, "label")
+
+
+def _key(at: np.ndarray) -> np.ndarray:
+    """A number for each place, from 1 on along each axis, such that neighbours differ by the same everywhere."""
+    return (at[:, 0] << 42) + (at[:, 1] << 21) + at[:, 2]
+
+
+_SPOTS = np.array(list(product((-1, 0, 1), repeat=3)))
+_GAPS = np.abs(_SPOTS[:, None] - _SPOTS[None])
+_TOUCH, _SHARE = (_GAPS.max(2) == 1), (_GAPS.sum(2) == 1)
+_RING = np.abs(_SPOTS).sum(1) > 0
+_NEAR = _RING & (np.abs(_SPOTS).sum(1) < 3)
+_FACE = np.abs(_SPOTS).sum(1) == 1
+
+
+def _pieces(cells: np.ndarray, linked: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """How many connected pieces of each row's cells hold a counted place."""
+    name = np.where(cells, np.arange(27, dtype=np.int8), np.int8(27))
+    while True:
+        low = name.copy()
+        for i in range(27):
+            low[:, i] = np.minimum(name[:, i], name[:, linked[i]].min(1))
+        low = np.where(cells, low, np.int8(27))
+        if (low == name).all():
+            break
+        name = low
+    seen = np.zeros((len(cells), 28), bool)
+    rows, spots = np.nonzero(cells & counted)
+    seen[rows, name[rows, spots]] = True
+    return seen[:, :27].sum(1)
+
+
+def removable(patch: np.ndarray) -> np.ndarray:
+    """True for places (rows of 27) that are no ends and whose removal keeps what touches them in one piece and what is free around them in one."""
+    own, free = patch & _RING, ~patch & _NEAR
+    ok = own.sum(1) > 1
+    ok[ok] = _pieces(own[ok], _TOUCH, _RING) == 1
+    ok[ok] = _pieces(free[ok], _SHARE, _FACE) == 1
+    return ok
 
 
 def thin(voxels: DataFrame) -> DataFrame:
     """A skeleton of each component: voxels are peeled from the six sides in turn as long as their 26 neighbours stay one piece, the places
-    around stay one piece, and they are no ends. One component is one task's work."""
-
-    def pieces(cells: np.ndarray, full: bool, within: np.ndarray) -> int:
-        todo, n = {tuple(c) for c in np.argwhere(cells & within)}, 0
-        steps = AROUND if full else FACES
-        while todo:
-            n += 1
-            stack = [todo.pop()]
-            while stack:
-                p = stack.pop()
-                for s in steps:
-                    q = (p[0] + s[0], p[1] + s[1], p[2] + s[2])
-                    if q in todo:
-                        todo.remove(q)
-                        stack.append(q)
-        return n
-
-    middle = np.ones((3, 3, 3), bool)
-    middle[1, 1, 1] = False
-    eighteen = middle.copy()
-    for c in product((0, 2), repeat=3):
-        eighteen[c] = False
-
-    def simple_point(block: np.ndarray) -> bool:
-        if (block & middle).sum() < 2:
-            return False
-        if pieces(block, True, middle) != 1:
-            return False
-        free, n = ~block & eighteen, 0
-        todo = {tuple(c) for c in np.argwhere(free)}
-        while todo:
-            stack, face = [todo.pop()], False
-            while stack:
-                p = stack.pop()
-                face |= sum(v == 1 for v in p) == 2
-                for s in FACES:
-                    q = (p[0] + s[0], p[1] + s[1], p[2] + s[2])
-                    if q in todo:
-                        todo.remove(q)
-                        stack.append(q)
-            n += face
-        return n == 1
+    around stay one piece, and they are no ends. Of a side's voxels those that do not touch one another (every other one along each axis)
+    go at once, so that what one loses does not change what another may. One component is one task's work, of some 100 bytes a voxel."""
+
+    steps = _key(_SPOTS.astype(np.int64))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # components do not touch, so those of a group are thinned side by side
+        at = pdf[AT].to_numpy(np.int64)
+        low = at.min(0) - 1
+        at = at - low
+        order = np.argsort(_key(at))
+        at, label, changed = at[order], pdf["label"].to_numpy()[order], True
+        keys = _key(at)
+        here, place = np.ones(len(at), bool), lambda k: np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+
+        def there(k: np.ndarray) -> np.ndarray:
+            i = place(k)
+            return (keys[i] == k) & here[i]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[AT].to_numpy()
-        lo = at.min(0) - 1
-        grid = np.zeros(at.max(0) - lo + 2, bool)
-        grid[tuple((at - lo).T)] = True
-        changed = True
         while changed:
             changed = False
             for f in FACES:
-                rim = grid & ~np.roll(grid, (-f[0], -f[1], -f[2]), (0, 1, 2))
-                for p in np.argwhere(rim):
-                    block = grid[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2]
-                    if simple_point(block):
-                        grid[tuple(p)] = False
-                        changed = True
-        left = np.argwhere(grid) + lo
-        return pd.DataFrame({"z": left[:, 0], "y": left[:, 1], "x": left[:, 2], "label": int(pdf["label"].iloc[0])})
+                rim = here & ~there(keys + _key(np.array([f]))[0])
+                for odd in product((0, 1), repeat=3):
+                    some = np.flatnonzero(rim & (at % 2 == odd).all(1))
+                    if len(some):
+                        gone = some[removable(there((keys[some][:, None] + steps).ravel()).reshape(-1, 27))]
+                        here[gone] = False
+                        changed |= bool(len(gone))
+        left = at[here] + low
+        return pd.DataFrame({"z": left[:, 0], "y": left[:, 1], "x": left[:, 2], "label": label[here]})
 
-    return connected(voxels).groupBy("label").applyInPandas(one, "z int, y int, x int, label long")
+    rows = settle(connected(voxels), "components")
+    groups = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() >> 20)
+    return rows.groupBy(F.pmod(F.xxhash64("label"), F.lit(groups)).alias("group")).applyInPandas(run, "z int, y int, x int, label long")
 
 
 def branch_points(skeleton: DataFrame) -> DataFrame:
-    """Skeleton voxels with more than two neighbours of which more than two pieces do not touch by a face."""
-    moved = shifted(skeleton.select(*AT, F.struct(*AT).alias("from")), AROUND)
-    near = skeleton.select(*AT).join(moved, AT).groupBy(F.col("from.z").alias("z"), F.col("from.y").alias("y"), F.col("from.x").alias("x")).agg(F.collect_list(F.struct(*AT)).alias("near"))
+    """Skeleton voxels with more than two neighbours, of which more than two pieces do not touch by a face."""
+    spot = lambda o: sum((o[i] + 1) * 3 ** (2 - i) for i in range(3))
+    here = skeleton.select(*AT).distinct()
+    near = here.select(F.struct(*AT).alias("from"), F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AT)], F.lit(spot(o)).alias("spot")) for o in AROUND])).alias("o"))
+    near = near.select("from", "o.spot", *[(F.col(f"from.{a}") + F.col(f"o.d{a}")).alias(a) for a in AT]).join(here, AT)
+    near = near.groupBy("from").agg(F.collect_list("spot").alias("near"))
 
     @F.pandas_udf("int")
-    def count(column: pd.Series) -> pd.Series:
-        def n(cells) -> int:
-            todo, pieces = {(c["z"], c["y"], c["x"]) for c in cells}, 0
-            while todo:
-                pieces += 1
-                stack = [todo.pop()]
-                while stack:
-                    p = stack.pop()
-                    for f in FACES:
-                        q = (p[0] + f[0], p[1] + f[1], p[2] + f[2])
-                        if q in todo:
-                            todo.remove(q)
-                            stack.append(q)
-            return pieces
-
-        return column.map(n)
-
-    return near.where(F.size("near") > 2).where(count("near") > 2).select(*AT)
+    def pieces(column: pd.Series) -> pd.Series:
+        cells = np.zeros((len(column), 27), bool)
+        for i, spots in enumerate(column):
+            cells[i, spots] = True
+        return pd.Series(_pieces(cells, _SHARE, _RING))
+
+    return near.where(F.size("near") > 2).where(pieces("near") > 2).select("from.*")
 
 
 def branches(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:

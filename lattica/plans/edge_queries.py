@@ -108,18 +108,18 @@ def n2(spark, sf):
     return E.without_duplicates(I.edges(spark, sf)).select("node_a", "node_b")
 
 
-_FEW = "few AS (SELECT * FROM edges WHERE edge_c < 3000)"
+_FEW = "few AS (SELECT * FROM edges)"
 _TOP = "(SELECT greatest(max(node_a), max(node_b)) FROM few)"
 
 
 @query("N3_edges_to_nodes", sql(f"AND {_FEW} SELECT node_a, edge_c + {_TOP} AS node_b, 0 AS edge_c FROM few UNION ALL SELECT edge_c + {_TOP}, node_b, 0 FROM few", "edges"))
 def n3(spark, sf):
-    return E.edges_to_nodes(I.edges(spark, sf).where("edge_c < 3000"))[0]
+    return E.edges_to_nodes(I.edges(spark, sf))[0]
 
 
 @query("N3_edge_identities", sql(f"AND {_FEW}, ends AS (SELECT node_a AS id FROM few UNION SELECT node_b FROM few) SELECT id, array_to_string(coalesce(ids, ['Node']), ',') AS ids FROM ends LEFT JOIN idents USING (id) UNION ALL SELECT DISTINCT edge_c + {_TOP}, 'Edge' FROM few", "edges", "idents"))
 def n3i(spark, sf):
-    return E.edges_to_nodes(I.edges(spark, sf).where("edge_c < 3000"), I.identities(spark, sf))[1].select("id", F.array_join("ids", ",").alias("ids"))
+    return E.edges_to_nodes(I.edges(spark, sf), I.identities(spark, sf))[1].select("id", F.array_join("ids", ",").alias("ids"))
 
 
 @query("N4_communities_to_nodes", sql("SELECT a.com + s AS node_a, b.com + s AS node_b, edge_c FROM edges JOIN coms a ON a.id = node_a JOIN coms b ON b.id = node_b, (SELECT CASE WHEN min(com) = 0 THEN 1 ELSE 0 END AS s FROM coms) WHERE a.com <> b.com", "edges", "coms"))

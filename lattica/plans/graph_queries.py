@@ -59,7 +59,7 @@ def g4(spark, sf):
 
 @query("G5_eigenvector")
 def g5(spark, sf):
-    return G.eigenvector(near_graph(spark, sf), rounds=30)
+    return G.eigenvector(near_graph(spark, sf))
 
 
 @query("G6_clustering", sql(f"AND {_TRI}, {_K} SELECT id, round(CASE WHEN k > 1 THEN 2 * coalesce(triangles, 0) / (k * (k - 1)) ELSE 0 END, 9) AS clustering FROM k LEFT JOIN tri USING (id)", "sym"))
@@ -82,7 +82,7 @@ def g9(spark, sf):
     return G.eccentricity(near_distances(spark, sf), G.largest_component(near_graph(spark, sf)))
 
 
-@query("G10_core_numbers")
+@query("G10_core_numbers", sql("AND r(id, core) USING KEY (id) AS (SELECT a, count(*) FROM sym GROUP BY 1 UNION SELECT n.id, n.h FROM (SELECT a AS id, max(least(i, v)) AS h FROM (SELECT s.a, o.core AS v, row_number() OVER (PARTITION BY s.a ORDER BY o.core DESC) AS i FROM sym s JOIN recurring.r AS o ON o.id = s.b) GROUP BY 1) n JOIN recurring.r AS c ON c.id = n.id WHERE n.h < c.core AND EXISTS (SELECT 1 FROM r)) SELECT id, core FROM r", "sym", recursive=True))
 def g10(spark, sf):
     return G.core_numbers(near_graph(spark, sf))
 
@@ -168,12 +168,12 @@ def g25(spark, sf):
 
 @query("G26_label_propagation")
 def g26(spark, sf):
-    return C.label_propagation(near_graph(spark, sf), rounds=12)
+    return C.label_propagation(near_graph(spark, sf))
 
 
 @query("G26_louvain")
 def g26l(spark, sf):
-    return C.louvain(near_graph(spark, sf), levels=3, rounds=5)
+    return C.louvain(near_graph(spark, sf))
 
 
 @query("G27_partition_statistics", sql("AND x AS (SELECT p.com AS ca, q.com AS cb FROM sym JOIN pcoms p ON p.id = a JOIN pcoms q ON q.id = b), per AS (SELECT ca AS com, count(*) FILTER (ca = cb) // 2 AS inside, count(*) FILTER (ca <> cb) AS cut, count(*) AS strength FROM x GROUP BY 1), s AS (SELECT com, count(*) AS size FROM pcoms GROUP BY 1) SELECT com, size, coalesce(inside, 0) AS inside, coalesce(cut, 0) AS cut, round(coalesce(2 * inside / (size * (size - 1)), 0), 9) AS density, round(coalesce(cut / least(strength, (SELECT count(*) FROM x) - strength), 0), 9) AS conductance, round(coalesce((strength - 2 * inside) / strength, 0), 9) AS mixing FROM s LEFT JOIN per USING (com)", "sym", "pcoms"))

@@ -10,18 +10,17 @@ from ..inputs import sql, table
 from ..model import Scale, SpatialNetwork
 from ..operators import edges as E
 from ..operators import tracing as R
-from ..operators import voxels as V
 from ..registry import query
 from ..sources import tables as T
 from ..sources import tiff
 from ..streaming import edges as S
-from .voxel_queries import SHAPE, labels_from, nodes
+from .voxel_queries import depth, nodes, SHAPE, skeleton
 
 
-@query("S1_network_file", sql("SELECT node_a, node_b, edge_c FROM edges WHERE edge_c < 4000", "edges"))
+@query("S1_network_file", sql("SELECT node_a, node_b, edge_c FROM edges", "edges"))
 def s1(spark, sf):
     path = shared_dir(spark, "network")
-    T.write_network(I.edges(spark, sf).where("edge_c < 4000"), path)
+    T.write_network(I.edges(spark, sf), path)
     return T.read_network(spark, path)
 
 
@@ -131,10 +130,10 @@ def stream_windows(spark, sf):
 
 @query("C7_pixel_classifier")
 def c7(spark, sf):
-    image = I.channel(spark, sf).where("z < 4 AND y < 24 AND x < 24")
-    rows = settle(R.pixel_features(image, (4, 24, 24), 12), "features")
+    image = I.channel(spark, sf)
+    rows = settle(R.pixel_features(image, SHAPE), "features")
     marks = image.where("(y + x) % 3 = 0").select("z", "y", "x", (F.col("value") > 100).cast("int").alias("mark"))
-    return R.classify_pixels(rows, marks, trees=3)
+    return R.classify_pixels(rows, marks)
 
 
 @query("C8_threshold_predictor")
@@ -150,23 +149,23 @@ def m7(spark, sf):
 
 @query("M24_trace")
 def m24(spark, sf):
-    return R.trace(settle(V.connected(labels_from(nodes(spark, sf), 1, 8)), "skeleton"), 3.0, 2)
+    return R.trace(skeleton(spark, sf), 3.0, 2, depth(spark, sf))
 
 
 @query("M25_stitches")
 def m25(spark, sf):
-    return R.stitches(settle(V.connected(labels_from(nodes(spark, sf), 1, 8)), "skeleton"), 3.0)
+    return R.stitches(skeleton(spark, sf), 3.0, depth(spark, sf))
 
 
-_ENDS = "few AS (SELECT * FROM vox WHERE label <= 8), n AS (SELECT a.z, a.y, a.x, a.label, count(*) AS n FROM few a JOIN few b ON a.label = b.label AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE (a.z, a.y, a.x) <> (b.z, b.y, b.x) GROUP BY 1, 2, 3, 4), ends AS (SELECT z, y, x, label FROM n WHERE n = 1)"
+_ENDS = "few AS (SELECT * FROM vox), n AS (SELECT a.z, a.y, a.x, a.label, count(*) AS n FROM few a JOIN few b ON a.label = b.label AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE (a.z, a.y, a.x) <> (b.z, b.y, b.x) GROUP BY 1, 2, 3, 4), ends AS (SELECT z, y, x, label FROM n WHERE n = 1)"
 
 
 @query("M26_end_points", sql(f"AND {_ENDS} SELECT * FROM ends", "vox"))
 def m26e(spark, sf):
-    return R.end_points(labels_from(nodes(spark, sf), 1, 8))
+    return R.end_points(nodes(spark, sf))
 
 
 @query("M26_joinable_ends", sql(f"AND {_ENDS} SELECT a.label AS label_a, b.label AS label_b, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS byy, b.x AS bx, round(sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2), 6) AS dist FROM ends a JOIN ends b ON a.label < b.label WHERE (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9", "vox"))
 def m26(spark, sf):
-    p = R.joinable_ends(labels_from(nodes(spark, sf), 1, 8), 3.0)
+    p = R.joinable_ends(nodes(spark, sf), 3.0)
     return p.select("label_a", "label_b", F.col("a.z").alias("az"), F.col("a.y").alias("ay"), F.col("a.x").alias("ax"), F.col("b.z").alias("bz"), F.col("b.y").alias("byy"), F.col("b.x").alias("bx"), F.round("dist", 6).alias("dist"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs as I
 from ..inputs import sql
+from ..model import Scale
 from ..operators import edges as E
 from ..operators import spatial as S
 from ..registry import query
@@ -40,8 +41,6 @@ _TRUNC = "tr AS (SELECT id, CAST(trunc(z * 2.0) AS INT) AS z, y, x FROM cent), t
 
 @query("J5_proximity_network", sql(f"AND {_TRUNC} SELECT i AS node_a, j AS node_b FROM tp", "cent"))
 def j5(spark, sf):
-    from ..model import Scale
-
     rows = S.proximity_network(I.centroids(spark, sf), 40.0, Scale(0.5, 1.0))
     return rows.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
 
@@ -139,24 +138,29 @@ def p6(spark, sf):
 _HEX = "seeds AS (SELECT q, r, 60.0 * 1.5 * q AS sx, 60.0 * (sqrt(3.0) / 2 * q + sqrt(3.0) * r) AS sy FROM (SELECT unnest(generate_series(-12, 12)) AS q), (SELECT unnest(generate_series(-14, 14)) AS r))"
 
 
-@query("P7_hexagon_cells", sql(f"AND {_HEX} SELECT id, arg_min(struct_pack(q := q, r := r), (x - sx) * (x - sx) + (y - sy) * (y - sy)).q AS q, arg_min(struct_pack(q := q, r := r), (x - sx) * (x - sx) + (y - sy) * (y - sy)).r AS r FROM cent, seeds GROUP BY id", "cent"))
+@query("P7_hexagon_cells", sql(f"AND {_HEX} SELECT id, min(struct_pack(d := round((x - sx) * (x - sx) + (y - sy) * (y - sy), 6), q := q, r := r)).q AS q, min(struct_pack(d := round((x - sx) * (x - sx) + (y - sy) * (y - sy), 6), q := q, r := r)).r AS r FROM cent, seeds GROUP BY id", "cent"))
 def p7(spark, sf):
     return S.hexagon_cells(I.centroids(spark, sf), 60.0)
 
 
-@query("P7_prism_cells", sql(f"AND {_HEX} SELECT id, arg_min(struct_pack(q := q, r := r), (x - sx) * (x - sx) + (y - sy) * (y - sy)).q AS q, arg_min(struct_pack(q := q, r := r), (x - sx) * (x - sx) + (y - sy) * (y - sy)).r AS r, CAST(floor(any_value(z) / 50.0) AS BIGINT) AS layer FROM cent, seeds GROUP BY id", "cent"))
+@query("P7_prism_cells", sql(f"AND {_HEX} SELECT id, min(struct_pack(d := round((x - sx) * (x - sx) + (y - sy) * (y - sy), 6), q := q, r := r)).q AS q, min(struct_pack(d := round((x - sx) * (x - sx) + (y - sy) * (y - sy), 6), q := q, r := r)).r AS r, CAST(floor(any_value(z) / 50.0) AS BIGINT) AS layer FROM cent, seeds GROUP BY id", "cent"))
 def p7p(spark, sf):
     return S.prism_cells(I.centroids(spark, sf), 60.0, 50.0)
 
 
-@query("P7_dodecahedron_cells")
+_FCC = "dodec AS (SELECT a, b, c FROM (SELECT unnest(generate_series(-16, 16)) AS a), (SELECT unnest(generate_series(-16, 16)) AS b), (SELECT unnest(generate_series(-16, 16)) AS c) WHERE (a + b + c) % 2 = 0)"
+_BEST = "min(struct_pack(d := round((z / 80.0 - a) ** 2 + (y / 80.0 - b) ** 2 + (x / 80.0 - c) ** 2, 9), a := a, b := b, c := c))"
+
+
+@query("P7_dodecahedron_cells", sql(f"AND {_FCC}, m AS (SELECT id, {_BEST} AS m FROM cent JOIN dodec ON abs(z / 80.0 - a) < 2 AND abs(y / 80.0 - b) < 2 AND abs(x / 80.0 - c) < 2 GROUP BY 1) SELECT id, m.a AS a, m.b AS b, m.c AS c FROM m", "cent"))
 def p7d(spark, sf):
     return S.dodecahedron_cells(I.centroids(spark, sf), 80.0)
 
 
-@query("P8_expected_nearest")
+@query("P8_expected_nearest", sql("AND n AS (SELECT count(*) AS n, 24 * 60 * 60 AS total FROM (SELECT DISTINCT label FROM vox)), p AS (SELECT n // 2 * (total // n) AS m, total // n AS step, total FROM n), spot AS (SELECT i, i // 3600 * 2.0 AS z, i // 60 % 60 AS y, i % 60 AS x FROM (SELECT unnest([m, m - step, m + step]) AS i, total FROM p) WHERE i BETWEEN 0 AND total - 1) SELECT round(min(sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 9) AS distance FROM spot a JOIN spot b ON a.i <> b.i AND a.i = (SELECT m FROM p)", "vox"))
 def p8(spark, sf):
-    return spark.createDataFrame([(S.expected_nearest(500, (40, 100, 100)),)], "distance double")
+    n = I.voxels(spark, sf).select("label").distinct().count()
+    return spark.createDataFrame([(round(S.expected_nearest(n, (24, 60, 60), Scale(1.0, 2.0)), 9),)], "distance double")
 
 
 @query("P10_centroid_image", sql("SELECT CAST(z - lz AS INT) AS z, CAST(y - ly AS INT) AS y, CAST(x - lx AS INT) AS x, max(id) AS label FROM cent, (SELECT min(z) AS lz, min(y) AS ly, min(x) AS lx FROM cent) GROUP BY 1, 2, 3", "cent"))

@@ -10,6 +10,7 @@ from ..functions import scalar as X
 from ..inputs import sql, table
 from ..operators import cluster as K
 from ..operators import stats as T
+from ..operators.ranks import numbered
 from ..registry import query
 
 
@@ -103,13 +104,13 @@ def compositions(spark, sf):
 @query("C1_kmeans")
 def c1(spark, sf):
     df = compositions(spark, sf)
-    return K.kmeans(df, [c for c in df.columns if c not in ("com", "at")], 3, starts=3).select("com", "cluster")
+    return K.kmeans(df, [c for c in df.columns if c not in ("com", "at")], 3).select("com", "cluster")
 
 
 @query("C2_auto_kmeans")
 def c2(spark, sf):
     df = compositions(spark, sf)
-    return K.auto_kmeans(df, [c for c in df.columns if c not in ("com", "at")], most=5).select("com", "cluster")
+    return K.auto_kmeans(df, [c for c in df.columns if c not in ("com", "at")]).select("com", "cluster")
 
 
 @query("C3_dbscan", sql("AND n AS (SELECT i, j, d2 FROM pairs WHERE d2 <= 3600 UNION ALL SELECT id, id, 0 FROM cent), core AS (SELECT i AS id FROM n GROUP BY 1 HAVING count(*) >= 5), cl AS (SELECT i, j FROM n WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)), r(s, t) AS (SELECT id, id FROM core UNION SELECT s, j FROM r JOIN cl ON t = i), c AS (SELECT s AS id, dense_rank() OVER (ORDER BY min(t)) AS cluster FROM r GROUP BY 1), e AS (SELECT i AS id, arg_min(cluster, struct_pack(d := d2, j := j)) AS cluster FROM n JOIN c ON c.id = j GROUP BY 1) SELECT cent.id, coalesce(cluster, 0) AS cluster FROM cent LEFT JOIN e ON e.id = cent.id", "pairs", recursive=True))
@@ -126,7 +127,7 @@ def c3s(spark, sf):
 @query("C5_group_by_intensity")
 def c5(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id").pivot("event_type").agg(F.avg("value")).na.fill(0.0)
-    return K.kmeans(e, [c for c in e.columns if c != "user_id"], 4, starts=2).select("user_id", "cluster")
+    return K.kmeans(e, [c for c in e.columns if c != "user_id"], 4).select("user_id", "cluster")
 
 
 @query("P11_embedding")
@@ -178,9 +179,7 @@ def x_base(spark, sf):
 
 @query("X_natural_order", "SELECT s_name, row_number() OVER (ORDER BY CAST(nullif(regexp_extract(s_name, '(\\d+)', 1), '') AS HUGEINT), s_name) AS at FROM supplier")
 def x_natural(spark, sf):
-    from pyspark.sql import Window
-
-    return table(spark, sf, "supplier").select("s_name", F.row_number().over(Window.orderBy(X.natural_key(F.col("s_name")))).alias("at"))
+    return numbered(table(spark, sf, "supplier").select("s_name"), X.natural_key(F.col("s_name")), start=1, name="at")
 
 
 @query("X_log1p", "SELECT event_id, round(ln(1 + value), 9) AS v FROM events WHERE value IS NOT NULL")

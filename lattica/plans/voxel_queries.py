@@ -25,10 +25,6 @@ def nodes(spark, sf):
     return _kept[key]
 
 
-def labels_from(df, low, high):
-    return df.where(F.col("label").between(low, high))
-
-
 def rounded(df, *columns, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if c in columns else c for c in df.columns])
 
@@ -36,7 +32,6 @@ def rounded(df, *columns, digits=6):
 _IN = "z BETWEEN 0 AND 23 AND y BETWEEN 0 AND 59 AND x BETWEEN 0 AND 59"
 _CUBE = "(SELECT a AS dz, b AS dy, c AS dx FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c))"
 _FACES = "(VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) f(dz, dy, dx)"
-_FEWV = "few AS (SELECT * FROM vox WHERE label <= 4)"
 
 
 @query("F1_binarize", sql("SELECT z, y, x, CASE WHEN value <> 0 THEN 255 ELSE 0 END AS value FROM chan", "chan"))
@@ -88,42 +83,44 @@ def f8(spark, sf):
 
 def _components(full: bool, source: str) -> str:
     near = "abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1" if full else "abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1"
-    link = f"(SELECT a.k AS a, b.k AS b FROM p a, {_CUBE} o, p b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND {near})"
-    return f"p AS (SELECT z, y, x, z::BIGINT * 4398046511104 + y::BIGINT * 2097152 + x AS k FROM {source}), lk AS {link}, r(s, t) AS (SELECT k, k FROM p UNION SELECT s, b FROM r JOIN lk ON t = a), m AS (SELECT s AS k, min(t) AS c FROM r GROUP BY 1), cc AS (SELECT z, y, x, dense_rank() OVER (ORDER BY c) AS label FROM p JOIN m USING (k))"
+    link = f"(SELECT a.k AS a, b.k AS b FROM p a, {_CUBE} o, p b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.k <> b.k AND {near})"
+    # the least place that reaches a place, lowered until nothing changes
+    low = "r(k, c) USING KEY (k) AS (SELECT k, k FROM p UNION SELECT lk.a, min(r.c) FROM r JOIN lk ON r.k = lk.b JOIN recurring.r AS o ON o.k = lk.a WHERE r.c < o.c GROUP BY lk.a)"
+    return f"p AS MATERIALIZED (SELECT z, y, x, z::BIGINT * 4398046511104 + y::BIGINT * 2097152 + x AS k FROM {source}), lk AS MATERIALIZED {link}, {low}, cc AS (SELECT z, y, x, dense_rank() OVER (ORDER BY c) AS label FROM p JOIN r USING (k))"
 
 
 def comp(body: str, full: bool = True) -> str:
-    return sql(f"AND {_FEWV}, {_components(full, 'few')} {body}", "vox", recursive=True)
+    return sql(f"AND {_components(full, 'vox')}{' ' if body[:6] == 'SELECT' else ', '}{body}", "vox", recursive=True)
 
 
 @query("M1_connected", comp("SELECT * FROM cc"))
 def m1(spark, sf):
-    return V.connected(labels_from(nodes(spark, sf), 1, 4))
+    return V.connected(nodes(spark, sf))
 
 
 @query("M1b_connected_faces", comp("SELECT * FROM cc", False))
 def m1b(spark, sf):
-    return V.connected(labels_from(nodes(spark, sf), 1, 4), full=False)
+    return V.connected(nodes(spark, sf), full=False)
 
 
 @query("F9_size_filter", comp("SELECT * FROM cc WHERE label IN (SELECT label FROM cc GROUP BY 1 HAVING count(*) >= 0.004 * (SELECT count(*) FROM cc))"))
 def f9(spark, sf):
-    return V.size_filter(labels_from(nodes(spark, sf), 1, 4), share=0.004)
+    return V.size_filter(nodes(spark, sf), share=0.004)
 
 
 @query("F10_size_limit", comp("SELECT * FROM cc WHERE label IN (SELECT label FROM cc GROUP BY 1 HAVING count(*) <= 2)"))
 def f10(spark, sf):
-    return V.size_filter(labels_from(nodes(spark, sf), 1, 4), most=2)
+    return V.size_filter(nodes(spark, sf), most=2)
 
 
 @query("F11_peaks_filter")
 def f11(spark, sf):
-    return V.peaks_filter(labels_from(nodes(spark, sf), 1, 4))
+    return V.peaks_filter(nodes(spark, sf))
 
 
 @query("M17_without_largest", comp("SELECT * FROM cc WHERE label NOT IN (SELECT label FROM cc GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 3)"))
 def m17(spark, sf):
-    return V.without_largest(labels_from(nodes(spark, sf), 1, 4), 3)
+    return V.without_largest(nodes(spark, sf), 3)
 
 
 @query("F24_crop", sql("SELECT * FROM vox WHERE z BETWEEN 2 AND 9 AND y BETWEEN 10 AND 40 AND x BETWEEN 0 AND 30", "vox"))
@@ -184,9 +181,9 @@ def a8(spark, sf):
     return rounded(V.sphericity(nodes(spark, sf)), "sphericity")
 
 
-@query("A9_radii")
+@query("A9_radii", sql(f"AND sh AS (SELECT DISTINCT v.label, v.z + dz AS z, v.y + dy AS y, v.x + dx AS x FROM vox v CROSS JOIN {_FACES} LEFT JOIN vox w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.label IS NULL OR w.label <> v.label), d AS (SELECT v.label, min((v.z - sh.z) ** 2 + (v.y - sh.y) ** 2 + (v.x - sh.x) ** 2) AS d2 FROM vox v JOIN sh USING (label) GROUP BY v.label, v.z, v.y, v.x) SELECT label AS id, round(sqrt(max(d2)), 6) AS radius FROM d GROUP BY 1", "vox"))
 def a9(spark, sf):
-    return V.radii(nodes(spark, sf))
+    return rounded(V.radii(nodes(spark, sf)), "radius")
 
 
 @query("A21_shell_identities", sql(f"AND ids AS (SELECT label, CASE WHEN label % 5 = 0 THEN ['root'] WHEN label % 2 = 0 THEN ['even'] ELSE ['odd', 'other'] END AS ids FROM (SELECT DISTINCT label FROM vox)), each AS (SELECT z, y, x, unnest(ids) AS identity FROM vox JOIN ids USING (label)), core AS (SELECT z, y, x FROM each WHERE identity = 'root'), sh AS (SELECT DISTINCT c.z + dz AS z, c.y + dy AS y, c.x + dx AS x FROM core c, {_CUBE} o WHERE abs(dz) + abs(dy) + abs(dx) <= 1), shell AS (SELECT * FROM sh ANTI JOIN core USING (z, y, x)) SELECT identity, count(s.z) AS volume, count(*) AS total, round(count(s.z) / count(*), 9) AS density FROM each LEFT JOIN shell s USING (z, y, x) GROUP BY 1", "vox"))
@@ -211,71 +208,90 @@ def _dil(offsets: str, source: str = "few") -> str:
 _BALL2 = "(SELECT a AS dz, b AS dy, c AS dx FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS b), (SELECT unnest([-2, -1, 0, 1, 2]) AS c) WHERE a * a + b * b + c * c <= 4)"
 
 
-@query("M2_dilate", sql(f"AND {_FEWV} {_dil(_BALL2)}", "vox"))
+@query("M2_dilate", sql(f"AND few AS (SELECT * FROM vox) {_dil(_BALL2)}", "vox"))
 def m2(spark, sf):
-    return V.dilate(labels_from(nodes(spark, sf), 1, 4), 2.0, SHAPE)
+    return V.dilate(nodes(spark, sf), 2.0, SHAPE)
 
 
-@query("M2b_dilate_anisotropic", sql(f"AND {_FEWV} " + _dil(_BALL2.replace("a * a + b * b + c * c <= 4", "4 * a * a + b * b + c * c <= 4")), "vox"))
+@query("M2b_dilate_anisotropic", sql(f"AND few AS (SELECT * FROM vox) " + _dil(_BALL2.replace("a * a + b * b + c * c <= 4", "4 * a * a + b * b + c * c <= 4")), "vox"))
 def m2b(spark, sf):
-    return V.dilate(labels_from(nodes(spark, sf), 1, 4), 2.0, SHAPE, Scale(1.0, 2.0))
+    return V.dilate(nodes(spark, sf), 2.0, SHAPE, Scale(1.0, 2.0))
 
 
-@query("M2c_dilate_box", sql(f"AND {_FEWV} {_dil(_CUBE)}", "vox"))
+@query("M2c_dilate_box", sql(f"AND few AS (SELECT * FROM vox) {_dil(_CUBE)}", "vox"))
 def m2c(spark, sf):
-    return V.dilate(labels_from(nodes(spark, sf), 1, 4), 1.0, SHAPE, offsets=V.box((3, 3, 3)))
+    return V.dilate(nodes(spark, sf), 1.0, SHAPE, offsets=V.box((3, 3, 3)))
 
 
-@query("M3_erode", sql(f"AND {_FEWV}, bin AS ({_dil(_BALL2)}), bad AS (SELECT DISTINCT v.z, v.y, v.x FROM bin v CROSS JOIN {_FACES} LEFT JOIN bin w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.z IS NULL) SELECT bin.* FROM bin ANTI JOIN bad USING (z, y, x)", "vox"))
+@query("M3_erode", sql(f"AND few AS (SELECT * FROM vox), bin AS ({_dil(_BALL2)}), bad AS (SELECT DISTINCT v.z, v.y, v.x FROM bin v CROSS JOIN {_FACES} LEFT JOIN bin w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.z IS NULL) SELECT bin.* FROM bin ANTI JOIN bad USING (z, y, x)", "vox"))
 def m3(spark, sf):
-    wide = V.dilate(labels_from(nodes(spark, sf), 1, 4), 2.0, SHAPE)
+    wide = V.dilate(nodes(spark, sf), 2.0, SHAPE)
     return V.erode(wide.withColumn("label", F.lit(1)), 1.0).select("z", "y", "x")
 
 
-@query("M3_erode_labels", sql(f"AND {_FEWV}, g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_BALL2} o), wide AS (SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3), bad AS (SELECT DISTINCT v.z, v.y, v.x FROM wide v CROSS JOIN {_FACES} LEFT JOIN wide w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.z IS NULL OR w.label <> v.label) SELECT wide.* FROM wide ANTI JOIN bad USING (z, y, x)", "vox"))
+@query("M3_erode_labels", sql(f"AND few AS (SELECT * FROM vox), g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_BALL2} o), wide AS (SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3), bad AS (SELECT DISTINCT v.z, v.y, v.x FROM wide v CROSS JOIN {_FACES} LEFT JOIN wide w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.z IS NULL OR w.label <> v.label) SELECT wide.* FROM wide ANTI JOIN bad USING (z, y, x)", "vox"))
 def m3l(spark, sf):
-    return V.erode(settle(V.dilate_labels(labels_from(nodes(spark, sf), 1, 4), 2.0, SHAPE), "wide"), 1.0, keep_labels=True)
+    return V.erode(settle(V.dilate_labels(nodes(spark, sf), 2.0, SHAPE), "wide"), 1.0, keep_labels=True)
 
 
-@query("M4_dilate_labels", sql(f"AND {_FEWV}, g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_BALL2} o) SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3", "vox"))
+@query("M4_dilate_labels", sql(f"AND few AS (SELECT * FROM vox), g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_BALL2} o) SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3", "vox"))
 def m4(spark, sf):
-    return V.dilate_labels(labels_from(nodes(spark, sf), 1, 4), 2.0, SHAPE)
+    return V.dilate_labels(nodes(spark, sf), 2.0, SHAPE)
 
 
-@query("M4b_dilate_labels_once", sql(f"AND {_FEWV}, g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_CUBE} o WHERE abs(dz) + abs(dy) + abs(dx) <= 1) SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3", "vox"))
+@query("M4b_dilate_labels_once", sql(f"AND few AS (SELECT * FROM vox), g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_CUBE} o WHERE abs(dz) + abs(dy) + abs(dx) <= 1) SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3", "vox"))
 def m4b(spark, sf):
-    return V.dilate_labels(labels_from(nodes(spark, sf), 1, 4), 1.0, SHAPE)
+    return V.dilate_labels(nodes(spark, sf), 1.0, SHAPE)
 
 
-@query("M5_spread_labels", sql("AND few AS (SELECT * FROM vox WHERE label <= 4), msk AS (SELECT z, y, x FROM vox WHERE label % 10 = 7) SELECT m.z, m.y, m.x, arg_min(label, struct_pack(d := (m.z - f.z) ** 2 + (m.y - f.y) ** 2 + (m.x - f.x) ** 2, l := label)) AS label FROM msk m, few f GROUP BY 1, 2, 3", "vox"))
+@query("M5_spread_labels", sql("AND few AS (SELECT * FROM vox WHERE label % 10 <> 7), msk AS (SELECT z, y, x FROM vox WHERE label % 10 = 7) SELECT m.z, m.y, m.x, arg_min(label, struct_pack(d := (m.z - f.z) ** 2 + (m.y - f.y) ** 2 + (m.x - f.x) ** 2, l := label)) AS label FROM msk m, few f GROUP BY 1, 2, 3", "vox"))
 def m5(spark, sf):
     v = nodes(spark, sf)
-    return V.spread_into(labels_from(v, 1, 4), v.where("label % 10 = 7"))
+    return V.spread_into(v.where("label % 10 <> 7"), v.where("label % 10 = 7"))
 
 
 @query("M6_flood")
 def m6(spark, sf):
-    return V.flood(labels_from(nodes(spark, sf), 1, 6))
+    return V.flood(settle(V.dilate(nodes(spark, sf), 1.0, SHAPE), "grown"))
 
 
 @query("M8_thin")
 def m8(spark, sf):
-    return V.thin(labels_from(nodes(spark, sf), 1, 6))
+    return V.thin(nodes(spark, sf))
+
+
+def skeleton(spark, sf):
+    """The image thinned, made once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf, "thin")
+    if key not in _kept:
+        _kept[key] = settle(V.thin(nodes(spark, sf)), "skeleton")
+    return _kept[key]
+
+
+def depth(spark, sf):
+    """Depths in the image's components, made once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf, "depth")
+    if key not in _kept:
+        _kept[key] = settle(V.depths(V.connected(nodes(spark, sf))), "depth")
+    return _kept[key]
 
 
 @query("M9_trimmed_branches")
 def m9(spark, sf):
-    return V.trimmed_branches(settle(V.thin(labels_from(nodes(spark, sf), 1, 12)), "skeleton"), 2)
+    return V.trimmed_branches(skeleton(spark, sf), 2)
+
+
+_POINTS = f"nb AS (SELECT a.z * 3600 + a.y * 60 + a.x AS v, b.z, b.y, b.x, b.z * 3600 + b.y * 60 + b.x AS k FROM vox a, {_CUBE} o, vox b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND (dz <> 0 OR dy <> 0 OR dx <> 0)), fl AS MATERIALIZED (SELECT a.v, a.k AS a, b.k AS b FROM nb a JOIN nb b ON a.v = b.v AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1), r(v, k, c) USING KEY (v, k) AS (SELECT v, k, k FROM nb UNION SELECT fl.v, fl.a, min(r.c) FROM r JOIN fl ON r.v = fl.v AND r.k = fl.b JOIN recurring.r AS o ON o.v = fl.v AND o.k = fl.a WHERE r.c < o.c GROUP BY 1, 2)"
 
 
-@query("M10_branch_points")
+@query("M10_branch_points", sql(f"AND {_POINTS} SELECT CAST(v // 3600 AS INT) AS z, CAST(v // 60 % 60 AS INT) AS y, CAST(v % 60 AS INT) AS x FROM r GROUP BY v HAVING count(*) > 2 AND count(DISTINCT c) > 2", "vox", recursive=True))
 def m10(spark, sf):
-    return V.branch_points(settle(V.thin(labels_from(nodes(spark, sf), 1, 12)), "skeleton"))
+    return V.branch_points(nodes(spark, sf))
 
 
 @query("M11_branches")
 def m11(spark, sf):
-    return V.branches(labels_from(nodes(spark, sf), 1, 8), SHAPE)
+    return V.branches(nodes(spark, sf), SHAPE)
 
 
 @query("M12_skeleton_length", sql("AND p AS (SELECT v.label AS id, sqrt(4.0 * (v.z - w.z) ** 2 + (v.y - w.y) ** 2 + (v.x - w.x) ** 2) AS d FROM vox v JOIN vox w ON v.label = w.label AND abs(v.z - w.z) <= 1 AND abs(v.y - w.y) <= 1 AND abs(v.x - w.x) <= 1 AND (v.z, v.y, v.x) < (w.z, w.y, w.x)) SELECT label AS id, round(coalesce((SELECT sum(d) FROM p WHERE p.id = label), 0), 5) AS length FROM (SELECT DISTINCT label FROM vox)", "vox"))
@@ -283,19 +299,25 @@ def m12(spark, sf):
     return rounded(V.skeleton_length(nodes(spark, sf), Scale(1.0, 2.0)), "length", digits=5)
 
 
-@query("M13_branch_measures")
+_MEASURES = "pr AS (SELECT a.label, a.z AS az, a.y AS ay, a.x AS ax, sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM cc a JOIN cc b ON a.label = b.label AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.z, a.y, a.x) <> (b.z, b.y, b.x)), nn AS (SELECT cc.label, z, y, x, count(d) AS n FROM cc LEFT JOIN pr ON az = z AND ay = y AND ax = x GROUP BY ALL), pe AS (SELECT label, count(*) AS size, count(*) FILTER (n = 1) AS ends FROM nn GROUP BY 1), en AS (SELECT nn.label, z, y, x FROM nn JOIN pe USING (label) WHERE n = 1 OR ends < 2), sp AS (SELECT a.label, sqrt(max((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS span FROM en a JOIN en b USING (label) GROUP BY 1), ln AS (SELECT label, sum(d) / 2 AS length FROM pr GROUP BY 1)"
+
+
+@query("M13_branch_measures", comp(f"{_MEASURES} SELECT label AS id, round(CASE WHEN size = 1 THEN 1 ELSE length END, 5) AS length, round(CASE WHEN size = 1 THEN 1 ELSE length / nullif(span, 0) END, 5) AS tortuosity FROM pe JOIN sp USING (label) LEFT JOIN ln USING (label)"))
 def m13(spark, sf):
-    return V.branch_measures(V.connected(labels_from(nodes(spark, sf), 1, 6)))
+    return rounded(V.branch_measures(V.connected(nodes(spark, sf))), "length", "tortuosity", digits=5)
+
 
+_SLICES = "sl AS (SELECT 0 AS axis, z AS s, y AS u, x AS v FROM vox UNION ALL SELECT 1, y, z, x FROM vox UNION ALL SELECT 2, x, z, y FROM vox), bx AS (SELECT axis, s, min(u) - 1 AS lu, max(u) + 1 AS hu, min(v) - 1 AS lv, max(v) + 1 AS hv FROM sl GROUP BY 1, 2), fr AS MATERIALIZED (SELECT axis, s, u, v, u IN (lu, hu) OR v IN (lv, hv) AS rim FROM (SELECT *, unnest(generate_series(lv, hv)) AS v FROM (SELECT *, unnest(generate_series(lu, hu)) AS u FROM bx)) ANTI JOIN sl USING (axis, s, u, v)), side AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) t(du, dv)), r(axis, s, u, v) AS (SELECT axis, s, u, v FROM fr WHERE rim UNION SELECT fr.axis, fr.s, fr.u, fr.v FROM r, side, fr WHERE fr.axis = r.axis AND fr.s = r.s AND fr.u = r.u + du AND fr.v = r.v + dv), hole AS (SELECT axis, s, u, v FROM fr ANTI JOIN r USING (axis, s, u, v))"
 
-@query("M14_fill_holes")
+
+@query("M14_fill_holes", sql(f"AND {_SLICES} SELECT z, y, x FROM vox UNION SELECT CASE axis WHEN 0 THEN s ELSE u END, CASE axis WHEN 0 THEN u WHEN 1 THEN s ELSE v END, CASE axis WHEN 2 THEN s ELSE v END FROM hole", "vox", recursive=True))
 def m14(spark, sf):
-    return V.fill_holes(labels_from(nodes(spark, sf), 1, 30))
+    return V.fill_holes(nodes(spark, sf))
 
 
 @query("M15_hull")
 def m15(spark, sf):
-    return V.hull(labels_from(nodes(spark, sf), 1, 4))
+    return V.hull(nodes(spark, sf))
 
 
 @query("M16_downsample", sql("SELECT CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, label FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0", "vox"))
@@ -332,9 +354,20 @@ def m19(spark, sf):
     return rounded(V.brightness(I.channel(spark, sf), 24), "value", digits=8)
 
 
-@query("M20_smoothed")
+_TAPS = "g AS (SELECT i, exp(-0.5 * i * i) AS w FROM (SELECT unnest(generate_series(-4, 4)) AS i)), t AS (SELECT i, w / (SELECT sum(w) FROM g) AS w FROM g)"
+
+
+def _blur(source: str, axis: str, size: int) -> str:
+    moved = ", ".join(f"c.{a} + i AS {a}" if a == axis else f"c.{a} AS {a}" for a in "zyx")
+    return f"(SELECT z, y, x, sum(v) AS v FROM (SELECT {moved}, c.v * w AS v FROM {source} c, t) WHERE {axis} BETWEEN 0 AND {size - 1} GROUP BY 1, 2, 3)"
+
+
+_BLURRED = _blur(_blur(_blur("(SELECT z, y, x, value AS v FROM chan)", "z", 24), "y", 60), "x", 60)
+
+
+@query("M20_smoothed", sql(f"AND {_TAPS} SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 6) AS value FROM {_BLURRED}", "chan"))
 def m20(spark, sf):
-    return V.smoothed(I.channel(spark, sf).where("y < 8 AND x < 8"), SHAPE)
+    return rounded(V.smoothed(I.channel(spark, sf), SHAPE), "value")
 
 
 @query("M21_lines", sql("AND l AS (SELECT a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by1, b.x AS bx, greatest(abs(b.z - a.z), abs(b.y - a.y), abs(b.x - a.x)) AS n FROM near JOIN cent a ON a.id = node_a JOIN cent b ON b.id = node_b), s AS (SELECT *, unnest(generate_series(0, n)) AS i FROM l) SELECT DISTINCT CAST(round_even(az + (bz - az) * coalesce(i / nullif(n, 0), 0), 0) AS INT) AS z, CAST(round_even(ay + (by1 - ay) * coalesce(i / nullif(n, 0), 0), 0) AS INT) AS y, CAST(round_even(ax + (bx - ax) * coalesce(i / nullif(n, 0), 0), 0) AS INT) AS x, 255 AS value FROM s", "near", "cent"))
@@ -349,33 +382,33 @@ def m23(spark, sf):
     return V.grey_codes(nodes(spark, sf).select(F.col("label").alias("id")))
 
 
-@query("J2_through_edges", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 12), ed AS (SELECT * FROM vox WHERE label BETWEEN 13 AND 24) SELECT DISTINCT ed.label AS edge, nd.label AS node FROM nd, {_CUBE} o, ed WHERE ed.z = nd.z + dz AND ed.y = nd.y + dy AND ed.x = nd.x + dx", "vox"))
+@query("J2_through_edges", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 20), ed AS (SELECT * FROM vox WHERE label > 20) SELECT DISTINCT ed.label AS edge, nd.label AS node FROM nd, {_CUBE} o, ed WHERE ed.z = nd.z + dz AND ed.y = nd.y + dy AND ed.x = nd.x + dx", "vox"))
 def j2(spark, sf):
     v = nodes(spark, sf)
-    return V.through_edges(labels_from(v, 1, 12), labels_from(v, 13, 24), SHAPE)
+    return V.through_edges(v.where("label <= 20"), v.where("label > 20"), SHAPE)
 
 
-@query("J2_secondary_network", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 12), ed AS (SELECT * FROM vox WHERE label BETWEEN 13 AND 24), t AS (SELECT DISTINCT ed.label AS edge, nd.label AS node FROM nd, {_CUBE} o, ed WHERE ed.z = nd.z + dz AND ed.y = nd.y + dy AND ed.x = nd.x + dx) SELECT a.node AS node_a, b.node AS node_b, a.edge AS edge_c FROM t a JOIN t b ON a.edge = b.edge AND a.node < b.node", "vox"))
+@query("J2_secondary_network", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 20), ed AS (SELECT * FROM vox WHERE label > 20), t AS (SELECT DISTINCT ed.label AS edge, nd.label AS node FROM nd, {_CUBE} o, ed WHERE ed.z = nd.z + dz AND ed.y = nd.y + dy AND ed.x = nd.x + dx) SELECT a.node AS node_a, b.node AS node_b, a.edge AS edge_c FROM t a JOIN t b ON a.edge = b.edge AND a.node < b.node", "vox"))
 def j2n(spark, sf):
     v = nodes(spark, sf)
-    return E.co_occurrence(V.through_edges(labels_from(v, 1, 12), labels_from(v, 13, 24), SHAPE))
+    return E.co_occurrence(V.through_edges(v.where("label <= 20"), v.where("label > 20"), SHAPE))
 
 
-@query("J6_touching", sql("AND f AS (SELECT * FROM vox WHERE label <= 15 AND z < 12) SELECT DISTINCT a.label AS node_a, b.label AS node_b, 0 AS edge_c FROM f a JOIN f b ON a.label < b.label AND abs(a.z - b.z) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 4", "vox"))
+@query("J6_touching", sql("AND f AS (SELECT * FROM vox) SELECT DISTINCT a.label AS node_a, b.label AS node_b, 0 AS edge_c FROM f a JOIN f b ON a.label < b.label AND abs(a.z - b.z) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 4", "vox"))
 def j6(spark, sf):
-    return V.touching(nodes(spark, sf).where("label <= 15 AND z < 12"), 2.0)
+    return V.touching(nodes(spark, sf), 2.0)
 
 
-@query("J7_adjacent", sql("SELECT DISTINCT least(a.label, b.label) AS node_a, greatest(a.label, b.label) AS node_b, 0 AS edge_c FROM vox a JOIN vox b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.z BETWEEN b.z - 1 AND b.z + 1 AND a.label <> b.label WHERE a.label <= 10 AND b.label <= 10", "vox"))
+@query("J7_adjacent", sql("SELECT DISTINCT least(a.label, b.label) AS node_a, greatest(a.label, b.label) AS node_b, 0 AS edge_c FROM vox a JOIN vox b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.z BETWEEN b.z - 1 AND b.z + 1 AND a.label <> b.label", "vox"))
 def j7(spark, sf):
-    return V.adjacent(labels_from(nodes(spark, sf), 1, 10))
+    return V.adjacent(nodes(spark, sf))
 
 
-@query("J9_border_distance", sql("AND f AS (SELECT * FROM vox WHERE label <= 8 AND z < 12) SELECT a.label AS id, round(sqrt(min((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) AS dist FROM f a JOIN f b ON a.label <= 4 AND b.label > 4 GROUP BY 1", "vox"))
+@query("J9_border_distance", sql("AND f AS (SELECT * FROM vox) SELECT a.label AS id, round(sqrt(min((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) AS dist FROM f a JOIN f b ON a.label <= 20 AND b.label > 20 GROUP BY 1", "vox"))
 def j9(spark, sf):
-    v = nodes(spark, sf).where("label <= 8 AND z < 12")
+    v = nodes(spark, sf)
     ids = v.select(F.col("label").alias("id")).distinct()
-    return rounded(V.border_distance(v, ids.where("id <= 4"), ids.where("id > 4")), "dist")
+    return rounded(V.border_distance(v, ids.where("id <= 20"), ids.where("id > 20")), "dist")
 
 
 @query("J12_look_up", sql("SELECT z, y, x, CASE WHEN label % 2 = 0 THEN label * 10 ELSE 0 END AS value FROM vox", "vox"))
@@ -399,13 +432,13 @@ def j14(spark, sf):
 @query("J15_overlaid", sql("AND a AS (SELECT * FROM vox WHERE label <= 20), b AS (SELECT z, y, x, label FROM vox WHERE label > 15) SELECT z, y, x, coalesce(a.label, b.label + (SELECT max(label) FROM a)) AS label FROM a FULL JOIN b USING (z, y, x)", "vox"))
 def j15(spark, sf):
     v = nodes(spark, sf)
-    return V.overlaid(labels_from(v, 1, 20), labels_from(v, 16, 40))
+    return V.overlaid(v.where("label <= 20"), v.where("label > 15"))
 
 
-@query("J16_edge_in_shell", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 12), ed AS (SELECT * FROM vox WHERE label > 30), g AS (SELECT DISTINCT nd.label AS id, nd.z + dz AS z, nd.y + dy AS y, nd.x + dx AS x FROM nd, {_BALL2} o), h AS (SELECT g.id, count(*) AS n FROM g JOIN ed USING (z, y, x) GROUP BY 1) SELECT DISTINCT label AS id, coalesce(n, 0) * 1e0 AS volume FROM nd LEFT JOIN h ON h.id = label", "vox"))
+@query("J16_edge_in_shell", sql(f"AND nd AS (SELECT * FROM vox WHERE label <= 20), ed AS (SELECT * FROM vox WHERE label > 20), g AS (SELECT DISTINCT nd.label AS id, nd.z + dz AS z, nd.y + dy AS y, nd.x + dx AS x FROM nd, {_BALL2} o), h AS (SELECT g.id, count(*) AS n FROM g JOIN ed USING (z, y, x) GROUP BY 1) SELECT DISTINCT label AS id, coalesce(n, 0) * 1e0 AS volume FROM nd LEFT JOIN h ON h.id = label", "vox"))
 def j16(spark, sf):
     v = nodes(spark, sf)
-    return V.edge_in_shell(labels_from(v, 1, 12), v.where("label > 30"), 2.0, SHAPE)
+    return V.edge_in_shell(v.where("label <= 20"), v.where("label > 20"), 2.0, SHAPE)
 
 
 @query("S17_directory")
