@@ -244,7 +244,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slabs(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slabs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices whose first string column has about `most` bytes; a longer row is alone."""
     for batch in batches:
         column = next(c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type))
@@ -256,22 +256,35 @@ def slabs(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa
             at = to
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def trimmed() -> None:
+    """Gives back to the system what is free."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
+#: What workers keep from task to task, emptied by the first task that is not `keeping`.
+kept: list[dict] = []
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeping: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, and what it freed goes back to the system at its end: workers outlive their tasks and wait beside those of later stages."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeping and any(kept):
+            for store in kept:
+                store.clear()
+            trimmed()
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            for kept in (_bytes, _words):
-                kept.up = kept.down = np.empty(0, np.uint64)
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
-            if trim:
-                trim(0)
+            for powers in (_bytes, _words):
+                powers.up = powers.down = np.empty(0, np.uint64)
+            trimmed()
 
     return outer

@@ -233,7 +233,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", names: tuple[str,
         for batch in batches:
             begin, offsets = 0, buffers(batch.column(at))[1]
             while begin < len(batch):
-                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 20), "right")) - 1)
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 18), "right")) - 1)
                 rows, begin = batch.slice(begin, end - begin), end
                 p = reader.probabilities(*buffers(rows.column(at))) if net.languages else np.zeros((len(rows), 1))
                 best = p.argmax(1)

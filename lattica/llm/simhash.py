@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     """(key, fp): fp is the fingerprint of the whole text as a signed long; a null text has fingerprint zero. Other columns are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slabs(batches, 2 << 20):
+        for rows in slabs(batches, 1 << 19):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprint(rows.column(1), shingle).view(np.int64))], ["key", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, fp long")

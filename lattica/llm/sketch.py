@@ -132,8 +132,8 @@ def groups(nodes: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                rows = batch.slice(at, 4096)
+            for at in range(0, len(batch), 1024):
+                rows = batch.slice(at, 1024)
                 key = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.int64)
                 part = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.int64).reshape(len(rows), -1)
                 ids = rows.column(0).to_numpy(zero_copy_only=False)
@@ -222,7 +222,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     and stay or go together; a row without a key cannot be named and stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slabs(batches, 2 << 20):
+        for rows in slabs(batches, 1 << 19):
             sets, count = shingle_sets(rows.column(1))
             key, sign = bands(minima(sets, count))
             ends = np.cumsum(count)

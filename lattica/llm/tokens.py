@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, filesystem, mix64, shared_dir, slabs, tidy, word_bounds
+from .common import buffers, filesystem, kept, mix64, shared_dir, slabs, tidy, word_bounds
 
 MAGIC, BLOCK, SEGMENT_IDS = b"S8BSEG1\0", 256, 1 << 20
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -253,6 +253,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+kept.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
@@ -308,7 +309,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
     # the ranges are found from a sample of ids, hashes and, for rows that are the same in both, row numbers, so equal rows can be any number
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("r", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("k", "h", "r").sortWithinPartitions("k", "h", "t").select("k", "t")
-    shards = sorted(ordered.mapInArrow(tidy(write), "part int, name string, documents long, ids long").collect())  # a row for each task
+    shards = sorted(ordered.mapInArrow(tidy(write, keeping=True), "part int, name string, documents long, ids long").collect())  # a row for each task
     start, rows = 0, []
     for s in shards:
         rows.append((f"{folder}/{s.name}", s.documents, s.ids, start))
@@ -334,7 +335,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("path", "start").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path")
-    return spread.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(read, keeping=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
