@@ -137,6 +137,11 @@ RULES = [
 ]
 
 
+#: Words, one of which is in every sentence of KNOWN and in every match of MENTIONS (a test derives this from the patterns). Normalising joins no
+#: words, so a text without them, in any case of letters, names no license; the SQL below looks at every text.
+WORDS = ("licen", "gpl", "spdx", "permission", "copyright", "warrant", "liable", "redistribution", "endorse", "bsd", "cc", "commons", "attribution", "domain", "reserved", "unencumbered")
+
+
 def _key(names: list[str]) -> str:
     return "".join(f"<{n}>" for n in names)
 
@@ -168,7 +173,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     n_licenses for every row. Null and empty texts have none, texts may have any length, repeated rows are rows of their own, and an empty table gives
     an empty table; other columns are dropped. Of sentences that fit several mentions the first counts."""
     named = F.filter(F.transform(sentences(F.col(text)), _name), lambda n: n.isNotNull())
-    rows = docs.select(F.col(key), F.coalesce(named, F.array().cast("array<string>")).alias("names"))
+    low, some = F.lower(text), F.lit(False)
+    for word in WORDS:
+        some = some | F.contains(low, F.lit(word))
+    rows = docs.select(F.col(key), F.coalesce(F.when(some, named), F.array().cast("array<string>")).alias("names"))
     ids = F.array_join("names", ",").alias("sentence_ids")
     rules = F.array(*[F.struct(F.lit(_key(names)).alias("names"), F.lit(name).alias("license")) for name, names in RULES])
     start = F.struct(F.array_join(F.transform("names", lambda n: F.concat(F.lit("<"), n, F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"))

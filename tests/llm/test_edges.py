@@ -181,6 +181,27 @@ def test_licenses_of_odd_texts_and_in_sql(spark, odd):
     assert licenses.scan(odd.where("false")).count() == 0
 
 
+def test_no_license_lacks_all_words():
+    """Every match of every pattern holds one of WORDS: in a stretch of plain letters, or in each branch of an alternative."""
+    from re import _parser as parser
+
+    def sure(parts):
+        run = ""
+        for kind, value in [*parts, (None, None)]:
+            if str(kind) == "LITERAL":
+                run += chr(value)
+                continue
+            if any(w in run for w in licenses.WORDS):
+                return True
+            run = ""
+            if str(kind) == "BRANCH" and all(sure(b) for b in value[1]) or str(kind) == "SUBPATTERN" and sure(value[-1]) or str(kind) == "MAX_REPEAT" and value[0] and sure(value[2]):
+                return True
+        return False
+
+    assert [name for name, pattern in licenses.MENTIONS if not sure(parser.parse(pattern))] == []
+    assert [k for k in licenses.KNOWN if not any(w in k for w in licenses.WORDS)] == []
+
+
 def test_every_mention_finds_its_license(spark):
     """For each rule of one sentence, the sentence in its usual wording or short form."""
     said = {"GPLv3": "GPL-3.0", "under the GPL-2": "GPL-2.0", "AGPL-3": "AGPL-3.0", "LGPL v2.1": "LGPL-2.1", "LGPLv3": "LGPL-3.0", "BSD 2-Clause": "BSD-2-Clause", "the modified BSD license": "BSD-3-Clause", "under a BSD-style license": "BSD", "under the ISC license": "ISC", "Mozilla Public License 2.0": "MPL-2.0", "Eclipse Public License - v 2.0": "EPL-2.0", "Boost Software License": "BSL-1.0", "under the zlib license": "Zlib", "Attribution-NonCommercial-ShareAlike 4.0": "CC-BY-NC-SA", "CC BY-NC-ND": "CC-BY-NC-ND", "Attribution-NoDerivs": "CC-BY-ND", "Creative Commons Attribution": "CC-BY", "CC0 1.0": "CC0-1.0"}
