@@ -229,9 +229,15 @@ def gap_links(skeleton: DataFrame, distance: float, depth: DataFrame | None = No
     of skeleton along more than half the line, or a score above `least` and radii that are alike: by half if the end points at the
     other, by 0.7 otherwise. Voxels that are no ends must also lie in line with it."""
     k = settle(kernels(skeleton, depth, steps=10), "kernels")
-    ends = k.where("is_end")
-    reach = max(distance, 3 * (ends.agg(F.max("radius")).first()[0] or 0.0))
-    rows = _met(ends, k, reach, skeleton).where(F.col("gap") <= F.greatest(F.lit(float(distance)), 3 * F.col("l.radius")))
+    # ends of thick filaments reach farther: a join for each doubling of the reach, so that a few of them do not widen the search of all
+    own = F.greatest(F.lit(float(distance)), 3 * F.col("radius"))
+    ends = settle(k.where("is_end").withColumn("reach", own).withColumn("step", F.greatest(F.lit(0), F.ceil(F.log2(own / distance) - 1e-9)).cast("int")), "ends")
+    rows = None
+    for step in sorted(r.step for r in ends.select("step").distinct().collect()):  # a number for each doubling
+        met = _met(ends.where(F.col("step") == step), k, distance * 2.0**step, skeleton).where(F.col("gap") <= F.col("l.reach")).withColumn("l", F.col("l").dropFields("reach", "step"))
+        rows = met if rows is None else rows.unionByName(met)
+    if rows is None:
+        return skeleton.sparkSession.createDataFrame([], "label_a long, label_b long, score double")
     ratio = F.col("gap") / (F.col("mean_radius") + 1e-10)
     in_line = (F.abs("ahead_l") + F.abs("ahead_r")) / 2
     score = 3 * F.col("radius_ratio") + F.when(ratio < tolerance, 2 * (tolerance - ratio)).otherwise(tolerance - ratio) - 0.5 * F.abs(F.col("l.density") - F.col("r.density")) + 2 * in_line + 1.5 * F.least(F.abs("ahead_l"), F.abs("ahead_r")) + F.when(F.col("support") > 0.3, 5.0).otherwise(0.0)
