@@ -153,7 +153,7 @@ def word_keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     unused = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
     head = eights[starts] << unused
     tail = eights[np.maximum(ends - 8, starts)] << unused
-    key = mix64(head ^ mix64(tail + size.astype(np.uint64)))
+    key = mix64(head ^ mix64(tail + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     long = np.flatnonzero(size > 16)
     if len(long):
         key[long] ^= np.fromiter((hash(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.int64, len(long)).view(np.uint64)
@@ -173,8 +173,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empties what is kept: a number for each word, and in `ids` the ids of word w from start[w] to start[w + 1]."""
-        self.known: dict[bytes, int] = {}
+        """Empties what is kept: of each word the key, length and ends (sorted by key) and its number, and in `ids` the ids of word w from
+        start[w] to start[w + 1]."""
+        self.key, self.head, self.tail = (np.empty(0, np.uint64) for _ in range(3))
+        self.size, self.number = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.start, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def prune(self) -> None:
@@ -184,7 +186,9 @@ class Encoder:
             least += 1
         keep = self.uses >= least
         size = np.diff(self.start)
-        self.known = {w: i for i, w in enumerate(w for w, k in zip(self.known, keep.tolist()) if k)}
+        of_key = keep[self.number]
+        self.key, self.head, self.tail, self.size = (c[of_key] for c in (self.key, self.head, self.tail, self.size))
+        self.number = (np.cumsum(keep) - 1)[self.number[of_key]]
         self.ids, self.start, self.uses = self.ids[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), self.uses[keep]
 
     def _splits_at_space(self) -> bool:
@@ -197,13 +201,14 @@ class Encoder:
         dropped = "\\\\s\\\\p{L}\\\\p{N}]+" in split and '"behavior": "Removed"' in split and '"invert": true' in split
         return dropped and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or not a["content"].strip() or a["content"].split() != [a["content"]] for a in added)
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Encodes new words, many to a call: an added token that no word contains stands between them and shows where each ends."""
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Encodes new words, many to a call, and gives their numbers: an added token that no word contains stands between them and shows
+        where each ends."""
         mark = self.mark and self.mark[1]
-        odd = [w for w in new if not mark or b"<" in w]
-        plain = [w for w in new if mark and b"<" not in w]
+        odd = [i for i, w in enumerate(new) if not mark or b"<" in w]
+        plain = [i for i, w in enumerate(new) if mark and b"<" not in w]
         parts, sizes = [], []
-        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        groups = [[new[i] for i in plain[at : at + 256]] for at in range(0, len(plain), 256)]
         for words, said in zip(groups, self.tokenizer.encode_batch_fast([self.mark[0].join(w.decode() for w in g) for g in groups], add_special_tokens=False)):
             got = np.array(said.ids, np.uint32)
             ends = np.append(np.flatnonzero(got == mark), len(got))
@@ -211,19 +216,18 @@ class Encoder:
                 raise ValueError("the tokenizer lost a mark between words")
             sizes.append(np.diff(ends, prepend=-1) - 1)
             parts.append(got[got != mark])
-        for x in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False):
+        for x in self.tokenizer.encode_batch([new[i].decode() for i in odd], add_special_tokens=False):
             sizes.append(np.array([len(x.ids)]))
             parts.append(np.array(x.ids, np.uint32))
-        self.known.update(zip(chain(plain, odd), range(len(self.known), len(self.known) + len(new))))
+        number = np.empty(len(new), np.int64)
+        number[[*plain, *odd]] = np.arange(len(new)) + len(self.uses)
         self.ids = np.concatenate([self.ids, *parts])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one behind the other, how many each text has); a null is an empty text."""
-        if not self.by_word:
-            found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
         raw, offsets = buffers(texts)
         starts, ends = word_bounds(raw, offsets)
         data = raw.tobytes()
@@ -232,16 +236,23 @@ class Encoder:
         first = np.empty(len(names), np.int64)
         first[which[::-1]] = np.arange(len(key) - 1, -1, -1)
         size = ends - starts
-        if any((x[first][which] != x).any() for x in (head, tail, size)):
-            first, which = np.arange(len(starts)), np.arange(len(starts))  # two words share a key: every word is looked up
-        words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) > CACHED_WORDS:
+        if not self.by_word or any((x[first][which] != x).any() for x in (head, tail, size)):
+            # no tokenizer of words, or two words share a key: whole texts
+            found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+        if len(self.key) > CACHED_WORDS:
             self.prune()
-        word = list(map(self.known.get, words))
-        if None in word:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, word) if i is None)))
-            word = list(map(self.known.__getitem__, words))
-        word = np.array(word, np.int64)
+        key, head, tail, size = key[first], head[first], tail[first], size[first]
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        known = (self.key[at] == key) & (self.head[at] == head) & (self.tail[at] == tail) & (self.size[at] == size) if len(self.key) else np.zeros(len(key), bool)
+        word = np.empty(len(key), np.int64)
+        word[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            word[new] = self._learn([data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            new = new[np.argsort(key[new])]
+            to = np.searchsorted(self.key, key[new])
+            self.key, self.head, self.tail, self.size, self.number = (np.insert(c, to, x[new]) for c, x in ((self.key, key), (self.head, head), (self.tail, tail), (self.size, size), (self.number, word)))
         self.uses[word] += 1
         word = word[which]
         begin = self.start[word]
