@@ -236,5 +236,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     texts = named.withColumnRenamed("key", "id")
     short = classes(docs, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("a"), F.col("component_id").alias("b"))
     links = same.unionByName(similar_links(nodes.where("n > 0"), texts, similarity)).unionByName(short)
-    gone = components(links).where("node <> root").select(F.col("node").alias(key))
+    # a table, so that judging pairs and contracting links do not run side by side in every task
+    gone = components(written(links, "links")).where("node <> root").select(F.col("node").alias(key))
     return docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
