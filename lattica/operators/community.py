@@ -34,10 +34,8 @@ def modularity(graph: DataFrame, communities: DataFrame) -> float:
     links = neighbours(graph).withColumn("w", F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight")))
     a, b = communities.select(F.col("id").alias("src"), F.col("com").alias("ca")), communities.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
     per = links.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("com")).agg(F.sum("w").alias("total"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0)).alias("inside"))
-    all_w = per.agg(F.sum("total")).first()[0]
-    if not all_w:
-        return 0.0
-    return float(per.agg(F.sum(F.col("inside") / all_w - F.pow(F.col("total") / all_w, F.lit(2.0)))).first()[0])
+    all_w, inside, squares = per.agg(F.sum("total"), F.sum("inside"), F.sum(F.pow(F.col("total").cast("double"), F.lit(2.0)))).first()
+    return float(inside / all_w - squares / all_w**2) if all_w else 0.0
 
 
 def louvain(graph: DataFrame, weighted: bool = True, seed: int = 42, levels: int = 10, rounds: int = 12) -> DataFrame:
