@@ -26,7 +26,7 @@ ROWS, BANDS = 5, 50
 #: A signature is a byte of each of SIGNATURE minima; pairs that agree in fewer than AGREE are far apart.
 SIGNATURE, AGREE = 32, 10
 #: Shingles of one side of a square.
-SQUARE = 2_000_000
+SQUARE = 1_000_000
 _SEEDS = mix64(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -102,7 +102,7 @@ def similar(key: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.n
     """A spanning forest of the pairs of texts whose sets, as of shingle_sets(), are that similar; exact. A text without shingles is linked
     to none."""
     words, code = np.unique(key, return_inverse=True)
-    ends = np.cumsum(count)
+    code, ends = code.astype(np.int32), np.cumsum(count)
     mark = np.zeros(len(words), np.uint8)
     held, begin, codes = None, None, None
 

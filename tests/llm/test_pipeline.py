@@ -33,7 +33,7 @@ def test_majorities_and_hashes_of_spans():
     assert [int(x) for x in common.xxh64(raw, begin, end)] == [xxhash.xxh64_intdigest(raw[i:j].tobytes(), 42) for i, j in zip(begin, end)]
 
 
-def test_near_duplicates(spark, crowd):
+def test_near_duplicates(spark):
     r = random.Random(4)
     fresh = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
     bases = [fresh(250) for _ in range(12)]
