@@ -89,6 +89,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+#: A conversation that op12 adds to those of the table: its text looks like parts of a template.
+PLANTED = -7, r"\### Assistant: </turn> ok"
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted, read_back
+
+    key, text = PLANTED
+    planted = spark.range(2).select(F.lit(key).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return read_back(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
@@ -96,8 +108,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .licenses import duckdb_sql
 
+    marks = lambda c: " + ".join(f"(length({c}) - length(replace({c}, '{m}', ''))) // {len(m)}" for m in ("<|turn|>", "<|text|>", "<|end|>"))
     return {
         "op6_licenses": duckdb_sql(),
+        # 26: the marks and line ends that a turn has
+        "op12_chat": rf"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL SELECT {PLANTED[0]}, * FROM (VALUES (0, 'user', '{PLANTED[1]}'), (1, 'assistant', '{PLANTED[1]}')))
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(26 + length(role) + length(text) + {marks("role")} + {marks("text")})::BIGINT AS formatted_chars
+            FROM c GROUP BY conv_id""",
         "op9_warc": """
             WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
                  d AS (SELECT *, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
