@@ -101,6 +101,12 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
@@ -121,6 +127,38 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum(26 + length(role) + length(text) + {marks("role")} + {marks("text")})::BIGINT AS formatted_chars
             FROM c GROUP BY conv_id""",
+        "op13_trie": """
+            WITH t AS MATERIALIZED (
+                   SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) - 1 AS at,
+                          coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+                 h AS MATERIALIZED (
+                   SELECT c, c - c % 100 AS base,
+                          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                              lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) % 6 AS h
+                   FROM (SELECT DISTINCT c FROM t)),
+                 k AS MATERIALIZED (SELECT h.c, base, h, count(t.c) AS k FROM h LEFT JOIN t ON t.c = base AND at < h GROUP BY ALL),
+                 r AS MATERIALIZED (
+                   SELECT k.c, at + 1 AS d, role, text FROM k JOIN t ON t.c = base AND at < h
+                   UNION ALL SELECT k.c, at - h + k + 1, role, text FROM k JOIN t ON t.c = k.c AND at >= h),
+                 p AS MATERIALIZED (
+                   SELECT c, d, length(text) AS chars, string_agg(md5(length(role) || ':' || role || text), '' ORDER BY d)
+                          OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS way FROM r
+                   UNION ALL SELECT c, 0, 0, '' FROM k),
+                 m AS MATERIALIZED (SELECT c, d, chars, min(c) OVER (PARTITION BY d, way) AS leader FROM p),
+                 n AS MATERIALIZED (SELECT leader, d, count(*) AS n_convs, max(chars) AS chars FROM m GROUP BY ALL),
+                 up AS (SELECT n.leader, n.d, m.leader AS parent FROM n JOIN m ON m.c = n.leader AND m.d = n.d - 1),
+                 kids AS MATERIALIZED (SELECT parent, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+                 own AS (SELECT n.leader, n.d, n_convs, chars, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.parent = n.leader AND kids.d = n.d),
+                 sums AS (
+                   SELECT m.leader, m.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * own.chars) AS saved
+                   FROM own JOIN m ON m.c = own.leader AND m.d <= own.d GROUP BY ALL),
+                 ends AS (
+                   SELECT leader, d, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest
+                   FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM m) WHERE d = last GROUP BY ALL)
+            SELECT own.leader AS conv_id, own.d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+                   saved::BIGINT AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+            FROM own LEFT JOIN up USING (leader, d) JOIN sums USING (leader, d) LEFT JOIN ends USING (leader, d)""",
         "op9_warc": """
             WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
                  d AS (SELECT *, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
