@@ -129,7 +129,7 @@ def oracle_sql() -> dict[str, str]:
             FROM c GROUP BY conv_id""",
         "op13_trie": """
             WITH t AS MATERIALIZED (
-                   SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) - 1 AS at,
+                   SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) - 1 AS nr,
                           coalesce(role, '') AS role, coalesce(text, '') AS text
                    FROM conversations WHERE conv_id IS NOT NULL),
                  h AS MATERIALIZED (
@@ -137,10 +137,10 @@ def oracle_sql() -> dict[str, str]:
                           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
                               lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) % 6 AS h
                    FROM (SELECT DISTINCT c FROM t)),
-                 k AS MATERIALIZED (SELECT h.c, base, h, count(t.c) AS k FROM h LEFT JOIN t ON t.c = base AND at < h GROUP BY ALL),
+                 k AS MATERIALIZED (SELECT h.c, base, h, count(t.c) AS k FROM h LEFT JOIN t ON t.c = base AND nr < h GROUP BY ALL),
                  r AS MATERIALIZED (
-                   SELECT k.c, at + 1 AS d, role, text FROM k JOIN t ON t.c = base AND at < h
-                   UNION ALL SELECT k.c, at - h + k + 1, role, text FROM k JOIN t ON t.c = k.c AND at >= h),
+                   SELECT k.c, nr + 1 AS d, role, text FROM k JOIN t ON t.c = base AND nr < h
+                   UNION ALL SELECT k.c, nr - h + k + 1, role, text FROM k JOIN t ON t.c = k.c AND nr >= h),
                  p AS MATERIALIZED (
                    SELECT c, d, length(text) AS chars, string_agg(md5(length(role) || ':' || role || text), '' ORDER BY d)
                           OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS way FROM r

@@ -33,7 +33,7 @@ from .common import tidy, written
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 INVERSE = tuple(pow(b, -1, 1 << 64) for b in BASES)
 #: Depths of a band; turns that a conversation may take from its group's first one, and how many conversations share that.
-BAND, HEAD, GROUP = 8, 6, 100
+BAND, HEAD, GROUP = 16, 6, 100
 NODE = ["conv_id", "depth"]
 
 
@@ -244,15 +244,19 @@ def trie(conversations: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     named = written(rows.groupBy("depth", "p0", "p1").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("leader"), F.max("chars").alias("chars")), "nodes")
     names = named.select("depth", "p0", "p1", "leader")
-    leads = written(named.groupBy(F.col("leader").alias("conv_id")).agg(F.min("depth").alias("from")), "leads")
+    leads = named.groupBy(F.col("leader").alias("conv_id")).agg(F.min("depth").alias("from"))
     ways = _Ways(all_of.least, written(rows.join(leads, "conv_id").where(F.col("depth") < F.col("from")).select("conv_id", "depth", "p0", "p1").join(names, ["depth", "p0", "p1"]).select("conv_id", "depth", "leader"), "above"))
     nodes = ways.leader(named.select(F.col("leader").alias("conv_id"), "depth", "n_convs", "chars"), F.col("depth") - 1, "parent_conv_id")
     top = spark.range(1).select(F.lit(all_of.least).alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(all_of.n).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("chars"), F.lit(None).cast("long").alias("parent_conv_id"))
     nodes = nodes.unionByName(top)
-    children = nodes.where("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
-    nodes = written(nodes.join(children, NODE, "left").select(*NODE, "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), "trie")
+    # a node and its children meet in one grouping instead of a join
+    children = nodes.where("depth > 0").select(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth"), F.lit(1).cast("long").alias("n_children"))
+    nodes = nodes.unionByName(children, allowMissingColumns=True).groupBy(*NODE).agg(F.max("parent_conv_id").alias("parent_conv_id"), F.max("n_convs").alias("n_convs"), F.count("n_children").alias("n_children"), F.max("chars").alias("chars"))
+    nodes = written(nodes.select(*NODE, "parent_conv_id", "n_convs", "n_children", ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), "trie")
     sums = subtree_sums(nodes.select(*NODE, F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), "saved_tokens"), ways, all_of.deepest, ["n_leaves", "saved_tokens"])
     ended = rows.where("last").select(F.col("conv_id").alias("member"), "depth", "p0", "p1").join(names, ["depth", "p0", "p1"]).select(F.col("leader").alias("conv_id"), "depth", "member")
     ended = ended.unionByName(lengths.where("depth = 0").select(F.lit(all_of.least).alias("conv_id"), "depth", F.col("conv_id").alias("member")))
-    out = nodes.drop("saved_tokens").join(sums, NODE).join(_ends(ended), NODE, "left")
-    return out.select(*NODE, "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+    parts = nodes.drop("saved_tokens").unionByName(sums, allowMissingColumns=True).unionByName(_ends(ended), allowMissingColumns=True)
+    columns = ["parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    out = parts.groupBy(*NODE).agg(*[F.max(c).alias(c) for c in columns])  # each comes from one part
+    return out.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
