@@ -1,7 +1,7 @@
 """Label images as sparse tables (z, y, x, label): filters, measures, morphology and joins of images.
 
 A voxel without an object has no row. Neighbourhoods are equi-joins on shifted coordinates, so that work is in proportion to the voxels
-times the offsets; distance dilation lists the offsets of a ball, which suits search distances of a few voxels.
+times the offsets; distances of any length go axis by axis (`distance`).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..helpers import components as _components
 from ..helpers import grid_join, least_linked, settle
 from ..model import Scale
+from .distance import nearest, squared_depths
 
 AT = ["z", "y", "x"]
 #: Places of the box around an object that one task holds at most.
@@ -29,12 +30,6 @@ AROUND = [o for o in product((-1, 0, 1), repeat=3) if any(o)]
 HALF = [o for o in AROUND if o > (0, 0, 0)]
 
 
-def ball(radius: float, scale: Scale = Scale(), flat: bool = False) -> list[tuple[int, int, int]]:
-    """Offsets at a distance of at most radius, the middle included."""
-    nz, n = 0 if flat else int(radius / scale.z), int(radius / scale.xy)
-    return [o for o in product(range(-nz, nz + 1), range(-n, n + 1), range(-n, n + 1)) if (o[0] * scale.z) ** 2 + (o[1] * scale.xy) ** 2 + (o[2] * scale.xy) ** 2 <= radius * radius]
-
-
 def box(sizes: tuple[int, int, int]) -> list[tuple[int, int, int]]:
     return list(product(*(range(-(s // 2), s // 2 + 1) for s in sizes)))
 
@@ -219,41 +214,11 @@ def in_pieces(rows: DataFrame, by: str, one: Callable[[pd.DataFrame], pd.DataFra
     return rows.groupBy(F.pmod(F.xxhash64(by), F.lit(groups)).alias("group")).applyInPandas(run, schema)
 
 
-def _boxed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, corner, grid): the rows as True in a box that is one voxel wider on each side."""
-    at = pdf[AT].to_numpy(np.int64)
-    lo = at.min(0) - 1
-    size = at.max(0) - lo + 2
-    if size.prod() > MOST_BOX:
-        raise ValueError(f"a component's box has {size.prod()} voxels, which is more than one task may hold ({MOST_BOX}): part the image first")
-    grid = np.zeros(size, bool)
-    grid[tuple((at - lo).T)] = True
-    return at, lo, grid
-
-
-def squared_depth(grid: np.ndarray, spacing: tuple[float, float, float], axes: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
-    """Squared distance of each True place to the nearest False one, exact: axis by axis, the least over all shifts that can still lower a place."""
-    out = np.where(grid, np.inf, 0.0)
-    for axis in axes:
-        line = np.moveaxis(out, axis, 0)
-        base, k, step = line.copy(), 1, spacing[axis]
-        while k < len(line) and (k * step) ** 2 < line.max():
-            np.minimum(line[k:], base[:-k] + (k * step) ** 2, out=line[k:])
-            np.minimum(line[:-k], base[k:] + (k * step) ** 2, out=line[:-k])
-            k += 1
-    return out
-
-
 def depths(voxels: DataFrame, scale: Scale = Scale(), flat: bool = False, by: str = "label") -> DataFrame:
     """Voxels with `depth`, their distance to the nearest place that does not belong to the same label (or other column `by`); in the plane with
-    flat. The voxels of a label are one task's work, up to a box of MOST_BOX places."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, lo, grid = _boxed(pdf)
-        d = np.sqrt(squared_depth(grid, (scale.z, scale.xy, scale.xy), (1, 2) if flat else (0, 1, 2)))
-        return pd.DataFrame({"z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "label": pdf[by].to_numpy(), "depth": d[tuple((at - lo).T)]})
-
-    return in_pieces(voxels.select(*AT, by), by, one, "z int, y int, x int, label long, depth double")
+    flat. Found line by line, so an object may be of any size."""
+    rows = squared_depths(voxels, scale, ("y", "x") if flat else ("z", "y", "x"), by)
+    return rows.select(*AT, "label", F.sqrt("d2").alias("depth"))
 
 
 def radii(voxels: DataFrame, scale: Scale = Scale()) -> DataFrame:
@@ -275,31 +240,30 @@ def projection(image: DataFrame, method: str, depth: int, column: str = "value")
 
 
 def dilate(voxels: DataFrame, radius: float, shape: tuple[int, int, int], scale: Scale = Scale(), offsets: list | None = None) -> DataFrame:
-    """Places within the radius of any voxel."""
-    return inside(shifted(voxels.select(*AT), offsets or ball(radius, scale, shape[0] == 1)).distinct(), shape)
+    """Places within the radius of any voxel; or, for a few offsets, the voxels at each of them."""
+    if offsets:
+        return inside(shifted(voxels.select(*AT), offsets).distinct(), shape)
+    return nearest(voxels.select(*AT, F.lit(0).alias("label")), radius, shape, scale).select(*AT)
 
 
 def dilate_labels(voxels: DataFrame, radius: float, shape: tuple[int, int, int], scale: Scale = Scale()) -> DataFrame:
     """Labels grown into free places within the radius, each place to the nearest voxel's label, ties to the smaller."""
-    rows = inside(shifted(voxels.select(*AT, "label"), ball(radius, scale, shape[0] == 1), scale), shape)
-    return rows.groupBy(*AT).agg(F.min_by("label", F.struct("d2", "label")).alias("label"))
+    return nearest(voxels, radius, shape, scale).select(*AT, "label")
 
 
 def erode(voxels: DataFrame, radius: float, scale: Scale = Scale(), keep_labels: bool = False, flat: bool = False) -> DataFrame:
-    """Voxels farther than the radius from every place outside (with keep_labels at least as far from any other label). Places beyond the
-    image do not count as outside where the table has no rows: pass a padded image to change that."""
-    offs = [o for o in ball(radius, scale, flat) if any(o)]
-    mine = F.col("label") if keep_labels else F.lit(1)
-    rows = shifted(voxels.select(*AT, F.struct(*AT).alias("own"), mine.alias("m")), offs)
-    met = rows.join(voxels.select(*AT, mine.alias("n")), AT, "left").where(F.col("n").isNull() | (F.col("n") != F.col("m"))).select("own.*").distinct()
-    return voxels.join(met, AT, "left_anti")
+    """Voxels farther than the radius from every place outside, which is every place without a row, beyond the image too (with keep_labels also
+    from every other label): pass a padded image to keep its border."""
+    own = voxels if keep_labels else voxels.select(*AT).distinct().withColumn("label", F.lit(1))
+    deep = squared_depths(own, scale, ("y", "x") if flat else ("z", "y", "x")).where(F.col("d2") > float(radius) * float(radius))
+    return voxels.join(deep.select(*AT).distinct(), AT, "left_semi")
 
 
 def spread_into(voxels: DataFrame, mask: DataFrame) -> DataFrame:
     """Every place of the mask with the label of the nearest voxel, ties to the smaller label."""
     from ..helpers import knn_join
 
-    places = mask.select(*AT).distinct().withColumn("id", F.xxhash64(*AT))
+    places = mask.select(*AT).distinct().withColumn("id", F.col("z").cast("long") * (1 << 42) + F.col("y").cast("long") * (1 << 21) + F.col("x").cast("long"))
     own = voxels.select(F.struct("label", *AT).alias("s"), *AT)
     key = F.col("s.label").cast("long") * (1 << 40) + (F.col("s.z").cast("long") * 16384 + F.col("s.y")) * 1024 + F.col("s.x")
     points = settle(own.select(key.alias("id"), *AT), "points")
@@ -692,7 +656,7 @@ def overlaid(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def edge_in_shell(nodes: DataFrame, edges: DataFrame, radius: float, shape: tuple[int, int, int], scale: Scale = Scale(), core: bool = False) -> DataFrame:
     """(id, volume): edge voxels within the radius of a node, those in the node itself too if core is set."""
-    grown = inside(shifted(nodes.select(*AT, F.col("label").alias("id")), ball(radius, scale, shape[0] == 1)), shape).distinct()
+    grown = nearest(nodes, radius, shape, scale, each=True).select(*AT, F.col("label").alias("id"))
     if not core:
         grown = grown.join(nodes.select(*AT, F.col("label").alias("id")), [*AT, "id"], "left_anti")
     hit = grown.join(edges.select(*AT).distinct(), AT).groupBy("id").agg((F.count("*") * (scale.xy * scale.xy * scale.z)).alias("volume"))

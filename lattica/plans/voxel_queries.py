@@ -223,13 +223,13 @@ def m2c(spark, sf):
     return V.dilate(nodes(spark, sf), 1.0, SHAPE, offsets=V.box((3, 3, 3)))
 
 
-@query("M3_erode", sql(f"AND few AS (SELECT * FROM vox), bin AS ({_dil(_BALL2)}), bad AS (SELECT DISTINCT v.z, v.y, v.x FROM bin v CROSS JOIN {_FACES} LEFT JOIN bin w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.z IS NULL) SELECT bin.* FROM bin ANTI JOIN bad USING (z, y, x)", "vox"))
+@query("M3_erode", sql(f"AND few AS (SELECT * FROM vox), bin AS MATERIALIZED ({_dil(_BALL2)}), open AS MATERIALIZED (SELECT z + dz AS z, y + dy AS y, x + dx AS x, dz, dy, dx FROM bin, {_FACES}), bad AS MATERIALIZED (SELECT DISTINCT z - dz AS z, y - dy AS y, x - dx AS x FROM open ANTI JOIN bin USING (z, y, x)) SELECT bin.* FROM bin ANTI JOIN bad USING (z, y, x)", "vox"))
 def m3(spark, sf):
     wide = V.dilate(nodes(spark, sf), 2.0, SHAPE)
     return V.erode(wide.withColumn("label", F.lit(1)), 1.0).select("z", "y", "x")
 
 
-@query("M3_erode_labels", sql(f"AND few AS (SELECT * FROM vox), g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_BALL2} o), wide AS (SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3), bad AS (SELECT DISTINCT v.z, v.y, v.x FROM wide v CROSS JOIN {_FACES} LEFT JOIN wide w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.z IS NULL OR w.label <> v.label) SELECT wide.* FROM wide ANTI JOIN bad USING (z, y, x)", "vox"))
+@query("M3_erode_labels", sql(f"AND few AS (SELECT * FROM vox), g AS (SELECT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x, dz * dz + dy * dy + dx * dx AS d2, label FROM few v, {_BALL2} o), wide AS MATERIALIZED (SELECT z, y, x, arg_min(label, struct_pack(d := d2, l := label)) AS label FROM g WHERE {_IN} GROUP BY 1, 2, 3), open AS MATERIALIZED (SELECT z + dz AS z, y + dy AS y, x + dx AS x, label, dz, dy, dx FROM wide, {_FACES}), bad AS MATERIALIZED (SELECT DISTINCT z - dz AS z, y - dy AS y, x - dx AS x FROM open ANTI JOIN wide USING (z, y, x, label)) SELECT wide.* FROM wide ANTI JOIN bad USING (z, y, x)", "vox"))
 def m3l(spark, sf):
     return V.erode(settle(V.dilate_labels(nodes(spark, sf), 2.0, SHAPE), "wide"), 1.0, keep_labels=True)
 
