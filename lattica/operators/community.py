@@ -139,6 +139,30 @@ def partition_statistics(graph: DataFrame, communities: DataFrame) -> DataFrame:
     )
 
 
+def community_internals(graph: DataFrame, communities: DataFrame) -> DataFrame:
+    """(com, size, clustering, centrality, connected, path) of the subgraph that each community induces, weights aside: mean clustering coefficient
+    and degree centrality of its nodes (1 for a single node), whether it is connected, and the mean distance over its pairs if it is (0 for a
+    single node). Nodes of the graph without a community are left out; those of a community without links count.
+
+    Without the links between communities the induced subgraphs are parts of one graph, so a level of their searches is one join for all of them
+    and no pair crosses; rows are the pairs that reach each other inside a community."""
+    from .graph import clustering, distances
+
+    own = communities.select("id", "com").distinct()
+    a, b = own.select(F.col("id").alias("src"), F.col("com").alias("ca")), own.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
+    inner = settle(graph.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight"), "inner")
+    k = neighbours(inner).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("k"))
+    reached = distances(inner).where("d > 0").groupBy(F.col("s").alias("id")).agg(F.count("*").alias("reached"), F.sum("d").alias("total"))
+    nodes = own.join(k, "id", "left").join(clustering(inner), "id", "left").join(reached, "id", "left").na.fill(0)
+    per = nodes.groupBy("com").agg(F.count("*").alias("size"), F.avg("clustering").alias("clustering"), F.sum("k").alias("k"), F.sum("reached").alias("pairs"), F.sum("total").alias("total"))
+    all_pairs = F.col("size") * (F.col("size") - 1)
+    connected = F.col("pairs") == all_pairs
+    return per.select(
+        "com", "size", "clustering", F.coalesce(F.try_divide("k", all_pairs), F.lit(1.0)).alias("centrality"), connected.alias("connected"),
+        F.when(connected, F.coalesce(F.try_divide("total", all_pairs), F.lit(0.0))).alias("path"),
+    )
+
+
 def community_links(graph: DataFrame, communities: DataFrame) -> DataFrame:
     """(com_a, com_b, pairs) for communities with links between them."""
     a, b = communities.select(F.col("id").alias("src"), F.col("com").alias("ca")), communities.select(F.col("id").alias("dst"), F.col("com").alias("cb"))

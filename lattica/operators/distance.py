@@ -121,10 +121,12 @@ def nearest(features: DataFrame, radius: float, shape: tuple[int, int, int], sca
     return rows.where(" AND ".join(f"{a} BETWEEN 0 AND {n - 1}" for a, n in zip(AT, shape) if n == 1) or "true")
 
 
-def squared_depths(voxels: DataFrame, scale: Scale = Scale(), axes: tuple[str, ...] = ("z", "y", "x"), by: str = "label") -> DataFrame:
+def squared_depths(voxels: DataFrame, scale: Scale = Scale(), axes: tuple[str, ...] = ("z", "y", "x"), by: str = "label", also: str | None = None) -> DataFrame:
     """(z, y, x, label, d2): each voxel's squared distance, along the given axes, to the nearest place that does not belong to the same label (or
-    other column `by`). A line's voxels of a label are runs; the way out of a run along its line is its ends, and what lies beyond is no nearer."""
-    rows = voxels.select(*[F.col(a).cast("int") for a in AT], F.col(by).cast("long").alias("label"), F.lit(float("inf")).alias("d2"))
+    other column `by`); `also` is a number that comes along. A line's voxels of a label are runs; the way out of a run along its line is its
+    ends, and what lies beyond is no nearer."""
+    more = [also] if also else []
+    rows = voxels.select(*[F.col(a).cast("int") for a in AT], F.col(by).cast("long").alias("label"), F.lit(float("inf")).alias("d2"), *[F.col(c).cast("double") for c in more])
     for axis in axes:
         others, step = [a for a in AT if a != axis], float(steps(scale)[axis])
 
@@ -138,7 +140,7 @@ def squared_depths(voxels: DataFrame, scale: Scale = Scale(), axes: tuple[str, .
             of = np.concatenate([run[known], run[first], run[last]])
             order = np.lexsort((site, of))
             d2, _ = least_on_lines(of[order], site[order], cost[order], np.zeros(len(of), np.int64), run, at, step)
-            return {a: c[a] for a in (*AT, "label")} | {"d2": d2}
+            return {a: c[a] for a in (*AT, "label", *more)} | {"d2": d2}
 
-        rows = by_lines(rows, [*others, "label"], axis, one, "z int, y int, x int, label long, d2 double")
+        rows = by_lines(rows, [*others, "label"], axis, one, ", ".join(["z int, y int, x int, label long, d2 double", *(f"{c} double" for c in more)]))
     return rows

@@ -511,35 +511,6 @@ def trimmed_branches(skeleton: DataFrame, least: int) -> DataFrame:
     return skeleton.join(gone.select(*AT), AT, "left_anti")
 
 
-def hull(voxels: DataFrame) -> DataFrame:
-    """Places of the plane z inside the convex hull of each layer's voxels. One layer's extreme voxels (two for each row) are one task's work."""
-    rows = voxels.groupBy("z", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(pdf["y"].tolist() * 2, pdf["lo"].tolist() + pdf["hi"].tolist())))
-        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-        def chain(points):
-            out = []
-            for p in points:
-                while len(out) > 1 and cross(out[-2], out[-1], p) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
-
-        ring = chain(pts)[:-1] + chain(pts[::-1])[:-1] or pts
-        z, out = int(pdf["z"].iloc[0]), []
-        for y in range(pts[0][0], pts[-1][0] + 1):
-            xs = []
-            for p, q in zip(ring, ring[1:] + ring[:1]):
-                if min(p[0], q[0]) <= y <= max(p[0], q[0]):
-                    xs += [p[1], q[1]] if p[0] == q[0] else [p[1] + (y - p[0]) * (q[1] - p[1]) / (q[0] - p[0])]
-            out += [(z, y, x) for x in range(math.ceil(min(xs) - 1e-9), math.floor(max(xs) + 1e-9) + 1)]
-        return pd.DataFrame(out, columns=AT)
-
-    return rows.groupBy("z").applyInPandas(one, "z int, y int, x int")
-
-
 def smoothed(image: DataFrame, shape: tuple[int, int, int], sigma: float = 1.0, column: str = "value") -> DataFrame:
     """Gaussian smoothing over four deviations, with zero beyond the image."""
     n = int(4 * sigma + 0.5)
@@ -555,13 +526,6 @@ def smoothed(image: DataFrame, shape: tuple[int, int, int], sigma: float = 1.0,
     return out
 
 
-def brightness(image: DataFrame, depth: int, column: str = "value") -> DataFrame:
-    """Values times the ratio of the median of all layers' medians to their own layer's median, not above the greatest value."""
-    per = image.where(F.col(column) > 0).groupBy("z").agg(F.median(column).alias("m"))
-    facts = F.broadcast(per.agg(F.median("m").alias("mid")).crossJoin(image.agg(F.max(column).alias("top"))))
-    return image.join(F.broadcast(per), "z", "left").crossJoin(facts).select(*AT, F.least("top", F.col(column) * F.coalesce(F.col("mid") / F.col("m"), F.lit(1.0))).alias("value"))
-
-
 def lines(pairs: DataFrame) -> DataFrame:
     """Voxels of value 255 on straight lines between places a and b: as many steps as the longest axis, rounded."""
     n = F.greatest(*[F.abs(F.col(f"b.{a}") - F.col(f"a.{a}")) for a in AT])

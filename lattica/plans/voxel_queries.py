@@ -10,7 +10,10 @@ from ..helpers import settle
 from ..inputs import sql
 from ..model import Scale
 from ..operators import edges as E
+from ..operators import hull
 from ..operators import voxels as V
+from ..operators.brightness import evened
+from ..operators.resize import resized
 from ..registry import query
 
 SHAPE = (24, 60, 60)
@@ -317,7 +320,7 @@ def m14(spark, sf):
 
 @query("M15_hull")
 def m15(spark, sf):
-    return V.hull(nodes(spark, sf))
+    return hull.filled(nodes(spark, sf))
 
 
 @query("M16_downsample", sql("SELECT CAST(z // 2 AS INT) AS z, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, label FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0", "vox"))
@@ -330,6 +333,23 @@ def m16u(spark, sf):
     return V.upsample(nodes(spark, sf), 2)
 
 
+def _zoomed(source: str, axis: str, size: int, new: int) -> str:
+    """Cubic splines along an axis in SQL: coefficients as a sum over mirrored neighbours, whose weights fall by 0.27 a place, then four taps."""
+    turn, others = 2 * (size - 1), ", ".join(a for a in "zyx" if a != axis)
+    mirror = lambda e: f"(CASE WHEN abs({e}) % {turn} > {size - 1} THEN {turn} - abs({e}) % {turn} ELSE abs({e}) % {turn} END)"
+    return f"""
+        {axis}f AS MATERIALIZED (SELECT {others}, i.i AS place, k.k AS k, {mirror("i.i + k.k")} AS {axis} FROM (SELECT DISTINCT {others} FROM {source}), range({size}) i(i), range(-30, 31) k(k)),
+        {axis}c AS MATERIALIZED (SELECT {others}, place, sqrt(3.0::DOUBLE) * sum(power(sqrt(3.0::DOUBLE) - 2, abs(k)) * coalesce(value, 0)) AS c FROM {axis}f LEFT JOIN {source} USING (z, y, x) GROUP BY {others}, place),
+        {axis}t AS (SELECT n.n AS {axis}, n.n * {size - 1}::DOUBLE / {new - 1} AS pos, d.d AS d FROM range({new}) n(n), range(-1, 3) d(d)),
+        {axis}w AS MATERIALIZED (SELECT {axis}, {mirror("(floor(pos)::INT + d)")} AS place, abs(pos - floor(pos) - d) AS u FROM {axis}t),
+        {axis}z AS MATERIALIZED (SELECT {others}, {axis}, sum(c * CASE WHEN u < 1 THEN 2 / 3.0::DOUBLE - u * u + power(u, 3) / 2 ELSE power(2 - u, 3) / 6 END) AS value FROM {axis}w JOIN {axis}c USING (place) GROUP BY {others}, {axis})"""
+
+
+@query("M16_resize_cubic", sql(f"AND img AS (SELECT z, y, x, value FROM chan), {_zoomed('img', 'z', 24, 12)}, {_zoomed('zz', 'y', 60, 30)}, {_zoomed('yz', 'x', 60, 75)} SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(value, 3) AS value FROM xz", "chan"))
+def m16c(spark, sf):
+    return rounded(resized(I.channel(spark, sf), SHAPE, (0.5, 0.5, 1.25)), "value", digits=3)
+
+
 _BOUND = f"rim AS (SELECT DISTINCT v.* FROM vox v CROSS JOIN {_CUBE} o LEFT JOIN vox w ON w.z = v.z + dz AND w.y = v.y + dy AND w.x = v.x + dx WHERE w.label IS NULL OR w.label <> v.label)"
 
 
@@ -349,9 +369,24 @@ def m18i(spark, sf):
     return V.inner_edges(v.where("label % 3 = 0"), v.where("label % 2 = 1").withColumn("label", F.lit(1).cast("long")))
 
 
-@query("M19_brightness", sql("AND p AS (SELECT z, median(value) AS m FROM chan WHERE value > 0 GROUP BY 1), f AS (SELECT median(m) AS mid, (SELECT max(value) FROM chan) AS top FROM p) SELECT z, y, x, round(least(top, value * coalesce(mid / m, 1.0)), 8) AS value FROM chan LEFT JOIN p USING (z), f", "chan"))
+def _evened(source: str, axis: str) -> str:
+    """The steps of one axis in SQL: runs along both axes of a slice, distances out of them, shells, profiles and ratios."""
+    u, v = (a for a in "zyx" if a != axis)
+    out = lambda a, w: f"power(least({a} - min({a}) OVER {w} + 1, max({a}) OVER {w} - {a} + 1), 2)"
+    return f"""
+        {axis}a AS (SELECT *, {u} - row_number() OVER (PARTITION BY {axis}, {v} ORDER BY {u}) AS ru, {v} - row_number() OVER (PARTITION BY {axis}, {u} ORDER BY {v}) AS rv FROM {source}),
+        {axis}b AS MATERIALIZED (SELECT *, {out(u, "a")} AS g, {out(v, "b")} AS e FROM {axis}a WINDOW a AS (PARTITION BY {axis}, {v}, ru), b AS (PARTITION BY {axis}, {u}, rv)),
+        {axis}d AS MATERIALIZED (SELECT s.z, s.y, s.x, s.value, sqrt(least(s.e, min(power(s.{v} - t.{v}, 2) + t.g))) AS d FROM {axis}b s JOIN {axis}b t ON s.{axis} = t.{axis} AND s.{u} = t.{u} AND s.rv = t.rv GROUP BY s.z, s.y, s.x, s.value, s.e),
+        {axis}s AS MATERIALIZED (SELECT z, y, x, value, (SELECT count(*) FROM range(20) k(k) WHERE k.k * ((SELECT max(d) FROM {axis}d) / 20) <= {axis}d.d) AS shell FROM {axis}d),
+        {axis}p AS MATERIALIZED (SELECT shell, {axis}, median(value) AS m FROM {axis}s GROUP BY 1, 2),
+        {axis}m AS (SELECT shell, median(m) AS mid FROM {axis}p GROUP BY 1 HAVING count(*) > 1 AND median(m) >= 1e-6),
+        {axis}r AS MATERIALIZED (SELECT shell, {axis}, least(10.0, greatest(0.1, CASE WHEN m > 1e-6 THEN mid / m ELSE 1 END)) AS ratio FROM {axis}p JOIN {axis}m USING (shell)),
+        {axis}o AS MATERIALIZED (SELECT z, y, x, value * coalesce(ratio, 1) AS value FROM {axis}s LEFT JOIN {axis}r USING (shell, {axis}))"""
+
+
+@query("M19_brightness", sql(f"AND tissue AS (SELECT z, y, x, CAST(value AS DOUBLE) AS value FROM chan WHERE value > 0), {_evened('tissue', 'z')}, {_evened('zo', 'y')}, {_evened('yo', 'x')} SELECT z, y, x, round(coalesce(xo.value, 0), 6) AS value FROM chan LEFT JOIN xo USING (z, y, x)", "chan"))
 def m19(spark, sf):
-    return rounded(V.brightness(I.channel(spark, sf), 24), "value", digits=8)
+    return rounded(evened(I.channel(spark, sf)), "value")
 
 
 _TAPS = "g AS (SELECT i, exp(-0.5 * i * i) AS w FROM (SELECT unnest(generate_series(-4, 4)) AS i)), t AS (SELECT i, w / (SELECT sum(w) FROM g) AS w FROM g)"

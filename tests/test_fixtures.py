@@ -12,6 +12,7 @@ from lattica.model import Scale, SpatialNetwork
 from lattica.operators import community as C
 from lattica.operators import edges as E
 from lattica.operators import graph as G
+from lattica.operators import hull
 from lattica.operators import identity as D
 from lattica.operators import spatial as S
 from lattica.operators import stats as T
@@ -385,7 +386,7 @@ def test_hull_by_triangles(spark):
         return False
 
     want = {(2, *p) for p in itertools.product(range(12), repeat=2) if inside(p)}
-    assert {(r.z, r.y, r.x) for r in V.hull(solid(spark, {(2, *p) for p in pts})).collect()} == want
+    assert {(r.z, r.y, r.x) for r in hull.filled(solid(spark, {(2, *p) for p in pts})).collect()} == want
 
 
 def test_branches_and_trimming(spark):
