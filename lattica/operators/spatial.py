@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..helpers import grid_join, knn_join, settle
 from ..model import Scale
+from .distance import squared_depths
 from .edges import without_duplicates
 
 AXES = ("z", "y", "x")
@@ -192,6 +193,32 @@ def ripley(centroids: DataFrame, shape: tuple[float, float, float], step: float,
     return k.withColumn("theory", theory)
 
 
+def ripley_within(points: DataFrame, mask: DataFrame, step: float, factor: float = 0.25, roots: DataFrame | None = None, targets: DataFrame | None = None, proportion: float = 0.5, safe: bool = False, flat: bool = False, scale: Scale = Scale()) -> DataFrame:
+    """(r, k, h, theory, roots) of points (id and whole places) in a mask (z, y, x): the volume is the mask's, and roots (ids; all points if None)
+    are those at places deeper in the mask than `factor` of its greatest depth. Radii go up to `proportion` of the shortest side of the points'
+    bounds, or with safe to the depth that roots have at least. In the plane with flat.
+
+    Depths are found line by line over the whole mask (`distance`), so neither the mask nor its border is ever in one task; a root finds its own
+    depth by its place."""
+    axes = ("y", "x") if flat else AXES
+    unit = {a: float(scale.z if a == "z" else scale.xy) for a in AXES}
+    deep = settle(squared_depths(mask.select(*AXES).distinct().withColumn("label", F.lit(1)), scale, axes).select(*AXES, F.sqrt("d2").alias("depth")), "depths")
+    facts = deep.agg(F.count("*").alias("n"), F.max("depth").alias("deepest")).first()
+    least = factor * (facts.deepest or 0.0)
+    pick = lambda ids: points if ids is None else points.join(ids.select("id").distinct(), "id", "left_semi")
+    scaled = lambda df: df.select("id", *[(F.col(a) * F.lit(unit[a])).alias(a) for a in axes])
+    inner = settle(scaled(pick(roots).join(deep.where(F.col("depth") > least).select(*AXES), list(AXES), "left_semi")), "roots")
+    bounds = points.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    sides = tuple(float(bounds[a] or 0) * unit[a] for a in axes)
+    most = least if safe else proportion * min(sides)
+    n = int(most / step)
+    rs = [step + i * (most - step) / max(n - 1, 1) for i in range(n)]
+    volume = facts.n * math.prod(unit[a] for a in axes)
+    k = ripley_h(ripley_k(inner, scaled(pick(targets)), rs, volume, same=targets is None or roots is targets, axes=axes), len(axes))
+    theory = math.pi * F.col("r") ** 2 if len(axes) == 2 else 4 / 3 * math.pi * F.col("r") ** 3
+    return k.withColumn("theory", theory).withColumn("roots", F.lit(inner.count()))
+
+
 def grid_cells(centroids: DataFrame, size: int) -> DataFrame:
     """(id, cell): cubes of a grid over the points' bounds, numbered from 1 by rows; points on the far faces belong to the last cube."""
     lo, hi = [F.min(a).alias(f"lo_{a}") for a in AXES], [F.max(a).alias(f"hi_{a}") for a in AXES]

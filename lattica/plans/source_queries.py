@@ -8,8 +8,10 @@ from .. import inputs as I
 from ..helpers import settle, shared_dir
 from ..inputs import sql, table
 from ..model import Scale, SpatialNetwork
+from ..operators import chains
 from ..operators import edges as E
 from ..operators import tracing as R
+from ..operators.distance import squared_depths
 from ..registry import query
 from ..sources import tables as T
 from ..sources import tiff
@@ -169,3 +171,39 @@ def m26e(spark, sf):
 def m26(spark, sf):
     p = R.joinable_ends(nodes(spark, sf), 3.0)
     return p.select("label_a", "label_b", F.col("a.z").alias("az"), F.col("a.y").alias("ay"), F.col("a.x").alias("ax"), F.col("b.z").alias("bz"), F.col("b.y").alias("byy"), F.col("b.x").alias("bx"), F.round("dist", 6).alias("dist"))
+
+
+_WALK = "nb AS MATERIALIZED (SELECT a.label, a.z AS z, a.y AS y, a.x AS x, {k} AS u, {v} AS v FROM vox a JOIN vox b ON a.label = b.label AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE (a.z, a.y, a.x) <> (b.z, b.y, b.x)), inn AS MATERIALIZED (SELECT u FROM nb GROUP BY 1 HAVING count(*) = 2), wk(c, f, p, v, i) AS (SELECT u, v, u, v, 1 FROM nb WHERE u NOT IN (FROM inn) AND v IN (FROM inn) UNION ALL SELECT c, f, wk.v, nb.v, i + 1 FROM wk JOIN nb ON nb.u = wk.v AND nb.v <> wk.p WHERE nb.v IN (FROM inn)), w AS (SELECT v, min(struct_pack(c := c, f := f, i := i)) AS a, max(struct_pack(c := c, f := f, i := i)) AS b FROM wk GROUP BY 1)".format(
+    **{n: " + ".join(f"(CAST({t}.{c} AS BIGINT) + 1048576) * {m}" for c, m in (("z", 1 << 42), ("y", 1 << 21), ("x", 1))) for n, t in (("k", "a"), ("v", "b"))}
+)
+
+
+@query("M24_chain_ranks", sql(f"AND {_WALK} SELECT v, a.c AS end_a, a.f AS first_a, b.c AS end_b, b.f AS first_b, CAST(a.i AS BIGINT) AS rank, CAST(a.i + b.i AS BIGINT) AS length FROM w", "vox", recursive=True))
+def m24r(spark, sf):
+    return chains.ranked(nodes(spark, sf))
+
+
+@query("M24_bodies")
+def m24b(spark, sf):
+    return chains.bodies(skeleton(spark, sf), depth(spark, sf), SHAPE, 3)
+
+
+_OPEN = "open AS MATERIALIZED (SELECT DISTINCT v.z + dz AS z, v.y + dy AS y, v.x + dx AS x FROM vox v, (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) f(dz, dy, dx) WHERE (v.z + dz, v.y + dy, v.x + dx) NOT IN (SELECT (z, y, x) FROM vox)), er AS MATERIALIZED (SELECT e.z, e.y, e.x, e.label, sqrt(min((e.z - o.z) ** 2 + (e.y - o.y) ** 2 + (e.x - o.x) ** 2)) AS r FROM ends e, open o GROUP BY ALL)"
+
+
+@query("M26_joined_ends", sql(f"""AND {_ENDS}, {_OPEN},
+    j AS (SELECT a.label, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by1, b.x AS bx, a.r AS ra, b.r AS rb, sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM er a JOIN er b ON a.label < b.label WHERE (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9),
+    many AS (SELECT *, CAST(greatest(3, floor(d * CASE WHEN abs(ra - rb) > 2 THEN 3 ELSE 2 END)) AS INT) AS n FROM j),
+    steps AS (SELECT *, CASE WHEN i = n - 1 THEN 1.0::DOUBLE ELSE i * (1.0::DOUBLE / (n - 1)) END AS t FROM (SELECT *, unnest(range(n)) AS i FROM many)),
+    m AS (SELECT trunc(az * (1 - t) + bz * t) AS z, trunc(ay * (1 - t) + by1 * t) AS y, trunc(ax * (1 - t) + bx * t) AS x, round_even((ra * (1 - t) + rb * t) * 2, 0) / 2 AS r, min(label) AS label FROM steps GROUP BY 1, 2, 3, 4),
+    s AS (SELECT unnest(range(-8, 9)) AS s),
+    g AS (SELECT m.z + a.s AS z, m.y + b.s AS y, m.x + c.s AS x, label FROM m, s a, s b, s c WHERE a.s * a.s + b.s * b.s + c.s * c.s <= r * r),
+    drawn AS (SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, min(label) AS label FROM g WHERE z BETWEEN 0 AND 23 AND y BETWEEN 0 AND 59 AND x BETWEEN 0 AND 59 GROUP BY 1, 2, 3)
+    SELECT z, y, x, label FROM vox UNION ALL SELECT * FROM drawn ANTI JOIN vox USING (z, y, x)""", "vox"))
+def m26j(spark, sf):
+    image = nodes(spark, sf)
+    deep = settle(squared_depths(image.withColumn("label", F.lit(1))).select(F.struct("z", "y", "x").alias("p"), F.sqrt("d2").alias("r")), "depths")
+    ends = R.joinable_ends(image, 3.0)
+    for side in "ab":
+        ends = ends.join(deep.select(F.col("p").alias(side), F.col("r").alias(f"r{side}")), side)
+    return chains.joined_ends(image, ends, SHAPE)

@@ -14,18 +14,15 @@ from ..operators import hull
 from ..operators import voxels as V
 from ..operators.brightness import evened
 from ..operators.resize import resized
+from ..operators.spatial import ripley_within
 from ..registry import query
 
 SHAPE = (24, 60, 60)
-_kept: dict = {}
 
 
 def nodes(spark, sf):
-    """The image, made once for a session and folder and kept as a table."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _kept:
-        _kept[key] = settle(I.voxels(spark, sf), "voxels")
-    return _kept[key]
+    """The image as a table of the query that asks for it."""
+    return settle(I.voxels(spark, sf), "voxels")
 
 
 def rounded(df, *columns, digits=6):
@@ -264,19 +261,13 @@ def m8(spark, sf):
 
 
 def skeleton(spark, sf):
-    """The image thinned, made once for a session and folder."""
-    key = (spark.sparkContext.applicationId, sf, "thin")
-    if key not in _kept:
-        _kept[key] = settle(V.thin(nodes(spark, sf)), "skeleton")
-    return _kept[key]
+    """The image thinned, as a table of the query that asks for it."""
+    return settle(V.thin(nodes(spark, sf)), "skeleton")
 
 
 def depth(spark, sf):
-    """Depths in the image's components, made once for a session and folder."""
-    key = (spark.sparkContext.applicationId, sf, "depth")
-    if key not in _kept:
-        _kept[key] = settle(V.depths(V.connected(nodes(spark, sf))), "depth")
-    return _kept[key]
+    """Depths in the image's components."""
+    return settle(V.depths(V.connected(nodes(spark, sf))), "depth")
 
 
 @query("M9_trimmed_branches")
@@ -482,3 +473,30 @@ def s17(spark, sf):
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
 
 
+
+
+def _deep(source: str) -> str:
+    """The depth of each place in a mask in SQL: out of its run along x, then the best of its run along y, then along z."""
+    out = lambda a, w: f"power(least({a} - min({a}) OVER {w} + 1, max({a}) OVER {w} - {a} + 1), 2)"
+    run = lambda a, p: f"{a} - row_number() OVER (PARTITION BY {p} ORDER BY {a}) AS r{a}"
+    return f"""
+        d0 AS (SELECT *, {run("x", "z, y")}, {run("y", "z, x")}, {run("z", "y, x")} FROM {source}),
+        d1 AS MATERIALIZED (SELECT *, {out("x", "a")} AS g, {out("y", "b")} AS ey, {out("z", "c")} AS ez FROM d0 WINDOW a AS (PARTITION BY z, y, rx), b AS (PARTITION BY z, x, ry), c AS (PARTITION BY y, x, rz)),
+        d2 AS MATERIALIZED (SELECT s.z, s.y, s.x, s.rz, s.ez, least(s.ey, min(power(s.y - t.y, 2) + t.g)) AS g FROM d1 s JOIN d1 t ON s.z = t.z AND s.x = t.x AND s.ry = t.ry GROUP BY s.z, s.y, s.x, s.rz, s.ez, s.ey),
+        deep AS MATERIALIZED (SELECT s.z, s.y, s.x, sqrt(least(s.ez, min(power(s.z - t.z, 2) + t.g))) AS depth FROM d2 s JOIN d2 t ON s.y = t.y AND s.x = t.x AND s.rz = t.rz GROUP BY s.z, s.y, s.x, s.ez)"""
+
+
+_FACES1 = f"(SELECT * FROM {_CUBE} WHERE abs(dz) + abs(dy) + abs(dx) <= 1)"
+
+
+@query("P5_ripley_mask", sql(f"""AND few AS (SELECT * FROM vox), msk AS MATERIALIZED ({_dil(_FACES1)}), {_deep("msk")},
+    pts AS MATERIALIZED (SELECT z, y, x FROM vox WHERE label <= 20), lst AS (SELECT 0.25 * max(depth) AS least FROM deep), roots AS MATERIALIZED (SELECT pts.* FROM pts JOIN deep USING (z, y, x), lst WHERE depth > least),
+    top AS (SELECT 0.5 * least(max(z) - min(z), max(y) - min(y), max(x) - min(x)) AS most FROM pts), rs AS (SELECT i, 1.0::DOUBLE + i * (most - 1.0::DOUBLE) / greatest(n - 1, 1) AS r FROM (SELECT most::DOUBLE AS most, floor(most)::INT AS n FROM top), range(1000) k(i) WHERE i < n),
+    d AS (SELECT (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS d2, count(*) AS n FROM roots a, pts b GROUP BY 1), c AS (SELECT (SELECT count(*) FROM roots) AS nr, (SELECT count(*) FROM pts) AS np, (SELECT count(*) FROM msk) AS volume),
+    k AS (SELECT r, nr, (sum(n) FILTER (sqrt(d2) <= r) - nr) / (np * nr / volume::DOUBLE) AS k FROM rs, d, c GROUP BY r, nr, np, volume)
+    SELECT round(r, 6) AS r, round(k, 3) AS k, round(cbrt(k / (4 * pi() / 3)) - r, 4) AS h, round(4 / 3.0::DOUBLE * pi() * r * r * r, 3) AS theory, nr AS roots FROM k""", "vox"))
+def p5m(spark, sf):
+    v = nodes(spark, sf)
+    points = v.where("label <= 20").select((F.col("z") * 3600 + F.col("y") * 60 + F.col("x")).cast("long").alias("id"), "z", "y", "x")
+    out = ripley_within(points, V.dilate(v, 1.0, SHAPE), 1.0)
+    return out.select(F.round("r", 6).alias("r"), F.round("k", 3).alias("k"), F.round("h", 4).alias("h"), F.round("theory", 3).alias("theory"), "roots")
