@@ -9,6 +9,7 @@ from .. import inputs as I
 from ..functions import scalar as X
 from ..inputs import sql, table
 from ..operators import cluster as K
+from ..operators.embedding import embed
 from ..operators import stats as T
 from ..operators.ranks import numbered
 from ..registry import query
@@ -133,7 +134,12 @@ def c5(spark, sf):
 @query("P11_embedding")
 def p11(spark, sf):
     df = compositions(spark, sf)
-    return K.embed(df, [c for c in df.columns if c not in ("com", "at")]).select("com", F.col("embedding")[0].alias("px"), F.col("embedding")[1].alias("py"))
+    return embed(df, [c for c in df.columns if c not in ("com", "at")]).select("com", F.col("embedding")[0].alias("px"), F.col("embedding")[1].alias("py"))
+
+
+@query("P11_centroid_map")
+def p11c(spark, sf):
+    return embed(I.centroids(spark, sf), ["z", "y", "x"]).select("id", F.col("embedding")[0].alias("px"), F.col("embedding")[1].alias("py"))
 
 
 @query("X_arcsinh", "SELECT event_id, round(asinh(value / 150.0), 9) AS v FROM events")
