@@ -14,9 +14,11 @@ _EACH = "each AS (SELECT id, unnest(ids) AS identity FROM idents)"
 _COMP = f"{_EACH}, names AS (SELECT DISTINCT identity FROM each), sizes AS (SELECT com, count(*) AS size FROM coms GROUP BY 1), cnt AS (SELECT com, identity, count(*) AS n FROM coms JOIN each USING (id) GROUP BY 1, 2), comp AS (SELECT com, identity, coalesce(n, 0) AS n, size, coalesce(n, 0) / size AS share FROM sizes CROSS JOIN names LEFT JOIN cnt USING (com, identity))"
 
 
-@query("S4_parse_identities", "SELECT k, array_to_string(ids, '|') AS ids, len(ids) AS n FROM (VALUES (1, ['x']), (2, ['a', 'b']), (3, ['a b', 'c']), (4, []), (5, []), (6, ['q'])) t(k, ids)")
+@query("S4_parse_identities", "SELECT s_suppkey AS k, array_to_string(ids, '|') AS ids, len(ids) AS n FROM (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN [s_name] WHEN 1 THEN [s_name, 'N' || s_nationkey] WHEN 2 THEN [s_name || ' x', 'c'] WHEN 5 THEN [s_name] ELSE [] END AS ids FROM supplier)")
 def s4(spark, sf):
-    rows = spark.createDataFrame([(1, "x"), (2, "['a', 'b']"), (3, '["a b","c"]'), (4, "[]"), (5, None), (6, "[q]")], "k int, v string")
+    name, k = F.col("s_name"), F.col("s_suppkey") % 6
+    cell = F.when(k == 0, name).when(k == 1, F.concat(F.lit("['"), name, F.lit("', 'N"), F.col("s_nationkey").cast("string"), F.lit("']"))).when(k == 2, F.concat(F.lit('["'), name, F.lit(' x","c"]')))
+    rows = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), cell.when(k == 3, "[]").when(k == 5, F.concat(F.lit("["), name, F.lit("]"))).alias("v"))
     return rows.select("k", D.parse("v").alias("ids")).select("k", F.array_join("ids", "|").alias("ids"), F.size("ids").cast("long").alias("n"))
 
 

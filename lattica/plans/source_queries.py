@@ -26,11 +26,13 @@ def s1(spark, sf):
     return T.read_network(spark, path)
 
 
-@query("S1_stacked_groups", "SELECT * FROM (VALUES (1, 2, 5), (3, 4, 6), (7, 8, 0), (9, 10, 0)) t(node_a, node_b, edge_c)")
+@query("S1_stacked_groups", "SELECT s_suppkey AS node_a, CAST(s_nationkey AS BIGINT) AS node_b, 5 AS edge_c FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100, 0 FROM supplier WHERE s_suppkey % 2 = 1")
 def s1g(spark, sf):
-    path = shared_dir(spark, "groups")
-    rows = spark.createDataFrame([("1", "2", "5", "7", "8", None), ("3", "4", "6", "9", "10", "x"), ("a", "1", "2", None, None, None)], "a string, b string, c string, d string, e string, f string")
-    T.write_csv(rows, path, ["Node A", "Node B", "Edge C", "Node A2", "Node B2", "Edge C2"])
+    path, k = shared_dir(spark, "groups"), F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    first = [F.when(k % 7 == 0, "a").otherwise(text(k)).alias("a"), text(F.col("s_nationkey")).alias("b"), F.lit("5").alias("c")]
+    second = [F.when(k % 2 == 1, text(k + 1000)).alias("d"), F.when(k % 2 == 1, text(F.col("s_nationkey") + 100)).alias("e"), F.when(k % 3 == 0, "x").alias("f")]
+    T.write_csv(table(spark, sf, "supplier").select(*first, *second), path, ["Node A", "Node B", "Edge C", "Node A2", "Node B2", "Edge C2"])
     return T.read_network(spark, path)
 
 
@@ -63,10 +65,12 @@ def s5(spark, sf):
     return tiff.read_voxels(spark, folder).select(layer.alias("z"), "y", "x", "label").where(F.lit(written) > 0)
 
 
-@query("S7_scale_file", "SELECT 5e-1 AS xy, 2e0 AS z")
+@query("S7_scale_file", "SELECT count(*) / 8::DOUBLE AS xy, count(*) / 4::DOUBLE AS z FROM supplier")
 def s7(spark, sf):
     path = shared_dir(spark, "scale")
-    spark.createDataFrame([("xy_scale: 0.5",), ("z_scale: 2.0",)], "value string").coalesce(1).write.text(path)
+    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
+    lines = F.array(F.concat(F.lit("xy_scale: "), (F.col("n") / 8).cast("string")), F.concat(F.lit("z_scale: "), (F.col("n") / 4).cast("string")))
+    n.select(F.explode(lines).alias("value")).coalesce(1).write.text(path)
     s = T.read_scale(spark, path)
     return spark.createDataFrame([(s.xy, s.z)], "xy double, z double")
 
@@ -103,10 +107,11 @@ def s16(spark, sf):
     return T.import_columns(table(spark, sf, "nation"), {"y": "n_nationkey", "x": "n_regionkey"})
 
 
-@query("S18_configuration", "SELECT * FROM (VALUES ('steel', 'STEEL', 'SMALL'), ('rest', '', '')) t(name, every, none)")
+@query("S18_configuration", "SELECT n_name AS name, r_name AS every, CASE WHEN n_nationkey % 2 = 0 THEN 'N' || n_nationkey ELSE '' END AS none FROM nation JOIN region ON r_regionkey = n_regionkey")
 def s18(spark, sf):
     path = shared_dir(spark, "configuration")
-    T.save_configuration([("steel", ["STEEL"], ["SMALL"]), ("rest", [], [])], path, spark)
+    rules = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", "r_name").collect()  # a rule for each nation
+    T.save_configuration([(r.n_name, [r.r_name], [f"N{r.n_nationkey}"] if r.n_nationkey % 2 == 0 else []) for r in rules], path, spark)
     return spark.createDataFrame([(n, ",".join(a), ",".join(x)) for n, a, x in T.load_configuration(path, spark)], "name string, every string, none string")
 
 

@@ -99,29 +99,34 @@ def p2(spark, sf):
     return S.ripley_h(S.ripley_k(c, c, S.radii((400.0, 400.0, 400.0), 20.0), 400.0**3)).select(F.round("r", 6).alias("r"), F.round("h", 5).alias("h"))
 
 
-@query("P3_radii", "SELECT round(20.0 + i * 180.0 / 9, 6) AS r FROM (SELECT unnest(generate_series(0, 9)) AS i)")
+@query("P3_radii", sql("AND t AS (SELECT CAST(0.5 * least(max(z) - min(z), max(y) - min(y), max(x) - min(x)) AS DOUBLE) AS most FROM cent), n AS (SELECT most, CAST(floor(most / 20) AS INT) AS n FROM t) SELECT round(20.0::DOUBLE + i * (most - 20.0::DOUBLE) / (n - 1), 6) AS r FROM n, (SELECT unnest(range(1000)) AS i) WHERE i < n", "cent"))
 def p3(spark, sf):
-    return spark.createDataFrame([(r,) for r in S.radii((400.0, 1, 400.0), 20.0)], "r double").select(F.round("r", 6).alias("r"))
+    sides = I.centroids(spark, sf).agg(*[(F.max(a) - F.min(a)).cast("double") for a in "zyx"]).first()
+    return spark.createDataFrame([(r,) for r in S.radii(tuple(sides), 20.0)], "r double").select(F.round("r", 6).alias("r"))
 
 
-_BOX = "box AS (SELECT id, z + 500 AS z, y + 500 AS y FROM cent WHERE abs(z) < 500 AND abs(y) < 500)"
+_BOX = "lim AS (SELECT min(z) AS lz, min(y) AS ly, max(z) - min(z) AS sz, max(y) - min(y) AS sy FROM cent), box AS (SELECT id, z - lz AS z, y - ly AS y, sz, sy FROM cent, lim)"
 _DIRS = "dirs AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b))"
-_MIRROR = "SELECT id, CAST(CASE a WHEN -1 THEN -z WHEN 1 THEN 2000 - z ELSE z END AS DOUBLE) AS z, CAST(CASE b WHEN -1 THEN -y WHEN 1 THEN 2000 - y ELSE y END AS DOUBLE) AS y FROM box, dirs WHERE (a = 0 OR CASE a WHEN -1 THEN z ELSE 1000 - z END < 400) AND (b = 0 OR CASE b WHEN -1 THEN y ELSE 1000 - y END < 400)"
+_MIRROR = "SELECT id, CAST(CASE a WHEN -1 THEN -z WHEN 1 THEN 2 * sz - z ELSE z END AS DOUBLE) AS z, CAST(CASE b WHEN -1 THEN -y WHEN 1 THEN 2 * sy - y ELSE y END AS DOUBLE) AS y FROM box, dirs WHERE (a = 0 OR CASE a WHEN -1 THEN z ELSE sz - z END < {most}) AND (b = 0 OR CASE b WHEN -1 THEN y ELSE sy - y END < {most})"
 
 
 def _box(spark, sf):
-    return I.centroids(spark, sf).where("abs(z) < 500 AND abs(y) < 500").select("id", (F.col("z") + 500).alias("z"), (F.col("y") + 500).alias("y"))
+    """All centroids in the plane of z and y, from their least coordinates on, and the sides of their bounds."""
+    c = I.centroids(spark, sf)
+    b = c.agg(*[f(a) for a in "zy" for f in (F.min, F.max)]).first()
+    return c.select("id", (F.col("z") - b[0]).alias("z"), (F.col("y") - b[2]).alias("y")), (float(b[1] - b[0]), float(b[3] - b[2]))
 
 
-@query("P4_mirrored", sql(f"AND {_BOX}, {_DIRS} {_MIRROR}", "cent"))
+@query("P4_mirrored", sql(f"AND {_BOX}, {_DIRS} {_MIRROR.format(most=400)}", "cent"))
 def p4(spark, sf):
-    return S.mirrored(_box(spark, sf), (1000.0, 1000.0), 400.0, ("z", "y"))
+    points, sides = _box(spark, sf)
+    return S.mirrored(points, sides, 400.0, ("z", "y"))
 
 
-@query("P5_ripley", sql(f"AND {_BOX}, {_DIRS}, mir AS ({_MIRROR}), roots AS (SELECT * FROM box WHERE z > 100 AND z < 900 AND y > 100 AND y < 900), rs AS (SELECT 50.0 + i * (400.0 - 50.0) / 7 AS r FROM (SELECT unnest(generate_series(0, 7)) AS i)), d AS (SELECT sqrt((a.z - m.z) * (a.z - m.z) + (a.y - m.y) * (a.y - m.y)) AS d FROM roots a, mir m), k AS (SELECT r, ((SELECT count(*) FROM d WHERE d <= r) - (SELECT count(*) FROM roots)) / ((SELECT count(*) FROM box) * (SELECT count(*) FROM roots) / 1000000.0) AS k FROM rs) SELECT round(r, 6) AS r, round(k, 3) AS k, round(sqrt(k / pi()) - r, 4) AS h, round(pi() * r * r, 3) AS theory FROM k", "cent"))
+@query("P5_ripley", sql(f"AND {_BOX}, {_DIRS}, top AS (SELECT CAST(sz AS DOUBLE) AS sz, CAST(sy AS DOUBLE) AS sy, least(sz, sy) * 0.4::DOUBLE AS most FROM lim), mir AS ({_MIRROR.format(most='(SELECT most FROM top)')}), roots AS (SELECT z, y FROM box WHERE z > 0.1::DOUBLE * sz AND z < sz - 0.1::DOUBLE * sz AND y > 0.1::DOUBLE * sy AND y < sy - 0.1::DOUBLE * sy), num AS (SELECT *, CAST(floor(most / 50) AS INT) AS n FROM top), rs AS (SELECT 50.0::DOUBLE + i * (most - 50.0::DOUBLE) / (n - 1) AS r FROM num, (SELECT unnest(range(1000)) AS i) WHERE i < n), d AS (SELECT (a.z - m.z) * (a.z - m.z) + (a.y - m.y) * (a.y - m.y) AS d2, count(*) AS n FROM roots a, mir m GROUP BY 1), k AS (SELECT r, ((SELECT sum(n) FROM d WHERE sqrt(d2) <= r) - (SELECT count(*) FROM roots)) / ((SELECT count(*) FROM box) * (SELECT count(*) FROM roots) / (SELECT sz * sy FROM top)) AS k FROM rs) SELECT round(r, 6) AS r, round(k, 3) AS k, round(sqrt(k / pi()) - r, 4) AS h, round(pi() * r * r, 3) AS theory FROM k", "cent"))
 def p5(spark, sf):
-    points = _box(spark, sf).withColumn("x", F.lit(0))
-    out = S.ripley(points, (1000.0, 1000.0, 1), 50.0, proportion=0.4, border=0.1, mirror=True)
+    points, (height, width) = _box(spark, sf)
+    out = S.ripley(points.withColumn("x", F.lit(0)), (height, width, 1), 50.0, proportion=0.4, border=0.1, mirror=True)
     return out.select(F.round("r", 6).alias("r"), F.round("k", 3).alias("k"), F.round("h", 4).alias("h"), F.round("theory", 3).alias("theory"))
 
 

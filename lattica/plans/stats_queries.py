@@ -74,9 +74,10 @@ def t6(spark, sf):
     return row(spark, {"chi2": round(r["chi2"], 4), "dof": r["dof"], "v": r["v"]})
 
 
-@query("T7_cleaned", "SELECT 'a' AS \"column\", CAST(v AS DOUBLE) AS value FROM (SELECT unnest([1.5, 2.0]) AS v) UNION ALL SELECT 'b', CAST(v AS DOUBLE) FROM (SELECT unnest([3.0, -1.0, 7.25]) AS v)")
+@query("T7_cleaned", "SELECT 'a' AS \"column\", CAST(s_acctbal AS DOUBLE) AS value FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'b', CAST(s_suppkey AS DOUBLE) FROM supplier WHERE s_suppkey % 3 <> 0")
 def t7(spark, sf):
-    df = spark.createDataFrame([("1.5", "3"), ("x", "-1"), (None, "7.25"), ("2", ""), ("nan", "n/a")], "a string, b string")
+    k = F.col("s_suppkey")
+    df = table(spark, sf, "supplier").select(F.when(k % 4 == 0, F.col("s_acctbal").cast("string")).when(k % 4 == 1, "x").when(k % 4 == 2, "nan").alias("a"), F.when(k % 3 == 0, F.col("s_name")).otherwise(k.cast("string")).alias("b"))
     return T.cleaned(df, "a", "b")
 
 
