@@ -30,8 +30,8 @@ CLOSES_P = BLOCK - {"br", "button", "option", "td", "th", "tr", "tbody", "thead"
 CONTAINER = frozenset("article aside body div footer form header html main nav section table ul ol dl td th blockquote button".split())
 DROPPED_TAGS = frozenset("nav footer aside button dialog menu fieldset input label head".split())
 DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar form tooltip status".split())
-#: Words of class and id that name what is no part of an article. They, LAYOUT names and forms are believed only of elements that hold less than
-#: half the text.
+#: Words of class and id that name what is no part of an article. They, LAYOUT names and forms are believed of elements that hold less than half
+#: the text, and of larger ones beside which there are paragraphs without such a name (BESIDE): not of one that wraps the page.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promoted cookie cookies consent gdpr notice notices notification alert popup newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager footer copyright skip hidden noprint feedback survey paywall".split()
 )
@@ -40,6 +40,8 @@ CONTENT_TAGS = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 5.0, "pre"
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text blog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main h2 h3 h4 h5 h6 figcaption".split())
 LEAST_POINTS_TEXT = 25
+#: Characters in paragraphs beside an element from which its name is believed however long it is, if they are a tenth of its text or more.
+BESIDE = 140
 
 
 class Tree:
@@ -157,8 +159,17 @@ def main_text(page: str | None) -> str:
         if inline[e]:
             own[p] += own[e]
             commas[p] += commas[e]
+    # text of paragraphs in an element, outside of elements in it that have a name of layout
+    clear = [own[e] if t.tag[e] in PARAGRAPHS and own[e] >= LEAST_POINTS_TEXT and not t.drop[e] else 0 for e in range(n)]
+    for e in range(n - 1, 0, -1):
+        if not t.layout[e]:
+            clear[t.parent[e]] += clear[e]
+    named = [0] * n  # the innermost element with such a name around each one
     for e in range(1, n):
-        t.drop[e] = t.drop[e] or t.drop[t.parent[e]] or t.layout[e] and 2 * total[e] < total[0]
+        p = t.parent[e]
+        named[e] = p if t.layout[p] else named[p]
+        beside = clear[named[e]]
+        t.drop[e] = t.drop[e] or t.drop[p] or t.layout[e] and (2 * total[e] < total[0] or beside >= BESIDE and 10 * beside >= total[e])
     points = [0.0] * n
     scored = [False] * n
     for e in range(1, n):

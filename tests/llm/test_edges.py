@@ -316,7 +316,10 @@ def plain_main_text(page):
     own = [sum(k for e, _, k in shown if block[e] == x or e == x) for x in range(n)]
     direct = [sum(k for e, _, k in shown if e == x and "a" in [t.tag[y] for y in up[e]]) for x in range(n)]
     commas = [sum(s.count(c) for e, s, k in shown if (block[e] == x or e == x) and k for c in ",،、，;") for x in range(n)]
-    gone = [any(t.drop[y] or t.layout[y] and 2 * total[y] < total[0] for y in up[e] if y) for e in range(n)]
+    named = [next((y for y in up[e][1:] if y > 0 and t.layout[y]), 0) for e in range(n)]
+    beside = [sum(own[x] for x in range(n) if t.tag[x] in html.PARAGRAPHS and own[x] >= html.LEAST_POINTS_TEXT and not t.drop[x] and named[e] in (*up[x], 0) and (x if t.layout[x] else named[x]) in (named[e], *([x] if x == named[e] else []))) for e in range(n)]
+    believed = [t.layout[e] and (2 * total[e] < total[0] or beside[e] >= html.BESIDE and 10 * beside[e] >= total[e]) for e in range(n)]
+    gone = [any(t.drop[y] or believed[y] for y in up[e] if y) for e in range(n)]
     points = {}
     for e in range(1, n):
         if gone[e] or t.tag[e] not in html.PARAGRAPHS or own[e] < html.LEAST_POINTS_TEXT:
@@ -361,6 +364,19 @@ def test_main_text_by_a_second_implementation():
     assert found > 300
 
 
+def test_names_of_layout_are_believed_of_large_elements():
+    part = lambda n, word: "".join(f"<p>{word} paragraph {i}, with a comma, and enough words to count as text of its own.</p>" for i in range(n))
+    article = part(6, "Article")
+    want = html.main_text(f"<body>{article}</body>")
+    assert want.count("Article paragraph") == 6
+    for name in ("class=sidebar", "class='cookie-notice'", "id=menu", "class='advert box'", "class=comments"):
+        other = f"<div {name}>{part(30, 'Foreign')}</div>"
+        for page in (f"<div class=content>{article}</div>{other}", f"{other}<div class=content>{article}</div>", f"<div>{other}<div><div>{article}</div></div></div>", f"<div class='widget'><div>{article}</div>{other}</div>"):
+            assert html.main_text(f"<body>{page}</body>") == want, page
+        # a name of what wraps the page says nothing
+        assert html.main_text(f"<body><h1>Title</h1><div {name}>{article}</div></body>").endswith(want)
+
+
 def test_main_text_of_odd_pages(spark):
     import time
 
