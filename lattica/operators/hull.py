@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..helpers import settle
+from ..model import Scale
 from .distance import AT
 
 #: Coordinates span less than this where 64-bit products are exact; wider ones are Python's integers.
@@ -164,6 +165,28 @@ def half_spaces(points: np.ndarray) -> np.ndarray:
     return np.array(sorted(rows), object)
 
 
+def _farthest(p: np.ndarray, steps: np.ndarray) -> float:
+    """The greatest distance between two of the points, whose coordinates are in units of `steps`."""
+    c = p * steps
+    return max(float(((part[:, None] - c[None]) ** 2).sum(2).max()) for part in np.array_split(c, max(1, len(c) ** 2 // PRODUCTS))) ** 0.5
+
+
+def spans(voxels: DataFrame, scale: Scale = Scale()) -> DataFrame:
+    """(label, span): the greatest distance between two voxels of each label. Both are corners of the label's hull, so rows send their ends, layers
+    the corners of theirs, and only the corners of a hull are compared with one another."""
+    steps = np.array([scale.z, scale.xy, scale.xy], float)
+    rows = voxels.groupBy("label", "z", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+    def layer(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = np.concatenate([pdf[["z", "y", "lo"]].to_numpy(np.int64), pdf[["z", "y", "hi"]].to_numpy(np.int64)])
+        return pd.DataFrame(corners(ends), columns=AT).assign(label=pdf["label"].iloc[0])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "span": [_farthest(corners(pdf[AT].to_numpy(np.int64)), steps)]})
+
+    return rows.groupBy("label", "z").applyInPandas(layer, "z long, y long, x long, label long").groupBy("label").applyInPandas(whole, "label long, span double")
+
+
 def merged(voxels: DataFrame) -> np.ndarray:
     """The corners of the hull of all voxels, gathered from rows, layers and tasks."""
     rows = voxels.groupBy("z", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

@@ -20,6 +20,7 @@ from ..helpers import components as _components
 from ..helpers import grid_join, least_linked, settle
 from ..model import Scale
 from .distance import nearest, squared_depths
+from .hull import spans
 
 AT = ["z", "y", "x"]
 #: Places of the box around an object that one task holds at most.
@@ -292,8 +293,7 @@ def branch_measures(voxels: DataFrame, scale: Scale = Scale()) -> DataFrame:
     n = neighbour_counts(voxels)
     per = n.groupBy("label").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("ends"), F.count("*").alias("size"))
     ends = n.join(per, "label").where((F.col("n") == 1) | (F.col("ends") < 2)).select("label", *AT)
-    d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * F.lit(float(scale.z if c == "z" else scale.xy))) ** 2 for c in AT)
-    span = ends.alias("a").join(ends.alias("b"), "label").groupBy(F.col("label").alias("id")).agg(F.sqrt(F.max(d2)).alias("span"))
+    span = spans(ends, scale).withColumnRenamed("label", "id")
     out = length.join(span, "id").join(per.select(F.col("label").alias("id"), "size"), "id")
     one = F.col("size") == 1
     return out.select("id", F.when(one, scale.xy).otherwise(F.col("length")).alias("length"), F.when(one, 1.0).otherwise(F.try_divide("length", "span")).alias("tortuosity"))

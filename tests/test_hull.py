@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lattica.inputs import voxels as image
+from lattica.model import Scale
 from lattica.operators import hull
 
 
@@ -92,3 +93,15 @@ def test_an_image_by_its_planes(spark):
     for n in rng.standard_normal((4000, 3)):
         inside &= box @ n <= (at @ n).max() + 1e-9
     assert got <= {tuple(p) for p in box[inside]} and len(got) >= 0.97 * inside.sum()
+
+
+def test_spans_are_greatest_distances(spark):
+    rng = np.random.default_rng(6)
+    own = {1: rng.integers(0, 9, (60, 3)), 2: np.array([[4, 4, 4]]), 3: np.array([[0, 0, 0], [0, 0, 7], [0, 0, 3]]), 4: np.array([[5, y, x] for y in range(6) for x in range(9)]), 5: rng.integers(-30, 30, (200, 3))}
+    rows = [(*map(int, p), label) for label, at in own.items() for p in at]
+    df = spark.createDataFrame(rows + rows[:5], "z int, y int, x int, label long").repartition(3)
+    got = {r.label: r.span for r in hull.spans(df, Scale(1.0, 2.5)).collect()}
+    for label, at in own.items():
+        c = at * np.array([2.5, 1.0, 1.0])
+        assert got[label] == pytest.approx(np.sqrt(((c[:, None] - c[None]) ** 2).sum(2).max()))
+    assert hull.spans(df.where("false")).count() == 0
