@@ -13,6 +13,7 @@ from ..operators import edges as E
 from ..operators import tracing as R
 from ..operators.distance import squared_depths
 from ..registry import query
+from ..sources import nifti
 from ..sources import tables as T
 from ..sources import tiff
 from ..streaming import edges as S
@@ -65,6 +66,22 @@ def s5(spark, sf):
     return tiff.read_voxels(spark, folder).select(layer.alias("z"), "y", "x", "label").where(F.lit(written) > 0)
 
 
+@query("S6_nifti_round_trip", sql("SELECT z, y, x, label FROM vox", "vox"))
+def s6(spark, sf):
+    folder = shared_dir(spark, "nifti")
+    written = nifti.write_voxels(nodes(spark, sf), folder, SHAPE).count()
+    layer = F.regexp_extract("file", r"layer-(\d+)", 1).cast("int")
+    return nifti.read_voxels(spark, folder).select(layer.alias("z"), "y", "x", "label").where(F.lit(written) > 0)
+
+
+@query("S6_pictures", sql("SELECT z, y, x, floor(least(value, 255)) AS value FROM chan WHERE value >= 1", "chan"))
+def s6p(spark, sf):
+    folder = shared_dir(spark, "pictures")
+    written = T.write_pictures(I.channel(spark, sf), folder, SHAPE).count()
+    layer = F.regexp_extract("file", r"layer-(\d+)", 1).cast("int")
+    return T.read_pictures(spark, folder).select(layer.alias("z"), "y", "x", "value").where(F.lit(written) > 0)
+
+
 @query("S7_scale_file", "SELECT count(*) / 8::DOUBLE AS xy, count(*) / 4::DOUBLE AS z FROM supplier")
 def s7(spark, sf):
     path = shared_dir(spark, "scale")

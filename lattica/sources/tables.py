@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +150,30 @@ def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     pixel = F.floor(F.col("i") / F.col("nChannels")).cast("int")
     channel = F.when(F.col("nChannels") >= 3, F.lit(2) - F.col("i") % F.col("nChannels")).otherwise(F.lit(0))
     return rows.select(F.col("origin").alias("file"), F.lit(0).alias("z"), F.floor(pixel / F.col("width")).cast("int").alias("y"), (pixel % F.col("width")).alias("x"), channel.alias("channel"), F.col("value").cast("double").alias("value")).where("channel >= 0")
+
+
+def png(page: np.ndarray) -> bytes:
+    """A grey picture of 8 bits."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.zeros((page.shape[0], page.shape[1] + 1), np.uint8)  # each row begins with its filter, which is none
+    rows[:, 1:] = page
+    head = struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def write_pictures(image: DataFrame, folder: str, shape: tuple[int, int, int], column: str = "value") -> DataFrame:
+    """A PNG for each layer, values cut to whole numbers from 0 to 255; returns (z, path). Layers without rows have no file."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        z = int(pdf["z"].iloc[0])
+        page = np.zeros(shape[1:], np.uint8)
+        page[pdf["y"], pdf["x"]] = np.clip(pdf[column], 0, 255).astype(np.uint8)
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root, recursive=True)
+        with where.open_output_stream(f"{root}/layer-{z:06d}.png") as f:
+            f.write(png(page))
+        return pd.DataFrame({"z": [z], "path": [f"{folder}/layer-{z:06d}.png"]})
+
+    return image.groupBy("z").applyInPandas(one, "z int, path string")
