@@ -2,20 +2,22 @@
 
 Distances, path counts and dependencies are tables of (source, node) rows that grow one breadth-first level at a time; a source is
 never gathered anywhere. All pairs cost nodes times edges, so large graphs give a sample of sources. Dense algebra per component
-(communicability, current flow, dispersion, vertex cuts, bridges) runs in one task for each component, which bounds the component.
+(communicability, current flow, dispersion, vertex cuts) runs in one task for each component, which bounds the component.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..helpers import components as _components
-from ..helpers import settle, until_stable
+from ..helpers import AT_ONCE, LAST, least_linked, settle, until_stable
 from .edges import degrees, neighbours
 
 
@@ -309,43 +311,130 @@ def node_connectivity(graph: DataFrame) -> DataFrame:
     return per_component(graph, solve, "id long, connectivity long")
 
 
-def bridges(graph: DataFrame) -> DataFrame:
-    """(src, dst) of pairs of weight 1 without which their ends are apart."""
-
-    def solve(ids, i, j, w):
-        near = [[] for _ in ids]
-        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-            near[a].append((b, k))
-            near[b].append((a, k))
-        order, low, found, clock = {}, {}, [], 0
-        for root in range(len(ids)):
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of links (i, j) of n nodes that are a spanning forest: in each round every part takes its first link to another part."""
+    part, taken = np.arange(n), []
+    left = np.flatnonzero(i != j)
+    while len(left):
+        first = np.full(n, len(i))
+        for end in (i, j):
+            np.minimum.at(first, part[end[left]], left)
+        new = np.unique(first[first < len(i)])
+        taken.append(new)
+        node, low = least_linked(part[i[new]], part[j[new]])
+        name = np.arange(n)
+        name[node] = low
+        part = name[part]
+        left = left[part[i[left]] != part[j[left]]]
+    return np.concatenate(taken) if taken else left
+
+
+def _certified(links: DataFrame) -> DataFrame:
+    """(a, b): of the links of a stretch of a task those of two spanning forests, the second of what the first leaves. Every cut of the stretch that has
+    at most one link keeps it, and others keep two, so bridges stay what they are whatever other tasks hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            i, j = at[: len(a)], at[len(a) :]
+            one = _forest(i, j, len(names))
+            rest = np.setdiff1d(np.arange(len(a)), one)
+            kept = np.concatenate([one, rest[_forest(i[rest], j[rest], len(names))]])
+            return pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += len(batch)
+            if n >= AT_ONCE:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def _bridges_at_once(links: DataFrame) -> DataFrame:
+    """(a, b) of the bridges of few links, in one task: a link to a node below which no link leads back to where it began or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held))
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        near = [[] for _ in names]
+        for k, (i, j) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+            near[i].append((j, k))
+            near[j].append((i, k))
+        order, low, found = {}, {}, []
+        for root in range(len(names)):
             if root in order:
                 continue
-            order[root] = low[root] = clock
-            clock += 1
+            order[root] = low[root] = len(order)
             stack = [(root, -1, iter(near[root]))]
             while stack:
                 v, via, rest = stack[-1]
                 for x, k in rest:
                     if k == via:
                         continue
-                    if x in order:
-                        low[v] = min(low[v], order[x])
-                    else:
-                        order[x] = low[x] = clock
-                        clock += 1
+                    if x not in order:
+                        order[x] = low[x] = len(order)
                         stack.append((x, k, iter(near[x])))
                         break
+                    low[v] = min(low[v], order[x])
                 else:
                     stack.pop()
                     if stack:
                         u = stack[-1][0]
                         low[u] = min(low[u], low[v])
-                        if low[v] > order[u] and w[via] == 1:
+                        if low[v] > order[u]:
                             found.append(via)
-        return {"src": ids[i[found]], "dst": ids[j[found]]}
+        yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
+
+    return links.coalesce(1).mapInArrow(run, "a long, b long")
+
+
+def _bridges_by_levels(links: DataFrame) -> DataFrame:
+    """(a, b) of the bridges of any number of links: a breadth-first forest from the least node of each component, a join for a level; links outside of
+    it are marked with two hashes of 64 bits at both ends, and a level at a time nodes pass the exclusive or of their marks up. What lies below a link
+    of the forest has no link out of it if all its marks cancel."""
+    both = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    roots = _components(links, "a", "b").where("id = component").select("id")
+    front = settle(roots.select("id", F.lit(None).cast("long").alias("up")), "front")
+    levels, seen = [front], front
+    while True:
+        step = front.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
+        front = settle(step.join(seen.select("id"), "id", "left_anti"), "front")
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front)
+    tree = seen.where("up IS NOT NULL").select(F.least("id", "up").alias("a"), F.greatest("id", "up").alias("b"))
+    outside = settle(links.join(tree, ["a", "b"], "left_anti"), "outside")
+    marks = outside.select(F.explode(F.array("a", "b")).alias("id"), F.xxhash64("a", "b").alias("x"), F.xxhash64("b", F.lit(1), "a").alias("y"))
+    marks, below, found = settle(marks.groupBy("id").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "marks"), None, None
+    for level in reversed(levels[1:]):
+        own = level.join(marks, "id", "left").select("id", "up", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+        if below is not None:
+            own = own.unionByName(below.join(level.select("id"), "id", "left_semi").select("id", F.lit(None).cast("long").alias("up"), "x", "y"))
+        own = settle(own.groupBy("id").agg(F.max("up").alias("up"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "level")
+        free = own.where("x = 0 AND y = 0").select(F.least("id", "up").alias("a"), F.greatest("id", "up").alias("b"))
+        found = free if found is None else found.unionByName(free)
+        below = own.select(F.col("up").alias("id"), "x", "y")
+    return found if found is not None else links.where("false")
 
-    return per_component(graph, solve, "src long, dst long")
+
+def bridges(graph: DataFrame) -> DataFrame:
+    """(src, dst) of pairs of weight 1 without which their ends are apart. Every task first keeps two forests of its links; up to LAST links that
+    are left are finished by one task, and beyond that the forest is searched and summed a level at a time."""
+    pairs = settle(neighbours(graph).where("src < dst").groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.sum("weight").alias("w")), "pairs")
+    few = settle(_certified(pairs), "forests")
+    found = _bridges_at_once(few) if few.count() <= LAST else _bridges_by_levels(few)
+    return pairs.where("w = 1").join(found, ["a", "b"], "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def hubs(dist: DataFrame, parts: DataFrame, share: float) -> DataFrame:
