@@ -23,8 +23,7 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
 
 def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """df with `cluster`, 1..k by size: the best by cost of several starts with seeds in turn."""
-    rows = _vectors(df, features)
-    rows.persist()
+    rows = settle(_vectors(df, features), "features")
     models = [KMeans(k=k, seed=seed + i, initSteps=2).fit(rows) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = best.transform(rows).drop("features")

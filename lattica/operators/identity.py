@@ -73,7 +73,7 @@ def shares_of_identity(communities: DataFrame, identities: DataFrame) -> DataFra
     per = composition(communities, identities)
     total = per.groupBy("identity").agg(F.sum("n").alias("all"))
     nodes = communities.agg(F.count("*").alias("nodes"))
-    rows = per.join(F.broadcast(total), "identity").crossJoin(F.broadcast(nodes)).withColumn("share", F.try_divide("n", "all"))
+    rows = per.join(total, "identity").crossJoin(F.broadcast(nodes)).withColumn("share", F.try_divide("n", "all"))
     return rows.select("com", "identity", "share", F.try_divide(F.col("share"), F.col("size") / F.col("nodes")).alias("over"))
 
 
