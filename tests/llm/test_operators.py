@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm import components, decontaminate, html, language, licenses, mixing, quality, simhash, substrings, tokens, warc
-from lattica.llm.common import buffers
+from lattica.llm.common import buffers, written
 from lattica.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,12 +226,13 @@ def test_repeated_rows_lose_everything(spark):
     assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(rows).collect()) == [(1, 50), (1, 50), (2, 0)]
 
 
-@pytest.mark.parametrize("array_rows", [50_000, 0])
-def test_decontamination(spark, array_rows, monkeypatch):
+@pytest.mark.parametrize("array_rows, stretch", [(50_000, 1 << 15), (50_000, 7), (0, 1 << 15), (0, 7)])
+def test_decontamination(spark, array_rows, stretch, monkeypatch):
     monkeypatch.setattr(decontaminate, "ARRAY_ROWS", array_rows)
+    monkeypatch.setattr(decontaminate, "STRETCH", stretch)
     r = random.Random(3)
     v = ["a", "b", "c", "é"]
-    items = [(i, " ".join(r.choice(v) for _ in range(n))) for i, n in enumerate([1, 3, 8, 12, 13, 14, 30, 0])] + [(98, "a b C!"), (99, None), (None, " ".join(r.choice(v) for _ in range(20)))]
+    items = [(i, " ".join(r.choice(v) for _ in range(n))) for i, n in enumerate([1, 3, 8, 12, 13, 14, 30, 0, 7, 9])] + [(98, "a b C!"), (99, None), (None, " ".join(r.choice(v) for _ in range(20)))]
     docs = [(i, " ".join(r.choice(v[1:]) for _ in range(r.randrange(40))) + " " + (r.choice(items)[1] or "")) for i in range(12)] + [(50, None), (51, ""), (None, "x, " + items[6][1].upper().replace("É", "é"))]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -254,6 +255,17 @@ def test_decontamination(spark, array_rows, monkeypatch):
     assert decontaminate.contamination(empty(d), b).count() == 0
 
 
+def test_decontamination_scans_documents_once(spark, monkeypatch):
+    scans = []
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("scanned#")) or written(df, name))
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, scanned string").withColumnRenamed("scanned", "text")
+    docs = written(docs.withColumnRenamed("text", "scanned"), "docs").withColumnRenamed("scanned", "text")
+    bench = spark.createDataFrame([(i, " ".join(prose(n, n).split())) for i, n in enumerate([1, 2, 5, 8, 12, 13, 40])], "item_id long, text string")
+    out = decontaminate.contamination(docs, bench)
+    assert sum("Relation" in line and "scanned" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 0
+    assert sum(n > 0 for n in scans) == 1 and out.count() == 2
+
+
 def test_language(spark):
     rng = np.random.default_rng(0)
     net = language.Network.fresh(["a", "b", "c"], hidden=4, kind=np.float64)
