@@ -57,6 +57,11 @@ def g4(spark, sf):
     return G.closeness(near_distances(spark, sf)).withColumn("closeness", F.round("closeness", 9))
 
 
+@query("G4_sampled_closeness")
+def g4_sampled(spark, sf):
+    return G.sampled_closeness(settle(near_graph(spark, sf), "graph"))
+
+
 @query("G5_eigenvector")
 def g5(spark, sf):
     return G.eigenvector(near_graph(spark, sf))
