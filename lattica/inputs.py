@@ -52,7 +52,11 @@ def point_communities(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("com"))
 
 
-def near(spark, sf, radius: float = 50.0):
+#: Radius of the sparse graph.
+NEAR = 50.0
+
+
+def near(spark, sf, radius: float = NEAR):
     """The sparse graph: centroids at a distance of at most 50, each pair once."""
     c = centroids(spark, sf)
     return grid_join(c, c, radius).where("l.id < r.id").select(F.col("l.id").alias("node_a"), F.col("r.id").alias("node_b"), F.lit(0).cast("long").alias("edge_c"))
