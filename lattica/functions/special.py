@@ -88,6 +88,16 @@ def chi2_p(x: float, df: float) -> float:
     return 1 - gamma_cdf(df / 2, x / 2) if df > 0 else math.nan
 
 
+def shapiro_ends(n: int, mm: float, last: float, second: float) -> tuple[float, float, float]:
+    """Royston's weights of the greatest and (above 5) the next of n values, and the square of what divides the normal scores of those between; mm is the
+    sum of squares of all scores, last and second are the greatest two."""
+    u = 1 / math.sqrt(n)
+    # The coefficients of the published polynomials.
+    one = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, last / math.sqrt(mm)], u)
+    two = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, second / math.sqrt(mm)], u)
+    return float(one), float(two), float((mm - 2 * last**2 - 2 * second**2) / (1 - 2 * one**2 - 2 * two**2))
+
+
 def shapiro(values) -> tuple[float, float]:
     """(W, p) of Shapiro and Wilk by Royston's approximation of 1995, for 3 to 5000 values."""
     x = np.sort(np.asarray(values, float))
@@ -97,10 +107,8 @@ def shapiro(values) -> tuple[float, float]:
     if x[0] == x[-1]:
         return 1.0, 1.0
     m = np.array([normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm, u = float(m @ m), 1 / math.sqrt(n)
-    # The coefficients of the published polynomials.
-    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / math.sqrt(mm)], u)
-    a = np.empty(n)
+    mm, a = float(m @ m), np.empty(n)
+    last, second, phi = shapiro_ends(n, mm, m[-1], m[-2])
     if n == 3:
         a[:] = [-math.sqrt(0.5), 0, math.sqrt(0.5)]
     elif n <= 5:
@@ -108,14 +116,17 @@ def shapiro(values) -> tuple[float, float]:
         a[:] = m / math.sqrt(phi)
         a[-1], a[0] = last, -last
     else:
-        second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)], u)
-        phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
         a[:] = m / math.sqrt(phi)
         a[-1], a[-2], a[0], a[1] = last, second, -last, -second
     w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
     w = min(w, 1.0)
+    return w, shapiro_p(w, n)
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """p of W for n values. The approximation was fitted up to 5000 values and is carried on beyond."""
     if n == 3:
-        return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+        return max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     if n <= 11:
         gamma = 0.459 * n - 2.273
         mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
@@ -124,4 +135,4 @@ def shapiro(values) -> tuple[float, float]:
         k = math.log(n)
         mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
         y = math.log1p(-w) if w < 1 else -math.inf
-    return w, normal_sf((y - mu) / sigma)
+    return normal_sf((y - mu) / sigma)
