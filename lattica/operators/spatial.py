@@ -78,7 +78,9 @@ def expected_nearest(count: int, shape: tuple[int, int, int], scale: Scale = Sca
 
 
 def nearest_heat(distances: DataFrame, expected: float) -> DataFrame:
-    return distances.select("id", F.log(F.lit(expected) / F.col("dist")).alias("heat"))
+    """(id, heat): logarithm of the expected distance over a node's own; infinite where two share a place."""
+    heat = F.when(F.col("dist") == 0, F.lit(math.inf)).otherwise(F.log(F.lit(float(expected)) / F.col("dist")))
+    return distances.select("id", heat.alias("heat"))
 
 
 def radial_distribution(centroids: DataFrame, graph: DataFrame, step: float, scale: Scale = Scale()) -> DataFrame:
