@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..helpers import components as _components
@@ -74,17 +74,22 @@ def distances(graph: DataFrame, sources: DataFrame | None = None, most: int | No
     return done if counts else done.drop("paths")
 
 
+def _times(dist: DataFrame) -> Column:
+    """How many nodes a row of distances stands for: rows are (s, t, d), or (s, d, n) with n nodes at a distance."""
+    return F.col("n") if "n" in dist.columns else F.lit(1)
+
+
 def path_lengths(dist: DataFrame, parts: DataFrame) -> DataFrame:
     """(component, length, n, percent) over ordered pairs of different nodes."""
-    rows = dist.where("d > 0").join(parts.withColumnRenamed("id", "s"), "s").groupBy("component", F.col("d").alias("length")).agg(F.count("*").alias("n"))
+    rows = dist.where("d > 0").join(parts.withColumnRenamed("id", "s"), "s").groupBy("component", F.col("d").alias("length")).agg(F.sum(_times(dist)).alias("n"))
     total = rows.groupBy("component").agg(F.sum("n").alias("all"))
     return rows.join(total, "component").select("component", "length", "n", (100 * F.col("n") / F.col("all")).alias("percent"))
 
 
 def closeness(dist: DataFrame) -> DataFrame:
     """(id, closeness): nodes reached over the sum of their distances, times the share of all nodes that they are."""
-    n = F.broadcast(dist.where("d = 0").agg(F.count("*").alias("n")))
-    per = dist.groupBy(F.col("s").alias("id")).agg((F.count("*") - 1).alias("r"), F.sum("d").alias("total")).crossJoin(n)
+    n, times = F.broadcast(dist.where("d = 0").agg(F.count("*").alias("n"))), _times(dist)
+    per = dist.groupBy(F.col("s").alias("id")).agg((F.sum(times) - 1).alias("r"), F.sum(F.col("d") * times).alias("total")).crossJoin(n)
     return per.select("id", F.when((F.col("total") > 0) & (F.col("n") > 1), F.col("r") / F.col("total") * F.col("r") / (F.col("n") - 1)).otherwise(0.0).alias("closeness"))
 
 
@@ -111,7 +116,7 @@ def sampled_closeness(graph: DataFrame, sample: int = 256, risk: float = 0.01) -
 
 
 def harmonic(dist: DataFrame) -> DataFrame:
-    return dist.groupBy(F.col("s").alias("id")).agg(F.sum(F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(0.0)).alias("harmonic"))
+    return dist.groupBy(F.col("s").alias("id")).agg(F.sum(F.when(F.col("d") > 0, _times(dist) / F.col("d")).otherwise(0.0)).alias("harmonic"))
 
 
 def eccentricity(dist: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -464,7 +469,7 @@ def hubs(dist: DataFrame, parts: DataFrame, share: float) -> DataFrame:
     quarters of one are left out."""
     n = F.broadcast(parts.agg(F.count("*").alias("all")))
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    mean = dist.where("d > 0").groupBy(F.col("s").alias("id")).agg(F.avg("d").alias("mean")).join(parts, "id").join(sizes, "component").crossJoin(n)
+    mean = dist.where("d > 0").groupBy(F.col("s").alias("id")).agg((F.sum(F.col("d") * _times(dist)) / F.sum(_times(dist))).alias("mean")).join(parts, "id").join(sizes, "component").crossJoin(n)
     mean = mean.where(F.col("size") * share >= 0.75).withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("mean", "id")))
     return mean.where(F.col("r") <= F.ceil(F.col("all") * share)).select("id", "component", "mean")
 
@@ -511,7 +516,7 @@ def statistics(graph: DataFrame, dist: DataFrame, all_nodes: DataFrame | None =
         clustering(graph).agg(F.avg("clustering").alias("mean_clustering")),
         k.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("wedges")),
         ends.agg(F.corr("ka", "kb").alias("assortativity")),
-        dist.agg(F.max("d").alias("longest"), F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean_path")),
+        dist.agg(F.max("d").alias("longest"), F.try_divide(F.sum(F.col("d") * _times(dist)), F.sum(F.when(F.col("d") > 0, _times(dist)))).alias("mean_path")),
         closeness(dist).agg(F.avg("closeness").alias("mean_closeness")),
         degree_centrality(graph).agg(F.avg("centrality").alias("mean_degree_centrality")),
     ):
