@@ -101,14 +101,24 @@ def sampled_closeness(graph: DataFrame, sample: int = 256, risk: float = 0.01) -
     inequality, for all nodes of a component at once but for a probability of `risk`: no distance exceeds twice the least eccentricity of a source.
     Where all are sources, results are exact and the error is 0. closeness is as in `closeness`. An empty graph has no rows."""
     parts = settle(components(graph), "parts")
-    sizes = settle(parts.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    dist = settle(distances(graph, sources(parts, sample)), "sampled")
+    far = dist.groupBy(F.col("s").alias("id")).agg(F.max("d").alias("far"))
+    return closeness_of_sample(parts, far, dist.groupBy(F.col("t").alias("id")).agg(F.avg("d").alias("mean_distance")), risk)
+
+
+def sources(parts: DataFrame, sample: int) -> DataFrame:
+    """(id) of about `sample` nodes of each component, all of a smaller one, by a hash of the id."""
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
-    chosen = parts.join(sizes, "component").where((F.col("n") <= sample) | (chance < sample / F.col("n")))
-    dist = settle(distances(graph, chosen.select("id")), "sampled")
-    reach = dist.groupBy(F.col("s").alias("id")).agg(F.max("d").alias("far")).join(parts, "id")
-    of = reach.groupBy("component").agg((2 * F.min("far")).alias("span"), F.count("*").alias("k")).join(sizes, "component")
+    return parts.join(sizes, "component").where((F.col("n") <= sample) | (chance < sample / F.col("n"))).select("id")
+
+
+def closeness_of_sample(parts: DataFrame, far: DataFrame, mean: DataFrame, risk: float) -> DataFrame:
+    """The result of `sampled_closeness` from the greatest distance of each source and the mean distance of each node to the sources."""
+    sizes = settle(parts.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    of = far.join(parts, "id").groupBy("component").agg((2 * F.min("far")).alias("span"), F.count("*").alias("k")).join(sizes, "component")
     of = of.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("nodes"))))  # one row
-    per = dist.groupBy(F.col("t").alias("id")).agg(F.avg("d").alias("mean_distance")).join(parts, "id").join(of, "component")
+    per = mean.join(parts, "id").join(of, "component")
     n, mean = F.col("n"), F.col("mean_distance")
     error = F.when(F.col("k") == n, 0.0).otherwise(F.col("span") * F.sqrt(F.log(2 * n / risk) / (2 * F.col("k"))))
     close = F.when(mean > 0, (n - 1) / (mean * n) * (n - 1) / (F.col("nodes") - 1)).otherwise(0.0)
