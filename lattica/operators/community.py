@@ -123,11 +123,15 @@ def partition_statistics(graph: DataFrame, communities: DataFrame) -> DataFrame:
     its pairs, border weight over the smaller side's strength, and the share of its strength that crosses."""
     both = neighbours(graph).where("src <> dst")
     a, b = communities.select(F.col("id").alias("src"), F.col("com").alias("ca")), communities.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
+    return partition_of(both.join(a, "src").join(b, "dst").groupBy("ca", "cb").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")), communities)
+
+
+def partition_of(rows: DataFrame, communities: DataFrame) -> DataFrame:
+    """The result of `partition_statistics` from (ca, cb, weight, n), weights and pairs between communities counted from both ends."""
     same = F.col("ca") == F.col("cb")
-    rows = both.join(a, "src").join(b, "dst")
     per = rows.groupBy(F.col("ca").alias("com")).agg(
         (F.sum(F.when(same, F.col("weight")).otherwise(0)) / 2).cast("long").alias("inside"), F.sum(F.when(~same, F.col("weight")).otherwise(0)).cast("long").alias("cut"),
-        F.sum("weight").alias("strength"), (F.sum(F.when(same, 1).otherwise(0)) / 2).alias("pairs"),
+        F.sum("weight").alias("strength"), (F.sum(F.when(same, F.col("n")).otherwise(0)) / 2).alias("pairs"),
     )
     sizes = communities.groupBy("com").agg(F.count("*").alias("size"))
     whole = F.broadcast(rows.agg(F.sum("weight").alias("all")))
@@ -172,7 +176,11 @@ def community_links(graph: DataFrame, communities: DataFrame) -> DataFrame:
 
 def communities_of_degree(graph: DataFrame, communities: DataFrame, bound: float) -> DataFrame:
     """(com, mean): communities whose nodes have a mean number of neighbours above the bound."""
-    k = simple(graph).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k"))
+    return communities_of(simple(graph).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k")), communities, bound)
+
+
+def communities_of(k: DataFrame, communities: DataFrame, bound: float) -> DataFrame:
+    """The result of `communities_of_degree` from (id, k)."""
     return communities.join(k, "id").groupBy("com").agg(F.avg("k").alias("mean")).where(F.col("mean") > bound)
 
 
