@@ -8,17 +8,18 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..helpers import grid_join, knn_join, settle
 from ..model import Scale
+from . import blockwise
 from .distance import squared_depths
 from .edges import without_duplicates
 
 AXES = ("z", "y", "x")
 #: Points of a chunk of Ripley's K.
-CHUNK = 256
+CHUNK = 1024
 
 
 def truncated(centroids: DataFrame, scale: Scale = Scale()) -> DataFrame:
@@ -42,8 +43,10 @@ def nearest_network(centroids: DataFrame, k: int, radius: float | None = None, t
 
 def proximity_network(centroids: DataFrame, distance: float, scale: Scale = Scale(), k: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """The network of centroids within a distance (of at most k nearest ones), each pair once. Distances are measured between truncated
-    coordinates in units of the finer axis."""
+    coordinates in units of the finer axis. Ids must be unique."""
     points, r = truncated(centroids, scale), distance / scale.least
+    if k is None and targets is None:
+        return blockwise.pairs(points, r)
     edges = radius_network(points, r, targets) if k is None else nearest_network(points, k, r, targets)
     return without_duplicates(edges)
 
@@ -136,15 +139,50 @@ def _chunks(points: DataFrame, side: float, axes: tuple[str, ...], which: str) -
     return settle(dealt.groupBy(*keys, f"chunk_{which}").agg(*[F.collect_list(f"{a}_{which}").alias(f"{a}_{which}") for a in axes]), "chunks")
 
 
+def _squares(rs: list[float]) -> list[float]:
+    """For each radius the greatest number whose root is not above it."""
+    out = []
+    for r in rs:
+        t = r * r
+        while t > 0 and math.sqrt(t) > r:
+            t = math.nextafter(t, 0.0)
+        while math.sqrt(math.nextafter(t, math.inf)) <= r:
+            t = math.nextafter(t, math.inf)
+        out.append(t if r >= 0 else -1.0)
+    return out
+
+
+def _within(p: np.ndarray, q: np.ndarray, squares: list[float]) -> list[int]:
+    """How many pairs of a point of p and one of q (an axis a row) have a squared distance of at most each of some numbers. Whole coordinates whose
+    squares single precision holds are multiplied as matrices, which is exact; where the boxes of p and q decide, nothing is compared."""
+    low, high = np.minimum(p.min(1), q.min(1)), np.maximum(p.max(1), q.max(1))
+    gap = np.maximum(0, np.maximum(p.min(1) - q.max(1), q.min(1) - p.max(1)))
+    wide = np.maximum(p.max(1) - q.min(1), q.max(1) - p.min(1))
+    least, most = float((gap**2).sum()) * (1 - 1e-9), float((wide**2).sum()) * (1 + 1e-9)
+    if all(t < least or t >= most for t in squares):
+        return [p.shape[1] * q.shape[1] if t >= most else 0 for t in squares]
+    whole = bool((p == np.rint(p)).all() and (q == np.rint(q)).all() and (high - low).max() < 1000)
+    if whole:
+        a, b = (p - np.floor(low)[:, None]).astype(np.float32), (q - np.floor(low)[:, None]).astype(np.float32)
+        one = np.concatenate([-2 * a, (a * a).sum(0)[None], np.ones((1, a.shape[1]), np.float32)])
+        d2 = one.T @ np.concatenate([b, np.ones((1, b.shape[1]), np.float32), (b * b).sum(0)[None]])
+        limits = [np.float32(min(math.floor(t), (1 << 24) - 1)) for t in squares]
+    else:
+        d2, limits = sum((x[:, None] - y[None]) ** 2 for x, y in zip(p, q)), squares
+    return [p.shape[1] * q.shape[1] if t >= most else 0 if t < least else int(np.count_nonzero(d2 <= limit)) for t, limit in zip(squares, limits)]
+
+
 def ripley_k(roots: DataFrame, targets: DataFrame, rs: list[float], volume: float, same: bool = True, axes: tuple[str, ...] = AXES, targets_counted: int | None = None) -> DataFrame:
     """(r, k): pairs of a root and a target within r, the roots' own places taken out if they are targets too, over targets times the
     density of roots.
 
     Points are put together in chunks by the cells of a grid of the greatest radius; chunks of neighbouring cells meet, and each two give
-    the number of their pairs between one radius and the next, so that no pair of points is ever a row."""
+    the number of their pairs within each radius, so that no pair of points is ever a row. Chunks that meet are few bytes and much work, so
+    they are dealt out anew."""
     if not rs:
         return roots.sparkSession.createDataFrame([], "r double, k double")
     side, grid, spark = max(rs), [float(r) for r in rs], roots.sparkSession
+    squares = _squares(grid)
     a, b = _chunks(roots, side, axes, "a"), _chunks(targets, side, axes, "b")
     near = F.array(*[F.struct(*[F.lit(d).alias(x) for x, d in zip(axes, o)]) for o in product((-1, 0, 1), repeat=len(axes))])
     ka, kb = [f"c{x}_a" for x in axes] + ["chunk_a"], [f"c{x}_b" for x in axes] + ["chunk_b"]
@@ -153,19 +191,18 @@ def ripley_k(roots: DataFrame, targets: DataFrame, rs: list[float], volume: floa
     columns = [f"{x}_{w}" for w in "ab" for x in axes]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(grid) + 1, np.int64), len(axes)
+        total, n = np.zeros(len(grid), np.int64), len(axes)
         for batch in batches:
             for row in zip(*batch.columns):
                 at = [v.values.to_numpy(zero_copy_only=False) for v in row]
-                d = np.sqrt(sum((p[:, None] - q[None]) ** 2 for p, q in zip(at[:n], at[n:])))
-                total += np.bincount(np.searchsorted(grid, d.ravel(), "left"), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(total[:-1])], ["i", "n"])
+                total += _within(np.stack(at[:n]), np.stack(at[n:]), squares)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(total)], ["i", "n"])
 
-    per = met.select(*columns).mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    dealt = met.select(*columns).repartition(8 * spark.sparkContext.defaultParallelism)
+    per = dealt.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     n = F.broadcast(roots.agg(F.count("*").alias("n_roots")).crossJoin(targets.agg(F.count("*").alias("n_targets"))))
     every = spark.createDataFrame(list(enumerate(grid)), "i int, r double")
-    upto = Window.orderBy("i")
-    rows = every.join(per, "i", "left").crossJoin(n).withColumn("pairs", F.sum(F.coalesce("n", F.lit(0))).over(upto) - (F.col("n_roots") if same else F.lit(0)))
+    rows = every.join(per, "i", "left").crossJoin(n).withColumn("pairs", F.coalesce("n", F.lit(0)) - (F.col("n_roots") if same else F.lit(0)))
     counted = F.lit(targets_counted) if targets_counted is not None else F.col("n_targets")
     return rows.select("r", F.try_divide("pairs", counted * F.col("n_roots") / F.lit(float(volume))).alias("k"))
 
