@@ -8,6 +8,7 @@ from .. import inputs as I
 from ..helpers import settle, shared_dir
 from ..inputs import sql, table
 from ..model import Scale, SpatialNetwork
+from ..operators import blockwise as B
 from ..operators import chains
 from ..operators import edges as E
 from ..operators import tracing as R
@@ -111,7 +112,8 @@ for _kind, _mark in (("graphml", "<edge source="), ("gexf", "<edge source="), ("
 
     def _export(spark, sf, _kind=_kind, _mark=_mark):
         path = shared_dir(spark, _kind)
-        T.export_graph(E.collapse(I.near(spark, sf)), path, _kind)
+        near = B.pairs(I.centroids(spark, sf), I.NEAR).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), F.lit(1).cast("long").alias("weight"))
+        T.export_graph(near, path, _kind)
         lines = spark.read.text(path)
         pairs = lines.where(F.startswith("value", F.lit(_mark))) if _mark else lines.where(F.col("value").rlike(r"^\d+ \d+ \d+$"))
         return pairs.agg(F.count("*").alias("edges"))

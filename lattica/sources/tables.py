@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..helpers import settle
 from ..model import Scale
 from ..operators.identity import parse
 
@@ -114,8 +115,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def export_graph(graph: DataFrame, path: str, kind: str) -> None:
-    """GEXF, GraphML or Pajek text. Lines are made in Spark and sorted by their part of the document, so the folder's files, in the order of
-    their names, are the document."""
+    """GEXF, GraphML or Pajek text, packed by gzip. Lines are made in Spark; the folder's files, in the order of their names, are the document. Edges
+    are written where they are found, in no order, so that only nodes are shuffled."""
     head = {
         "graphml": ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="w" for="edge" attr.name="weight" attr.type="long"/><graph edgedefault="undirected">'],
         "gexf": ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected">'],
@@ -125,21 +126,26 @@ def export_graph(graph: DataFrame, path: str, kind: str) -> None:
     from ..operators.ranks import numbered
 
     spark = graph.sparkSession
-    v = numbered(vertices(graph), "id", start=1, name="i")
-    a, b = v.select(F.col("id").alias("src"), F.col("i").alias("si")), v.select(F.col("id").alias("dst"), F.col("i").alias("di"))
-    e = numbered(graph.join(a, "src").join(b, "dst"), "src", "dst", name="i")
+    v, e = settle(numbered(vertices(graph), "id", start=1, name="i"), "vertices"), graph
+    if kind == "pajek":
+        a, b = v.select(F.col("id").alias("src"), F.col("i").alias("si")), v.select(F.col("id").alias("dst"), F.col("i").alias("di"))
+        e = graph.join(a, "src").join(b, "dst")
     make = {
         "graphml": ('<node id="%d"/>', '<edge source="%d" target="%d"><data key="w">%d</data></edge>', ["</graph></graphml>"]),
         "gexf": ('<node id="%d"/>', '<edge source="%d" target="%d" weight="%d"/>', ["</graph></gexf>"]),
         "pajek": ('%d "%d"', "%d %d %d", []),
     }[kind]
-    nodes = v.select(F.lit(2).alias("part"), "i", (F.format_string(make[0], "i", "id") if kind == "pajek" else F.format_string(make[0], "id")).alias("value"))
-    ends = ("si", "di") if kind == "pajek" else ("src", "dst")
-    edges = e.select(F.lit(4).alias("part"), "i", F.format_string(make[1], *ends, "weight").alias("value"))
-    fixed = [(0, i, t) for i, t in enumerate(head)] + [(9, i, t) for i, t in enumerate(make[2])]
-    fixed += {"gexf": [(1, 0, "<nodes>"), (3, 0, "</nodes>"), (3, 1, "<edges>"), (5, 0, "</edges>")], "pajek": [(1, 0, f"*Vertices {v.count()}"), (3, 0, "*Edges")], "graphml": []}[kind]
-    lines = spark.createDataFrame([(p, i, t) for p, i, t in fixed], "part int, i long, value string").unionByName(nodes).unionByName(edges)
-    lines.repartitionByRange("part", "i").sortWithinPartitions("part", "i").select("value").write.mode("overwrite").text(path)
+    before, between, behind = {"gexf": (["<nodes>"], ["</nodes>", "<edges>"], ["</edges>"]), "pajek": ([f"*Vertices {v.count()}"], ["*Edges"], []), "graphml": ([], [], [])}[kind]
+    fixed = lambda lines: spark.createDataFrame([(t,) for t in lines], "value string").coalesce(1)
+    ordered = v.repartitionByRange("i").sortWithinPartitions("i")
+    nodes = ordered.select((F.format_string(make[0], "i", "id") if kind == "pajek" else F.format_string(make[0], "id")).alias("value"))
+    edges = e.select(F.format_string(make[1], *(("si", "di") if kind == "pajek" else ("src", "dst")), "weight").alias("value"))
+    # partitions of a union follow one another, and files are named by their partition
+    parts = [fixed(head + before), nodes, fixed(between), edges, fixed(behind + make[2])]
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.union(part)
+    lines.write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
