@@ -157,7 +157,11 @@ def community_internals(graph: DataFrame, communities: DataFrame) -> DataFrame:
     inner = settle(graph.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight"), "inner")
     k = neighbours(inner).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("k"))
     reached = distances(inner).where("d > 0").groupBy(F.col("s").alias("id")).agg(F.count("*").alias("reached"), F.sum("d").alias("total"))
-    nodes = own.join(k, "id", "left").join(clustering(inner), "id", "left").join(reached, "id", "left").na.fill(0)
+    return internals_of(own.join(k, "id", "left").join(clustering(inner), "id", "left").join(reached, "id", "left").na.fill(0))
+
+
+def internals_of(nodes: DataFrame) -> DataFrame:
+    """The result of `community_internals` from (id, com, k, clustering, reached, total)."""
     per = nodes.groupBy("com").agg(F.count("*").alias("size"), F.avg("clustering").alias("clustering"), F.sum("k").alias("k"), F.sum("reached").alias("pairs"), F.sum("total").alias("total"))
     all_pairs = F.col("size") * (F.col("size") - 1)
     connected = F.col("pairs") == all_pairs
