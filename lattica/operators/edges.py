@@ -5,9 +5,14 @@ An edge list is a multiset of (node_a, node_b, edge_c) rows; a graph has a row (
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stretches of draws that are counted to find the last draw of a random graph.
+STRETCHES = 4096
+
 
 def co_occurrence(occurrences: DataFrame) -> DataFrame:
     """Edges between nodes that the same connecting object touches, one for each object and pair. Objects that touch one node are dropped
@@ -189,14 +194,42 @@ def normalised_weights(graph: DataFrame) -> DataFrame:
 def random_equivalent(edges: DataFrame, seed: int = 42, simple: bool = False) -> DataFrame:
     """As many edges as there are between the same nodes, both ends drawn evenly and never the same. With simple no pair twice: draws are
     repeated up to ten times, so a nearly complete graph may come out with fewer."""
-    spark = edges.sparkSession
-    nodes = edges.select(F.explode(F.array("node_a", "node_b")).alias("id")).distinct()
+    return random_pairs(edges.select(F.explode(F.array("node_a", "node_b")).alias("id")).distinct(), edges.count(), seed, simple)
+
+
+def random_pairs(nodes: DataFrame, m: int, seed: int = 42, simple: bool = False) -> DataFrame:
+    """m edges of `random_equivalent` between nodes (id). With simple the first m different pairs count; as many draws are made as should hold them, and
+    more if they do not, and a count of draws by stretches finds the last one, so that nothing is sorted as a whole."""
+    from ..helpers import settle
     from .ranks import numbered
 
-    nodes, n, m = numbered(nodes, "id"), nodes.count(), edges.count()
-    draws = spark.range(m * (10 if simple else 1)).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(n - 1, 1))).alias("j"))
-    draws = draws.withColumn("j", F.when(F.col("j") >= F.col("i"), F.col("j") + 1).otherwise(F.col("j"))).where(F.lit(n) > 1)
-    pairs = draws.join(nodes.select(F.col("number").alias("i"), F.col("id").alias("node_a")), "i").join(nodes.select(F.col("number").alias("j"), F.col("id").alias("node_b")), "j")
-    if simple:
-        pairs = pairs.groupBy(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).agg(F.min("id").alias("id")).orderBy("id").limit(m)
+    spark, nodes = nodes.sparkSession, settle(numbered(nodes, "id"), "nodes")
+    n = nodes.count()
+
+    def drawn(k: int) -> DataFrame:
+        draws = spark.range(k).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(n - 1, 1))).alias("j"))
+        return draws.withColumn("j", F.when(F.col("j") >= F.col("i"), F.col("j") + 1).otherwise(F.col("j"))).where(F.lit(n) > 1)
+
+    if not simple:
+        pairs = drawn(m)
+    else:
+        full, k = n * (n - 1) / 2, 10 * m
+        if 0 < m < full:
+            k = min(k, int(-full * math.log1p(-m / full) * 1.01) + 1000)
+        while True:
+            # numbers of nodes are in the order of their ids
+            pairs = settle(drawn(k).groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min("id").alias("id")), "draws")
+            found = pairs.count()
+            if found >= m or k == 10 * m:
+                break
+            k = min(2 * k, 10 * m)
+        if found > m:
+            stretch, left = k // STRETCHES + 1, m
+            for row in pairs.groupBy(F.floor(F.col("id") / stretch).alias("at")).count().orderBy("at").collect():  # STRETCHES rows at most
+                if row["count"] >= left:
+                    break
+                left -= row["count"]
+            last = pairs.where(F.floor(F.col("id") / stretch) == row["at"]).orderBy("id").limit(left).agg(F.max("id")).first()[0]
+            pairs = pairs.where(F.col("id") <= last)
+    pairs = pairs.join(nodes.select(F.col("number").alias("i"), F.col("id").alias("node_a")), "i").join(nodes.select(F.col("number").alias("j"), F.col("id").alias("node_b")), "j")
     return pairs.select("node_a", "node_b", F.lit(0).cast("long").alias("edge_c"))
