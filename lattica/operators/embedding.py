@@ -24,6 +24,11 @@ A, B = 1.5769434603, 0.8950608779
 STRETCH, PUSHED = 64, 20
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df, which has a row for each point, to be joined by a shuffle at any size: copies for every task of every round would pass through the driver."""
+    return df.hint("merge")
+
+
 def _best(vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(point, other, distance) of each point's k nearest others among the given ones."""
     d = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(2))
@@ -83,7 +88,7 @@ def nearest_vectors(points: DataFrame, k: int, projections: int = 10, rounds: in
     best = settle(_nearest_of(found, k), "neighbours")
     for _ in range(rounds):
         lists = best.select(F.col("i").alias("group"), F.col("j").alias("i")).unionByName(points.select(F.col("i").alias("group"), "i"))
-        best = settle(_nearest_of(best.unionByName(_compared(lists.join(points, "i").select("group", "i", "v"), k)), k), "neighbours")
+        best = settle(_nearest_of(best.unionByName(_compared(lists.join(_spread(points), "i").select("group", "i", "v"), k)), k), "neighbours")
     return best
 
 
@@ -109,7 +114,7 @@ def fuzzy_graph(near: DataFrame, k: int) -> DataFrame:
 
     lists = near.groupBy("i").agg(F.sort_array(F.collect_list("d")).alias("d"))  # k of them
     widths = lists.mapInArrow(run, "i long, nearest double, width double")
-    own = near.join(widths, "i").select("i", "j", F.exp(-F.greatest(F.col("d") - F.col("nearest"), F.lit(0.0)) / F.col("width")).alias("p"))
+    own = near.join(_spread(widths), "i").select("i", "j", F.exp(-F.greatest(F.col("d") - F.col("nearest"), F.lit(0.0)) / F.col("width")).alias("p"))
     both = own.unionByName(own.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
     return both.groupBy("i", "j").agg((1 - F.product(1 - F.col("p"))).alias("w"))
 
@@ -146,10 +151,10 @@ def laid_out(links: DataFrame, start: DataFrame, n: int, rounds: int = 12, steps
     links, places = settle(links, "links"), start
     total = settle(links.groupBy("i").agg(F.sum("w").alias("total")), "totals")
     for turn in range(rounds):
-        pulled = links.join(places.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.collect_list(F.struct("w", "x")).alias("p"))
+        pulled = links.join(_spread(places.withColumnRenamed("i", "j")), "j").groupBy("i").agg(F.collect_list(F.struct("w", "x")).alias("p"))
         draw = places.select("i", F.explode(F.sequence(F.lit(1), F.lit(PUSHED))).alias("s")).select("i", F.pmod(F.xxhash64("i", "s", F.lit(turn)), F.lit(n)).alias("j")).where("i <> j")
-        pushed = draw.join(places.withColumnRenamed("i", "j"), "j").join(total, "i").groupBy("i").agg(F.collect_list(F.struct((5 * F.col("total") / PUSHED).alias("w"), "x")).alias("q"))
-        rows = places.join(pulled, "i", "left").join(pushed, "i", "left")
+        pushed = draw.join(_spread(places.withColumnRenamed("i", "j")), "j").join(_spread(total), "i").groupBy("i").agg(F.collect_list(F.struct((5 * F.col("total") / PUSHED).alias("w"), "x")).alias("q"))
+        rows = places.join(_spread(pulled), "i", "left").join(_spread(pushed), "i", "left")
         # in a fixed order, so that sums do not depend on the shuffle
         rows = rows.select("i", "x", *[F.sort_array(c).getField(f).alias(f"{c}{f}") for c in "pq" for f in ("w", "x")])
         rows = rows.select("i", "x", *[F.coalesce(c, F.array().cast("array<double>" if c[1] == "w" else "array<array<double>>")).alias(c) for c in ("pw", "px", "qw", "qx")])
@@ -178,4 +183,4 @@ def embed(df: DataFrame, features: list[str], dims: int = 2, k: int = 15, rounds
     start = settle(centred.select("i", F.array(*[(F.col("p")[c] * (10 / far) if c < parts else F.lit(0.0)) + shake(c) for c in range(dims)]).alias("x")), "start")
     k = min(k, n - 1)
     out = laid_out(fuzzy_graph(nearest_vectors(points, k), k), start, n, rounds, dims=dims)
-    return rows.join(points.join(out, "i").select(F.col("v").alias("_v"), F.col("x").alias("embedding")), "_v").drop("_v")
+    return rows.join(_spread(points.join(_spread(out), "i").select(F.col("v").alias("_v"), F.col("x").alias("embedding"))), "_v").drop("_v")

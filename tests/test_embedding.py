@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import embedding as M
 
@@ -70,3 +71,11 @@ def test_reruns_agree_and_odd_tables(spark):
     for few, n in ((df.where("false"), 0), (df.where("id = 3"), 2), (df.where("id IN (3, 4)"), 4)):
         got = M.embed(few, ["a", "b", "c"])
         assert got.count() == n and got.columns == [*df.columns, "embedding"]
+
+
+def test_points_are_not_broadcast(spark):
+    rows = spark.range(50).select("id", F.col("id").cast("double").alias("a"), F.pmod("id", F.lit(7)).cast("double").alias("b"))
+    near = spark.range(50).select(F.col("id").alias("i"), F.pmod(F.col("id") + 1, F.lit(50)).alias("j"), F.lit(1.0).alias("d"))
+    for df in (M.embed(rows, ["a", "b"], rounds=1), M.fuzzy_graph(near, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
