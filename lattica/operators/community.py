@@ -100,7 +100,12 @@ def _optimised(graph: DataFrame, weighted: bool, seed: int, levels: int, rounds:
     out = names.select("id", F.col("node").alias("com"))
     if not total:
         return by_size(out)
-    for level in range(levels):
+    return levels_of(now, names, begin, out, total, seed, 0, levels, rounds, refine)
+
+
+def levels_of(now: DataFrame, names: DataFrame, begin: DataFrame | None, out: DataFrame, total: float, seed: int, first: int, levels: int, rounds: int, refine: bool) -> DataFrame:
+    """(id, com) after levels of local moves from the first on, on the graph now of nodes; names (id, node), begin (id, com) where nodes begin."""
+    for level in range(first, levels):
         both = settle(neighbours(now).withColumn("w", F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight"))).select("src", "dst", "w"), "both")
         strength = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
         state = settle(strength.join(begin, "id") if begin is not None else strength.select("id", "k", F.col("id").alias("com")), "state")
